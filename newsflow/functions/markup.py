@@ -74,13 +74,15 @@ def repeats(html: Column, tag: str) -> Column:
 
 
 def tag_text(html: Column, tag: str) -> Column:
-    """Text nodes of the first ``tag`` element joined by a blank; null when none or empty."""
-    joined = F.array_join(_text_nodes(element(_visible(html), tag)), " ")
-    return F.nullif(unescape(joined), F.lit(""))
+    """Text nodes of the first ``tag`` element joined by a blank; null when none or empty.
+
+    Like the two functions below it leaves character references for ``unescape``.
+    """
+    return F.nullif(F.array_join(_text_nodes(element(_visible(html), tag)), " "), F.lit(""))
 
 
 def page_title(html: Column) -> Column:
-    return F.nullif(tx.strip(unescape(element(html, "title"))), F.lit(""))
+    return F.nullif(tx.strip(element(html, "title")), F.lit(""))
 
 
 def main_text(html: Column) -> Column:
@@ -89,8 +91,7 @@ def main_text(html: Column) -> Column:
     page = _without(_visible(html), BOILERPLATE)
     scope = F.coalesce(element(page, "article"), element(page, "main"), element(page, "body"), page)
     inline = F.regexp_replace(scope, r"(?i)</?(?:a|b|i|u|em|strong|span|small|sub|sup|mark|code)\b[^>]*>", "")
-    lines = F.array_join(F.transform(_text_nodes(inline), tx.collapse), "\n")
-    return F.nullif(unescape(lines), F.lit(""))
+    return F.nullif(F.array_join(F.transform(_text_nodes(inline), tx.collapse), "\n"), F.lit(""))
 
 
 class _Scope(HTMLParser):

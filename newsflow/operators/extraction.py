@@ -70,8 +70,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Per source: MINGPAO takes the ``article`` element, AASTOCKS the first element whose class
     contains ``newscon``, any other source the main text.  The title is the feed's where the
-    source has a feed, else the page's; the time is the feed's, else the page's.  The markup
-    is dropped from the result.
+    source has a feed, else the page's; the time is the feed's, else the page's.  Text is cut
+    out first and character references are decoded in a second projection, so that the cutting
+    is done once per page.  The markup is dropped from the result.
     """
     have = set(pages.columns)
     feed_title = F.col("feed_title") if "feed_title" in have else F.lit(None).cast("string")
@@ -86,22 +87,27 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         .when(source == "MINGPAO", markup.tag_text(html, "article"))
         .otherwise(markup.main_text(html))
     )
+    decoded = F.when(selector.isNotNull(), F.col("_body")).otherwise(markup.unescape(F.col("_body")))
     page_time = F.when(source == "AASTOCKS", dates.newstime_cell(markup.newstime_cell(html))).when(
         source == "MINGPAO", dates.chinese_date_cell(markup.date_cell(html))
     )
     return (
-        pages.withColumn("body", text.strip(body))
-        .withColumn("title", text.or_empty(F.coalesce(feed_title, markup.page_title(html))))
+        pages.withColumns({"_body": body, "_title": markup.page_title(html)})
+        .withColumn("body", text.strip(decoded))
+        .withColumn("title", text.or_empty(F.coalesce(feed_title, text.strip(markup.unescape(F.col("_title"))))))
         .withColumn("published_at", F.coalesce(feed_time, page_time))
         .withColumn("outcome", F.when(text.or_empty(F.col("body")) == "", SKIPPED).otherwise(SUCCESS))
-        .drop("html", "feed_title", "feed_published_at")
+        .drop("html", "_body", "_title", "feed_title", "feed_published_at")
     )
 
 
 def page_links(pages: DataFrame, base: str | Column, *keep: str) -> DataFrame:
     """One row per link: (keep…, position, href, link)."""
-    links = pages.select(*keep, F.posexplode(urls.hrefs(F.col("html"))).alias("position", "href"))
-    return links.where(F.col("href") != "").withColumn("link", urls.absolute(F.col("href"), base))
+    base = base if isinstance(base, Column) else F.lit(base)
+    links = pages.select(*keep, base.alias("_base"), F.posexplode(urls.hrefs(F.col("html"))).alias("position", "href"))
+    return (
+        links.where(F.col("href") != "").withColumn("link", urls.absolute(F.col("href"), F.col("_base"))).drop("_base")
+    )
 
 
 def raw_shape(articles: DataFrame, created_at: Column) -> DataFrame:

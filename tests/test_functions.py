@@ -135,9 +135,9 @@ def test_directions_and_scores(spark):
 
 def test_tag_text(spark):
     page = "<nav>menu</nav><article><h1> A &amp; B</h1><!-- no --><p>x<script>var t='</p>';</script> y&nbsp;</p><p>&nbsp;</p>&copy;</article>"
-    assert one(spark, lambda h: markup.tag_text(h, "article"), page) == "A & B x y ©"
-    assert one(spark, lambda h: markup.tag_text(h, "article"), "<p>none</p>") is None
-    assert one(spark, lambda h: markup.tag_text(h, "article"), "<article>  </article>") is None
+    assert one(spark, lambda h: markup.unescape(markup.tag_text(h, "article")), page) == "A & B x y ©"
+    assert one(spark, lambda h: markup.unescape(markup.tag_text(h, "article")), "<p>none</p>") is None
+    assert one(spark, lambda h: markup.unescape(markup.tag_text(h, "article")), "<article>  </article>") is None
 
 
 def test_select_text_nested(spark):
@@ -148,5 +148,5 @@ def test_select_text_nested(spark):
 
 def test_title_and_main_text(spark):
     page = "<head><title> T &lt;1&gt; </title><style>p{}</style></head><body><nav>n</nav><p>one <b>two</b></p><p>three</p><footer>f</footer></body>"
-    assert one(spark, markup.page_title, page) == "T <1>"
+    assert one(spark, lambda h: markup.unescape(markup.page_title(h)), page) == "T <1>"
     assert one(spark, markup.main_text, page) == "one two\nthree"
