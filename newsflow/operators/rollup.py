@@ -12,6 +12,14 @@ from newsflow.operators.merging import KEY
 from newsflow.session import small
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum in decimals: the same whatever order the partitions arrive in.
+
+    Scores decide ranks, so a last-digit difference between two runs must not occur.
+    """
+    return F.sum(value.cast("decimal(28,10)")).cast("double")
+
+
 def per_source(merged: DataFrame) -> DataFrame:
     """Pre-aggregate at (event, source): everything later steps need, bounded by the sources.
 
@@ -25,8 +33,8 @@ def per_source(merged: DataFrame) -> DataFrame:
         F.max("at").alias("last_at"),
         first_report["source_url"].alias("first_url"),
         F.count("sentiment_score").alias("scored"),
-        F.sum(F.col("sentiment_score") * sign).alias("signed_sum"),
-        F.sum("sentiment_score").alias("strength_sum"),
+        exact_sum(F.col("sentiment_score") * sign).alias("signed_sum"),
+        exact_sum(F.col("sentiment_score")).alias("strength_sum"),
     )
 
 
@@ -92,12 +100,12 @@ def sentiment(weighted: DataFrame, threshold: float = params.SENTIMENT_THRESHOLD
 
     Input: ``per_source`` rows with ``weight``.
     """
-    total = F.nullif(F.sum(F.col("weight") * F.col("scored")), F.lit(0.0))
+    total = F.nullif(exact_sum(F.col("weight") * F.col("scored")), F.lit(0.0))
     return (
         weighted.groupBy("event_id")
         .agg(
-            (F.sum(F.col("weight") * F.col("signed_sum")) / total).alias("weighted_sentiment"),
-            (F.sum(F.col("weight") * F.col("strength_sum")) / total).alias("sentiment_strength"),
+            (exact_sum(F.col("weight") * F.col("signed_sum")) / total).alias("weighted_sentiment"),
+            (exact_sum(F.col("weight") * F.col("strength_sum")) / total).alias("sentiment_strength"),
             F.max("weight").alias("authority"),
         )
         .withColumn("sentiment_label", scores.sentiment_label(F.col("weighted_sentiment"), threshold))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from newsflow.plans import ingest  # noqa: F401
+from newsflow.plans import events, ingest  # noqa: F401

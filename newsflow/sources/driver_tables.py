@@ -58,7 +58,7 @@ def reports_of(events: DataFrame) -> DataFrame:
         (F.pmod(F.round(value * 100).cast("long"), F.lit(100)) / 100).alias("sentiment_score"),
         F.concat_ws(" ", "event_type", eid.cast("string")).alias("headline"),
         F.left(F.repeat(F.concat_ws(" ", "event_type", "props", F.lit("")), (eid % 9 + 1).cast("int")), F.lit(100)).alias("entity_summary"),
-        F.timestampadd("SECOND", (eid % 60).cast("int"), seen).alias("created_at"),
+        (seen + F.make_dt_interval(secs=(eid % 60))).alias("created_at"),
     )
 
 

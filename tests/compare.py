@@ -42,15 +42,17 @@ def spark_rows(frame):
 
 
 def compare(spark, folder, name):
+    began = time.time()
     got = spark_rows(entry.queries()[name](spark, folder))
+    print(f"[spark {time.time() - began:5.2f}s]", end=" ")
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return len(got[1]), None
     want = oracle(folder, sql)
     if got == want:
         return len(got[1]), ""
-    extra = [r for r in got[1] if r not in set(want[1])][:2] if len(got[1]) < 20000 else []
-    lacking = [r for r in want[1] if r not in set(got[1])][:2] if len(got[1]) < 20000 else []
+    extra = list(set(got[1]) - set(want[1]))[:2]
+    lacking = list(set(want[1]) - set(got[1]))[:2]
     return len(got[1]), f"spark {got[0]} {len(got[1])} vs sql {want[0]} {len(want[1])}; only spark {extra}; only sql {lacking}"
 
 
