@@ -35,6 +35,9 @@ def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(html_lib.unescape, na_action="ignore")
 
 
+_unescape = _unescape.asNondeterministic()  # evaluated once, as in ``text.nfkc``
+
+
 def unescape(text: Column) -> Column:
     """Character references decoded; Python sees only texts with uncommon ones."""
     simple = "|".join(name for name, _ in ENTITIES)
@@ -153,6 +156,9 @@ def select_text(pages: pd.Series, selectors: pd.Series) -> pd.Series:
     return pd.Series([_scope_text(p, s) for p, s in zip(pages, selectors)], dtype="object")
 
 
+select_text = select_text.asNondeterministic()
+
+
 def date_cell(html: Column) -> Column:
     """Text of the first ``div`` carrying both classes ``date`` and ``color2nd``."""
     has = lambda name: rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}[\"'\s])"

@@ -37,6 +37,11 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+# Declared non-deterministic, so that the optimiser does not copy the call into filters that
+# it pushes below the projection: each text then goes to Python once.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def nfkc(text: Column) -> Column:
     """NFKC form.  Spark has no such function, so Python sees only the texts that may change;
     for every other row the argument is null and nothing is shipped to the worker."""
@@ -45,8 +50,12 @@ def nfkc(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space to one blank, ends stripped."""
-    return F.trim(F.regexp_replace(text, f"{WHITE_SPACE}+", " "))
+    """Runs of white space to one blank, ends stripped.
+
+    The pattern passes over single blanks, which are most of the white space there is.
+    """
+    other = WHITE_SPACE.replace(r"\x{1c}-\x{20}", r"\x{1c}-\x{1f}")
+    return F.trim(F.regexp_replace(text, f"{other}{WHITE_SPACE}*+| {WHITE_SPACE}++", " "))
 
 
 def strip(text: Column) -> Column:

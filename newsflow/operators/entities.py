@@ -9,10 +9,13 @@ from newsflow import params
 from newsflow.functions import scores, stocks, text
 from newsflow.session import is_small, small
 
-# A word, or two Chinese characters taken at every offset.
-WORDS = r"[\p{L}\p{N}&&[^\p{IsHan}]]+"
-HAN_PAIRS = r"(?=(\p{IsHan}{2}))"
-SENTENCE_END = r"[.!?。！？\n]+"
+# The ideograph blocks.  Ranges, since a script test per character is slow.
+HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
+# Everything between words; Chinese runs part words as well.
+BETWEEN_WORDS = rf"[^\p{{L}}\p{{N}}]+|[{HAN}]+"
+# Two Chinese characters, taken at every offset.
+HAN_PAIRS = rf"(?=([{HAN}]{{2}}))"
+
 
 
 def lookup_by_code(queries: DataFrame, master: DataFrame, query: str = "query") -> DataFrame:
@@ -80,58 +83,64 @@ def verified_only(entities: DataFrame, master: DataFrame) -> DataFrame:
 
 def _anchor(name: Column) -> Column:
     """First two characters of a Chinese name, first word of any other."""
-    han = F.regexp_extract(name, r"^(\p{IsHan}{2})", 1)
-    return F.when(han != "", han).otherwise(F.regexp_extract(name, WORDS, 0))
+    han = F.regexp_extract(name, rf"^([{HAN}]{{2}})", 1)
+    return F.when(han != "", han).otherwise(F.element_at(F.split(F.trim(_padded(name)), " "), 1))
 
 
-def _anchors(lowered: Column) -> Column:
-    return F.array_distinct(
-        F.concat(
-            F.regexp_extract_all(lowered, F.lit(f"({WORDS})"), F.lit(1)),
-            F.regexp_extract_all(lowered, F.lit(HAN_PAIRS), F.lit(1)),
-        )
-    )
+def _anchors(lowered: Column, padded: Column) -> Column:
+    """Distinct words, and pairs of Chinese characters where the text has any."""
+    pairs = F.when(lowered.rlike(f"[{HAN}]"), F.regexp_extract_all(lowered, F.lit(HAN_PAIRS), F.lit(1)))
+    words = F.array_distinct(F.split(F.trim(padded), " "))
+    return F.when(pairs.isNull(), words).otherwise(F.array_distinct(F.concat(words, pairs)))
 
 
-def _contains(lowered: Column, name: Column) -> Column:
+def _padded(words: Column) -> Column:
+    """Letters and digits only, words parted and framed by single blanks."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(words, BETWEEN_WORDS, " ")), F.lit(" "))
+
+
+def _occurs(lowered: Column, padded: Column, name: Column) -> Column:
     """The name occurs; a name of words must not be part of a longer word."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    return F.when(name.rlike(r"^\p{IsHan}"), F.contains(lowered, name)).otherwise(F.contains(padded, words))
+    return F.when(name.rlike(f"^[{HAN}]"), F.contains(lowered, name)).otherwise(F.contains(padded, _padded(name)))
 
 
 def mentioned_stocks(articles: DataFrame, master: DataFrame, article: str = "cleaned_id",
                      body: str = "body_cleaned") -> DataFrame:
     """Distinct (article, stock_code) whose code or name occurs in the text.
 
-    Names are found through their anchor (first word or first two Chinese characters).  With a
-    master of checked size the anchors of the text are intersected with those of the master
-    inside the scan, so only texts that may match are compared.  With a larger master the
-    distinct anchors of the texts are shuffled to the names, and the text is joined back for
-    the comparison.
+    Names are found through their anchor (first word or first two Chinese characters), so a
+    text is compared only with names whose anchor it has.  A master of checked size is sent to
+    every task as one map, and each text is read once, without a shuffle.  With a larger master
+    the distinct anchors of the texts are shuffled to the names instead.
     """
-    lowered = F.lower(F.col(body))
     names = _names(master).withColumn("anchor", _anchor(F.col("name"))).where(F.col("anchor") != "")
-    if is_small(names):
-        known = names.agg(F.collect_set("anchor")).scalar()
-        candidates = (
-            articles.select(article, lowered.alias("_text"))
-            .withColumn("_hits", F.array_intersect(_anchors(F.col("_text")), known))
-            .where(F.size("_hits") > 0)
-            .withColumn("anchor", F.explode("_hits"))
-            .drop("_hits")
-            .join(F.broadcast(names), "anchor")
-        )
-    else:
-        pairs = (
-            articles.select(article, F.explode(_anchors(lowered)).alias("anchor"))
-            .join(names, "anchor")
-            .drop("anchor")
-        )
-        candidates = pairs.join(articles.select(article, lowered.alias("_text")), article)
-    by_name = candidates.where(_contains(F.col("_text"), F.col("name"))).select(article, "stock_code")
+    texts = articles.select(article, F.lower(F.col(body)).alias("_text"), F.col(body).alias("_body"))
+    if not is_small(names):
+        return _mentions_by_shuffle(texts, names, master, article)
+    by_anchor = names.groupBy("anchor").agg(F.collect_list(F.struct("name", "stock_code")).alias("names"))
+    known = by_anchor.agg(F.map_from_entries(F.collect_list(F.struct("anchor", "names")))).scalar()
+    codes = master.agg(F.collect_set("stock_code")).scalar()
+    named = F.filter(F.col("_candidates"), lambda c: _occurs(F.col("_text"), F.col("_padded"), c["name"]))
+    written = F.array_intersect(stocks.codes_in_text(F.col("_body")), codes)
+    # The outer form keeps the optimiser from repeating the text work in an inferred filter.
+    return (
+        texts.withColumns({"_known": known, "_padded": _padded(F.col("_text"))})
+        .withColumn("_hits", F.array_intersect(_anchors(F.col("_text"), F.col("_padded")), F.map_keys("_known")))
+        .withColumn("_candidates", F.flatten(F.transform("_hits", lambda h: F.element_at(F.col("_known"), h))))
+        .withColumn("_codes", F.array_distinct(F.concat(F.transform(named, lambda c: c["stock_code"]), written)))
+        .select(article, F.explode_outer("_codes").alias("stock_code"))
+        .where(F.col("stock_code").isNotNull())
+    )
+
+
+def _mentions_by_shuffle(texts: DataFrame, names: DataFrame, master: DataFrame, article: str) -> DataFrame:
+    texts = texts.withColumn("_padded", _padded(F.col("_text")))
+    anchored = texts.select(article, F.explode(_anchors(F.col("_text"), F.col("_padded"))).alias("anchor"))
+    pairs = anchored.join(names, "anchor").drop("anchor")
+    compared = pairs.join(texts, article)
+    by_name = compared.where(_occurs(F.col("_text"), F.col("_padded"), F.col("name"))).select(article, "stock_code")
     by_code = verified_only(
-        articles.select(article, F.explode(stocks.codes_in_text(F.col(body))).alias("stock_code")), master
+        texts.select(article, F.explode(stocks.codes_in_text(F.col("_body"))).alias("stock_code")), master
     )
     return by_name.unionByName(by_code).distinct()
 

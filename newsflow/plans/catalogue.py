@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from newsflow.plans import analysis, events, ingest, ops  # noqa: F401
+from newsflow.plans import analysis, events, ingest, ops, streams  # noqa: F401

@@ -17,7 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def raw_news(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    return raw_of(table(spark, folder, "documents"))
+
+
+def raw_of(docs: DataFrame) -> DataFrame:
+    """The same for any frame with the columns of the document table, streaming included."""
     created = F.expr(f"timestampadd(MINUTE, doc_id, {EPOCH})")
     return docs.select(
         F.col("doc_id").cast("string").alias("raw_id"),
