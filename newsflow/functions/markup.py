@@ -49,9 +49,8 @@ def unescape(text: Column) -> Column:
 
 
 def _without(html: Column, tags: list[str]) -> Column:
-    for tag in tags:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "<br>")
-    return html
+    """The elements cut out, in one pass over the page."""
+    return F.regexp_replace(html, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", "<br>")
 
 
 def _visible(html: Column) -> Column:

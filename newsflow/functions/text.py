@@ -12,18 +12,21 @@ from pyspark.sql.types import StringType
 
 from newsflow import params
 
-# The code points Python's ``\s`` treats as white space.  Java's own classes
+# The code points that Python's ``\s`` treats as white space.  Java's own classes
 # differ (no U+001C..U+001F), so the set is spelled out.
-WHITE_SPACE = (
-    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
+_RARE_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE_SPACE = rf"[\x{{09}}-\x{{0d}}\x{{1c}}-\x{{20}}{_RARE_SPACE}]"
+_NOT_ASCII = r"[^\x{00}-\x{7f}]"
 
-# Characters that NFKC never changes, alone or side by side: ASCII, Latin-1 letters, curly
-# quotes and dashes, CJK brackets and stops, kana without combining marks, CJK ideographs,
-# Hangul syllables.  Text made of these alone needs no Unicode normalisation.
+# Characters beyond ASCII that NFKC never changes, alone or side by side: Latin-1 letters,
+# curly quotes and dashes, CJK brackets and stops, kana without combining marks, CJK
+# ideographs, Hangul syllables.  Text made of these and ASCII needs no Unicode normalisation.
 NFKC_SAFE = (
-    r"\x{00}-\x{7f}\x{c0}-\x{ff}\x{2013}\x{2014}\x{2018}\x{2019}\x{201c}\x{201d}"
+    r"\x{c0}-\x{ff}\x{2013}\x{2014}\x{2018}\x{2019}\x{201c}\x{201d}"
     r"\x{3001}\x{3002}\x{3008}-\x{3011}\x{3042}-\x{3096}\x{30a2}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
 )
 
@@ -42,25 +45,41 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 _nfkc = _nfkc.asNondeterministic()
 
 
+def _has_rare(text: Column, rare: str) -> Column:
+    """True if a character beyond ASCII satisfies ``rare``, a look-behind.
+
+    ASCII texts are told by their length; in the others only the characters beyond ASCII reach
+    the many ranges of the look-behind, which is several times faster than one large class.
+    """
+    return (F.octet_length(text) != F.length(text)) & text.rlike(_NOT_ASCII + rare)
+
+
 def nfkc(text: Column) -> Column:
     """NFKC form.  Spark has no such function, so Python sees only the texts that may change;
     for every other row the argument is null and nothing is shipped to the worker."""
-    unsafe = text.rlike(f"[^{NFKC_SAFE}]")
+    unsafe = _has_rare(text, f"(?<![{NFKC_SAFE}])")
     return F.coalesce(_nfkc(F.when(unsafe, text)), text)
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space to one blank, ends stripped.
 
-    The pattern passes over single blanks, which are most of the white space there is.
+    Rare spaces become blanks first, in texts that have any beyond ASCII.  The second pattern
+    passes over single blanks, which are most of the white space there is.
     """
-    other = WHITE_SPACE.replace(r"\x{1c}-\x{20}", r"\x{1c}-\x{1f}")
-    return F.trim(F.regexp_replace(text, f"{other}{WHITE_SPACE}*+| {WHITE_SPACE}++", " "))
+    rare = F.regexp_replace(text, f"{_NOT_ASCII}(?<=[{_RARE_SPACE}])", " ")
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(rare)
+    return F.trim(F.regexp_replace(plain, r"[\x{09}-\x{0d}\x{1c}-\x{1f}][\x{09}-\x{0d}\x{1c}-\x{20}]*+| [\x{09}-\x{0d}\x{1c}-\x{20}]++", " "))
 
 
 def strip(text: Column) -> Column:
     """White space removed from both ends only."""
-    return F.regexp_replace(text, rf"\A{WHITE_SPACE}+|{WHITE_SPACE}+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE_CHARS))
+
+
+def is_blank(text: Column) -> Column:
+    """Missing, empty or white space only; stops at the first other character."""
+    return ~F.coalesce(text.rlike(WHITE_SPACE.replace("[", "[^", 1)), F.lit(False))
 
 
 def normalise(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,29 +147,39 @@ def _mentions_by_shuffle(texts: DataFrame, names: DataFrame, master: DataFrame,
     return by_name.unionByName(by_code).distinct()
 
 
-def _hits(body: Column, keywords: list[str]) -> Column:
-    return F.regexp_count(F.lower(body), F.lit(r"(?<![\p{L}])(?:" + "|".join(keywords) + r")(?![\p{L}])"))
+def keyword_words(body: Column, *lists: list[str]) -> Column:
+    """The words of the text that occur in any of the lists, repeats kept: one pass over the text."""
+    wanted = sorted({k for words in lists for k in words})
+    return F.filter(F.split(F.trim(_padded(F.lower(body))), " "), lambda w: w.isin(wanted))
+
+
+def _hits(body: Column, found: Column, keywords: list[str]) -> Column:
+    """Occurrences of the keywords; Chinese ones are counted in the text, as they are not parted."""
+    han = [k for k in keywords if re.search("[\u3400-\u9fff]", k)]
+    count = F.size(F.filter(found, lambda w: w.isin(keywords)))
+    return count + F.regexp_count(body, F.lit("|".join(han))) if han else count
 
 
-def classify_types(body: Column, keywords: dict[str, list[str]]) -> Column:
+def classify_types(body: Column, found: Column, keywords: dict[str, list[str]]) -> Column:
     """Struct (primary, secondary) by keyword counts; ties in the order of the types.
 
-    No keyword at all gives GENERAL_ANNOUNCEMENT.  Stands in for a model's answer.
+    ``found`` is the column of ``keyword_words``.  No keyword at all gives
+    GENERAL_ANNOUNCEMENT.  Stands in for a model's answer.
     """
     counted = F.array(*[
-        F.struct((-_hits(body, keywords[name])).alias("n"), F.lit(place).alias("place"), F.lit(name).alias("name"))
+        F.struct((-_hits(body, found, keywords[name])).alias("n"), F.lit(place).alias("place"), F.lit(name).alias("name"))
         for place, name in enumerate(params.EVENT_TYPES) if keywords.get(name)
     ])
-    found = F.filter(F.array_sort(counted), lambda t: t["n"] < 0)
-    primary = F.coalesce(F.get(found, F.lit(0))["name"], F.lit("GENERAL_ANNOUNCEMENT"))
+    hit = F.filter(F.array_sort(counted), lambda t: t["n"] < 0)
+    primary = F.coalesce(F.get(hit, F.lit(0))["name"], F.lit("GENERAL_ANNOUNCEMENT"))
     return F.struct(
-        primary.alias("primary"), scores.secondary_type(primary, F.get(found, F.lit(1))["name"]).alias("secondary")
+        primary.alias("primary"), scores.secondary_type(primary, F.get(hit, F.lit(1))["name"]).alias("secondary")
     )
 
 
-def classify_sentiment(body: Column, positive: list[str], negative: list[str]) -> Column:
+def classify_sentiment(body: Column, found: Column, positive: list[str], negative: list[str]) -> Column:
     """Struct (label, score): balance of positive and negative keywords over their sum."""
-    up, down = _hits(body, positive), _hits(body, negative)
+    up, down = _hits(body, found, positive), _hits(body, found, negative)
     balance = F.coalesce((up - down) / F.nullif(up + down, F.lit(0)), F.lit(0.0))
     return F.struct(
         F.when(balance > 0, "POSITIVE").when(balance < 0, "NEGATIVE").otherwise("NEUTRAL").alias("label"),
@@ -206,11 +218,14 @@ def entity_events(articles: DataFrame, master: DataFrame, keywords: dict[str, li
     """
     body = F.col("body_cleaned")
     matched = mentioned_stocks(articles, master)
-    analysed = articles.withColumn("_t", classify_types(body, keywords)).withColumn(
-        "_s", classify_sentiment(body, positive, negative)
+    analysed = (
+        articles.join(matched, "cleaned_id")
+        .withColumn("_found", keyword_words(body, *keywords.values(), positive, negative))
+        .withColumn("_t", classify_types(body, F.col("_found"), keywords))
+        .withColumn("_s", classify_sentiment(body, F.col("_found"), positive, negative))
     )
     return checked_entities(
-        analysed.join(matched, "cleaned_id").select(
+        analysed.select(
             text.derived_id(F.col("source_url"), F.col("stock_code")).alias("entity_event_id"),
             F.lit(exchange).alias("exchange"),
             "source_url", "source_name", "published_at", "stock_code",

@@ -43,7 +43,7 @@ def classify(attempts: DataFrame, catalogue: DataFrame) -> DataFrame:
     outcome = (
         F.when(F.col("failure") == RATE_LIMITED, RATE_LIMITED)
         .when(F.col("failure").isNotNull(), "failure")
-        .when(text.strip(text.or_empty(F.col("body"))) == "", SKIPPED)
+        .when(text.is_blank(F.col("body")), SKIPPED)
         .otherwise(SUCCESS)
     )
     return (

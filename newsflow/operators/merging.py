@@ -26,7 +26,7 @@ from newsflow.session import materialise
 
 KEY = ["exchange", "stock_code", "event_type_primary"]
 HOUR = 3_600_000_000
-# Sessions with at most this many distinct times are chained in one array; larger ones by
+# Sessions with at most this many reports are chained in one array; larger ones by
 # repeated doubling, which never gathers a session.
 ARRAY_MAX = 50_000
 
@@ -55,19 +55,22 @@ def micros(at: Column) -> Column:
 
 
 def sessions(reports: DataFrame, span: Span, seeds: DataFrame | None = None) -> DataFrame:
-    """Slots (key, slot, lo, hi, session_start): the gap rule alone, no cap.
+    """Slots (key, slot, lo, hi, n, session_start): the gap rule alone, no cap.
 
     ``reports`` has the key and ``at`` in microseconds.  ``seeds`` are open events (key, first,
     last); each enters as one interval, so that the chain continues from it.
     """
     slots = reports.groupBy(*KEY, span.slot_of(F.col("at")).alias("slot")).agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi")
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")
     )
     if seeds is not None:
         opened = seeds.select(
-            *KEY, span.slot_of(F.col("first")).alias("slot"), F.col("first").alias("lo"), F.col("last").alias("hi")
+            *KEY, span.slot_of(F.col("first")).alias("slot"), F.col("first").alias("lo"), F.col("last").alias("hi"),
+            F.lit(1).cast("long").alias("n"),
+        )
+        slots = slots.unionByName(opened).groupBy(*KEY, "slot").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
         )
-        slots = slots.unionByName(opened).groupBy(*KEY, "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     earlier = W.partitionBy(*KEY).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*KEY).orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
     reach = F.max("hi").over(earlier)
@@ -152,10 +155,11 @@ def _doubling_chain(times: DataFrame, slots: DataFrame, span: Span) -> DataFrame
 
 def openings(reports: DataFrame, slots: DataFrame, span: Span, array_max: int = ARRAY_MAX) -> DataFrame:
     """(key, session_start, opening): the first time of every event."""
-    whole = slots.groupBy(*KEY, "session_start").agg(F.max("hi").alias("_end"))
+    session = [*KEY, "session_start"]
+    whole = slots.groupBy(*session).agg(F.max("hi").alias("_end"), F.sum("n").alias("_n"))
     plain = whole.where(F.col("_end") - F.col("session_start") < span.cap)
-    capped = whole.where(F.col("_end") - F.col("session_start") >= span.cap).drop("_end")
-    capped_slots = slots.join(capped, [*KEY, "session_start"], "left_semi")
+    capped = whole.where(F.col("_end") - F.col("session_start") >= span.cap)
+    capped_slots = slots.join(capped, session, "left_semi")
     times = (
         reports.select(*KEY, "at")
         .unionByName(slots.select(*KEY, F.col("lo").alias("at")))
@@ -164,13 +168,11 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, array_max: int =
         .select(*KEY, "session_start", "at")
         .distinct()
     )
-    sizes = times.groupBy(*KEY, "session_start").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > array_max).drop("_n")
+    # Reports bound distinct times from above, so the slots tell which sessions are large.
+    large = capped.where(F.col("_n") > array_max).select(*session)
     result = plain.select(*KEY, "session_start", F.col("session_start").alias("opening"))
     if large.isEmpty():
         return result.unionByName(_array_chain(times, span))
-    large = materialise(large, "large-sessions")
-    session = [*KEY, "session_start"]
     return result.unionByName(_array_chain(times.join(large, session, "left_anti"), span)).unionByName(
         _doubling_chain(
             materialise(times.join(large, session, "left_semi"), "large-times"),

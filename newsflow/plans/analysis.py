@@ -46,7 +46,7 @@ _TALLY = " UNION ALL ".join(
 
 
 @register("e3_entity_events", f"""{_MENTIONS},
-  lettered AS (SELECT *, regexp_split_to_array(lower(body_cleaned), '[^\\p{{L}}]+') AS letters FROM articles),
+  lettered AS (SELECT *, regexp_split_to_array(lower(body_cleaned), '[^\\p{{L}}\\p{{N}}]+') AS letters FROM articles),
   tally AS ({_TALLY}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY n DESC, place) AS r FROM tally WHERE n > 0),
   typed AS (SELECT l.*, coalesce((SELECT name FROM ranked k WHERE k.raw_id = l.raw_id AND r = 1), 'GENERAL_ANNOUNCEMENT') AS event_type_primary,

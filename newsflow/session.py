@@ -56,6 +56,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as cores.
+
+    For tables of few row groups whose rows need much work.  A scan that already has enough
+    partitions, as any large table does, is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def small(df: DataFrame, limit: int = params.BROADCAST_MAX_ROWS) -> DataFrame:
     """Ask for a broadcast of ``df`` only if it holds at most ``limit`` rows.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow import params, schemas
 from newsflow.functions import stocks, text
+from newsflow.session import spread
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 
@@ -16,8 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with long text columns, given in one row group."""
+    return spread(table(spark, folder, name))
+
+
 def raw_news(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_of(table(spark, folder, "documents"))
+    return raw_of(texts(spark, folder, "documents"))
 
 
 def raw_of(docs: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
         )
         .otherwise(html)
     )
-    return table(spark, folder, "pages").select("page_id", F.col("url").alias("source_url"), source.alias("source_name"), page.alias("html"))
+    return texts(spark, folder, "pages").select("page_id", F.col("url").alias("source_url"), source.alias("source_name"), page.alias("html"))
 
 
 def feed_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_normalise_mixed_rows_and_null(spark):
 
 def test_nfkc_safe_set_is_stable():
     ranges = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), text.NFKC_SAFE)
-    safe = re.compile(f"[{ranges}]")
+    safe = re.compile(f"[\\x00-\\x7f{ranges}]")
     chars = [chr(c) for c in range(0x10000) if safe.match(chr(c))]
     assert len(chars) > 30_000
     whole = "".join(chars)
@@ -43,6 +43,17 @@ def test_nfkc_safe_set_is_stable():
         assert unicodedata.normalize("NFKC", "A" + c) == "A" + c
 
 
+def test_white_space_set():
+    every = "".join(chr(c) for c in range(0x110000) if re.match(r"\s", chr(c)))
+    assert every == text.WHITE_SPACE_CHARS
+
+
+def test_strip_and_blank(spark):
+    assert one(spark, text.strip, "\u3000\x1c a b\xa0\n") == "a b"
+    assert one(spark, text.is_blank, " \u3000\x1f") is True
+    assert one(spark, text.is_blank, " x") is False
+
+
 def test_digest(spark):
     s = "騰訊控股業績公告"
     assert one(spark, text.digest, s) == hashlib.sha256(s.encode()).hexdigest()
