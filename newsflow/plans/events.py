@@ -1,5 +1,7 @@
 """Queries on event merging, roll-up, scores and the brief."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsflow import params
@@ -8,14 +10,13 @@ from newsflow.operators import brief, dedup, merging, rollup, scoring
 from newsflow.operators.merging import KEY, Span
 from newsflow.plans import sql_parts as sp
 from newsflow.plans.registry import exact, r6, register, stamp
-from newsflow.session import materialise
+from newsflow.session import materialise, shared_dir
 from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
 
 AS_OF = "2024-01-31 00:00:00"
 WATCHLIST = ["00007", "9", "00021.HK"]
 _AS_OF = lambda: F.lit(AS_OF).cast("timestamp")
-_US = lambda c: f"make_timestamp({c})"
 
 
 # --- reusable steps ------------------------------------------------------------------------
@@ -336,3 +337,12 @@ def c27(spark, sf):
         "event_id", r6("abs_final_score").alias("abs_final_score"), "event.source_count", "event.summary_short",
         "score.rule_score_detail.event_type_score", "score.llm_fallback",
     )
+
+
+@register("s15_published_brief", f"{_SCORED} SELECT event_id, round(final_abs + 1e-9, 6) AS final_abs FROM final WHERE final_abs >= 3.0")
+def s15(spark, sf):
+    root = f"{shared_dir(spark)}/newsflow/published-{uuid.uuid4().hex}"
+    rows = materialise(brief.above_noise(final_events(spark, sf)), "kept")
+    tables.publish(rows.where(F.col("stock_code") < "00025"), root, 1)
+    tables.publish(rows, root, 2)
+    return tables.published(spark, root).select("event_id", r6("final_abs_final_score").alias("final_abs"))

@@ -9,7 +9,7 @@ from newsflow.plans import sql_parts as sp
 from newsflow.plans.registry import exact, register, stamp
 from newsflow.sources import driver_tables as dt
 from newsflow.sources import feeds, listings, tables
-from newsflow.operators.extraction import SUCCESS
+from newsflow.streaming import delivery
 
 # --- feeds ---------------------------------------------------------------------------------
 
@@ -272,11 +272,10 @@ def f16(spark, sf):
     return _attempts(spark, sf).groupBy("outcome", "error_code", "error_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("u2_f7_f8_split", f"""WITH {_ATTEMPTS} SELECT l_orderkey, l_linenumber, 'kept' AS side FROM outcomes WHERE outcome = 'success'
-  UNION ALL SELECT l_orderkey, l_linenumber, 'logged' FROM outcomes WHERE outcome = 'failure'""")
+@register("u2_f7_f8_split", f"""WITH {_ATTEMPTS} SELECT l_orderkey, l_linenumber, CASE outcome WHEN 'success' THEN 'kept' WHEN 'failure' THEN 'logged' ELSE 'neither' END AS side FROM outcomes""")
 def u2(spark, sf):
-    side = F.when(F.col("outcome") == SUCCESS, "kept").when(F.col("outcome") == "failure", "logged")
-    return _attempts(spark, sf).select("l_orderkey", "l_linenumber", side.alias("side")).where("side IS NOT NULL")
+    side = F.when(F.col("outcome") == extraction.SUCCESS, "kept").when(F.col("outcome") == "failure", "logged").otherwise("neither")
+    return _attempts(spark, sf).select("l_orderkey", "l_linenumber", side.alias("side"))
 
 
 @register("a5_outcome_counts", f"""WITH {_ATTEMPTS} SELECT l_orderkey, count(*) FILTER (outcome = 'success') AS successes, count(*) FILTER (outcome = 'failure') AS failures,
@@ -456,3 +455,13 @@ def c26(spark, sf):
     meta = F.col("extra_metadata")
     hit = stocks.mentions(meta, "00007") | stocks.mentions(meta, "00042")
     return rows.where(hit).select("o_orderkey", tables.metadata_json(meta).alias("metadata"))
+
+
+@register("f13_s17_dead_letters", """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'good' WHEN event_id % 4 < 2 THEN 'retry' ELSE 'dead' END AS fate,
+  CASE WHEN event_id % 10 <> 0 THEN event_id % 4 + 1 WHEN event_id % 4 < 2 THEN event_id % 4 + 2 ELSE event_id % 4 + 1 END AS delivery_count FROM events""")
+def f13(spark, sf):
+    rows = dt.table(spark, sf, "events").select(
+        "event_id", (F.col("event_id") % 4 + 1).alias("delivery_count"), F.when(F.col("event_id") % 10 == 0, 2).otherwise(1).alias("v"))
+    parts = delivery.settle(rows, delivery.version_error(F.col("v")))
+    named = [p.select("event_id", F.lit(n).alias("fate"), "delivery_count") for p, n in zip(parts, ("good", "retry", "dead"))]
+    return extraction.union_sources(*named)
