@@ -108,6 +108,10 @@ def first_accepted(rows: DataFrame, arrival: Column, key_a: str = "source_url",
 
 
 def insert_if_absent(candidates: DataFrame, stored: DataFrame | None, arrival: Column) -> DataFrame:
-    """Rows of a batch that the raw table takes in, given what it already holds."""
-    fresh = candidates if stored is None else absent_on_url_and_hash(candidates, stored)
-    return fresh.join(first_accepted(fresh, arrival), "raw_id", "left_semi")
+    """Rows of a batch that the raw table takes in, given what it already holds.
+
+    All decisions are made on the keys alone; whole rows meet the result once.
+    """
+    keys = candidates.select("raw_id", "source_url", "raw_hash", arrival.alias("_arrival"))
+    fresh = keys if stored is None else absent_on_url_and_hash(keys, stored)
+    return candidates.join(first_accepted(fresh, F.col("_arrival")), "raw_id", "left_semi")

@@ -115,27 +115,40 @@ def mentioned_stocks(articles: DataFrame, master: DataFrame, article: str = "cle
     every task as one map, and each text is read once, without a shuffle.  With a larger master
     the distinct anchors of the texts are shuffled to the names instead.
     """
-    names = _names(master).withColumn("anchor", _anchor(F.col("name"))).where(F.col("anchor") != "")
-    texts = articles.select(article, F.lower(F.col(body)).alias("_text"), F.col(body).alias("_body"))
+    names = _anchored_names(master)
     if not is_small(names):
-        return _mentions_by_shuffle(texts, names, master, article)
+        return _mentions_by_shuffle(articles, names, master, article, body)
+    return _one_row_per_code(_with_codes(articles.select(article, body), names, master, body)).select(article, "stock_code")
+
+
+def _anchored_names(master: DataFrame) -> DataFrame:
+    return _names(master).withColumn("anchor", _anchor(F.col("name"))).where(F.col("anchor") != "")
+
+
+def _with_codes(articles: DataFrame, names: DataFrame, master: DataFrame, body: str) -> DataFrame:
+    """Adds ``_codes``, the distinct stocks of each text; row by row."""
     by_anchor = names.groupBy("anchor").agg(F.collect_list(F.struct("name", "stock_code")).alias("names"))
     known = by_anchor.agg(F.map_from_entries(F.collect_list(F.struct("anchor", "names")))).scalar()
     codes = master.agg(F.collect_set("stock_code")).scalar()
     named = F.filter(F.col("_candidates"), lambda c: _occurs(F.col("_text"), F.col("_padded"), c["name"]))
-    written = F.array_intersect(stocks.codes_in_text(F.col("_body")), codes)
-    # The outer form keeps the optimiser from repeating the text work in an inferred filter.
+    written = F.array_intersect(stocks.codes_in_text(F.col(body)), codes)
     return (
-        texts.withColumns({"_known": known, "_padded": _padded(F.col("_text"))})
+        articles.withColumn("_text", F.lower(F.col(body)))
+        .withColumns({"_known": known, "_padded": _padded(F.col("_text"))})
         .withColumn("_hits", F.array_intersect(_anchors(F.col("_text"), F.col("_padded")), F.map_keys("_known")))
         .withColumn("_candidates", F.flatten(F.transform("_hits", lambda h: F.element_at(F.col("_known"), h))))
         .withColumn("_codes", F.array_distinct(F.concat(F.transform(named, lambda c: c["stock_code"]), written)))
-        .select(article, F.explode_outer("_codes").alias("stock_code"))
-        .where(F.col("stock_code").isNotNull())
+        .drop("_text", "_known", "_padded", "_hits", "_candidates")
     )
 
 
-def _mentions_by_shuffle(texts: DataFrame, names: DataFrame, master: DataFrame, article: str) -> DataFrame:
+def _one_row_per_code(rows: DataFrame) -> DataFrame:
+    """The outer form keeps the optimiser from repeating the text work in an inferred filter."""
+    return rows.withColumn("stock_code", F.explode_outer("_codes")).where(F.col("stock_code").isNotNull())
+
+
+def _mentions_by_shuffle(articles: DataFrame, names: DataFrame, master: DataFrame, article: str, body: str) -> DataFrame:
+    texts = articles.select(article, F.lower(F.col(body)).alias("_text"), F.col(body).alias("_body"))
     texts = texts.withColumn("_padded", _padded(F.col("_text")))
     anchored = texts.select(article, F.explode(_anchors(F.col("_text"), F.col("_padded"))).alias("anchor"))
     pairs = anchored.join(names, "anchor").drop("anchor")
@@ -217,15 +230,24 @@ def entity_events(articles: DataFrame, master: DataFrame, keywords: dict[str, li
     no row; ``articles`` itself is the record of what was analysed.
     """
     body = F.col("body_cleaned")
-    matched = mentioned_stocks(articles, master)
+    names = _anchored_names(master)
+    if is_small(names):
+        tagged = _with_codes(articles, names, master, "body_cleaned")
+    else:
+        matched = _mentions_by_shuffle(articles, names, master, "cleaned_id", "body_cleaned")
+        codes = matched.groupBy("cleaned_id").agg(F.collect_list("stock_code").alias("_codes"))
+        tagged = articles.join(codes, "cleaned_id")
+    # Once per article with a stock, before it is repeated for each of its stocks.
+    has_stock = F.size("_codes") > 0
     analysed = (
-        articles.join(matched, "cleaned_id")
-        .withColumn("_found", keyword_words(body, *keywords.values(), positive, negative))
-        .withColumn("_t", classify_types(body, F.col("_found"), keywords))
-        .withColumn("_s", classify_sentiment(body, F.col("_found"), positive, negative))
+        tagged.withColumn("_found", F.when(has_stock, keyword_words(body, *keywords.values(), positive, negative)))
+        .withColumn("_t", F.when(has_stock, classify_types(body, F.col("_found"), keywords)))
+        .withColumn("_s", F.when(has_stock, classify_sentiment(body, F.col("_found"), positive, negative)))
+        .withColumn("_summary", F.left(body, F.lit(params.TEXT_LIMITS["entity_summary"] + 1)))
+        .drop("body_cleaned", "_found")
     )
     return checked_entities(
-        analysed.select(
+        _one_row_per_code(analysed).select(
             text.derived_id(F.col("source_url"), F.col("stock_code")).alias("entity_event_id"),
             F.lit(exchange).alias("exchange"),
             "source_url", "source_name", "published_at", "stock_code",
@@ -234,7 +256,7 @@ def entity_events(articles: DataFrame, master: DataFrame, keywords: dict[str, li
             F.col("_s.label").alias("sentiment_label"),
             F.col("_s.score").alias("sentiment_score"),
             F.col("title_cleaned").alias("headline"),
-            body.alias("entity_summary"),
+            F.col("_summary").alias("entity_summary"),
             "created_at",
         )
     )

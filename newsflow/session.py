@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +54,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage of iterative jobs.  The table outlives lost executors, unlike a
     local checkpoint, and is read back column by column.
     """
-    path = f"{shared_dir(df.sparkSession)}/newsflow/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/newsflow/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    for written in getattr(_open, "blocks", []):
+        written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside the block are deleted when it ends.
+
+    Results must have been written or collected by then.  Each micro-batch runs in such a
+    block, so that a long-running stream does not fill the folder.
+    """
+    _open.blocks = [*getattr(_open, "blocks", []), []]
+    try:
+        yield
+    finally:
+        *_open.blocks, written = _open.blocks
+        for path in written:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from newsflow import params
+from newsflow.session import scratch
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -24,7 +25,12 @@ def start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     A failed batch is replayed under the same id from the checkpoint, so a step that writes to
     folders named by the id has the same effect however often it runs.
     """
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+    def tidy_step(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            step(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(tidy_step).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
