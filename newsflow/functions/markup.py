@@ -8,7 +8,6 @@ go through one Arrow-batched helper around the standard library's ``HTMLParser``
 from __future__ import annotations
 
 import html as html_lib
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,9 +29,8 @@ VOID = frozenset(
 
 
 @F.pandas_udf(StringType())
-def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(html_lib.unescape, na_action="ignore")
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html_lib.unescape, na_action="ignore")
 
 
 _unescape = _unescape.asNondeterministic()  # evaluated once, as in ``text.nfkc``

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,9 +34,8 @@ CHINESE = r"[\x{4e00}-\x{9fff}]"
 
 
 @F.pandas_udf(StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 # Declared non-deterministic, so that the optimiser does not copy the call into filters that

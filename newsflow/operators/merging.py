@@ -166,7 +166,6 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, array_max: int =
         .withColumn("slot", span.slot_of(F.col("at")))
         .join(capped_slots.select(*KEY, "slot", "session_start"), [*KEY, "slot"])
         .select(*KEY, "session_start", "at")
-        .distinct()
     )
     # Reports bound distinct times from above, so the slots tell which sessions are large.
     large = capped.where(F.col("_n") > array_max).select(*session)
@@ -175,7 +174,7 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, array_max: int =
         return result.unionByName(_array_chain(times, span))
     return result.unionByName(_array_chain(times.join(large, session, "left_anti"), span)).unionByName(
         _doubling_chain(
-            materialise(times.join(large, session, "left_semi"), "large-times"),
+            materialise(times.join(large, session, "left_semi").distinct(), "large-times"),
             slots.join(large, session, "left_semi"),
             span,
         )

@@ -316,7 +316,7 @@ def e4(spark, sf):
   length(text) > 30 OR len(regexp_split_to_array(text, ' ')) > 3 AS violation FROM documents""")
 def t3(spark, sf):
     words = F.split("text", " ")
-    rows = dt.texts(spark, sf, "documents").withColumn("b", brief.checked_brief(F.col("text"), F.col("text"), words))
+    rows = dt.worked(spark, sf, "documents").withColumn("b", brief.checked_brief(F.col("text"), F.col("text"), words))
     return rows.select("doc_id", "b.summary_short", "b.summary_full", F.size("b.key_numbers").cast("long").alias("numbers"), "b.violation")
 
 

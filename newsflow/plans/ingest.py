@@ -39,7 +39,7 @@ def f2(spark, sf):
 def c14(spark, sf):
     shift = F.expr(f"timestampadd(MINUTE, doc_id, {dt.EPOCH})")
     raw = F.concat(F.date_format(shift, "EEE, d MMM yyyy HH:mm:ss"), F.when(F.col("doc_id") % 2 == 0, " GMT").otherwise(" +0800"))
-    return dt.texts(spark, sf, "documents").select("doc_id", stamp(dates.rfc822(raw)).alias("at"))
+    return dt.worked(spark, sf, "documents").select("doc_id", stamp(dates.rfc822(raw)).alias("at"))
 
 
 # --- filing tables ---------------------------------------------------------------------------
@@ -145,19 +145,19 @@ _PAGE_TITLE = sp.strip(_DECODE("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)<
 
 @register("c9_page_titles", f"SELECT page_id, {_PAGE_TITLE} AS title FROM pages")
 def c9(spark, sf):
-    titles = dt.texts(spark, sf, "pages").select("page_id", markup.page_title(F.col("html")).alias("title"))
+    titles = dt.worked(spark, sf, "pages").select("page_id", markup.page_title(F.col("html")).alias("title"))
     return titles.withColumn("title", text.strip(markup.unescape(F.col("title"))))
 
 
 @register("c7_scoped_text", f"SELECT page_id, {_ARTICLE_TEXT} AS body FROM pages")
 def c7(spark, sf):
-    bodies = dt.texts(spark, sf, "pages").select("page_id", markup.tag_text(F.col("html"), "article").alias("body"))
+    bodies = dt.worked(spark, sf, "pages").select("page_id", markup.tag_text(F.col("html"), "article").alias("body"))
     return bodies.withColumn("body", markup.unescape(F.col("body")))
 
 
 @register("c8_main_text", f"SELECT page_id, {_MAIN_TEXT} AS body FROM pages")
 def c8(spark, sf):
-    bodies = dt.texts(spark, sf, "pages").select("page_id", markup.main_text(F.col("html")).alias("body"))
+    bodies = dt.worked(spark, sf, "pages").select("page_id", markup.main_text(F.col("html")).alias("body"))
     return bodies.withColumn("body", markup.unescape(F.col("body")))
 
 
@@ -171,7 +171,7 @@ links AS (
 
 
 def _links(spark, sf):
-    pages = dt.texts(spark, sf, "pages")
+    pages = dt.worked(spark, sf, "pages")
     marked = pages.withColumn("html", F.replace("html", F.lit('href="/t'), F.lit(f'href="{params.AASTOCKS_ARTICLE_MARK}/t')))
     return extraction.page_links(marked, F.regexp_extract("url", "^(https?://[^/]+)", 1), "page_id")
 
@@ -231,7 +231,7 @@ _HAN = "translate(text, 'aeiou', '一二三四五')"
   SELECT doc_id, coalesce(length(regexp_replace({_HAN}, '[^一-鿿]', '', 'g')) / nullif(length(text), 0), 0.0) AS share FROM documents)""")
 def c17(spark, sf):
     han = F.translate("text", "aeiou", "一二三四五")
-    return dt.texts(spark, sf, "documents").select(
+    return dt.worked(spark, sf, "documents").select(
         "doc_id", F.round(text.chinese_ratio(han), 6).alias("share"), text.is_chinese(han).alias("is_chinese")
     )
 
@@ -256,7 +256,7 @@ outcomes AS (
 
 def _attempts(spark, sf):
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    attempts = dt.table(spark, sf, "lineitem").select(
+    attempts = dt.worked(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
         F.when(part % 7 == 0, 429).when(part % 7 == 1, 404).when(part % 7 != 2, 200).alias("status"),
         F.when(supp % 4 == 0, "browser").otherwise("http").alias("channel"),
@@ -290,14 +290,14 @@ def e2(spark, sf):
     did = F.col("doc_id")
     primary = F.when((did % 4 == 0) | (did % 6 == 5), "  ").otherwise(F.left("text", F.lit(80)))
     fallback = F.when(did % 6 == 5, "").otherwise(F.col("text"))
-    docs = dt.texts(spark, sf, "documents").withColumn("_r", extraction.route_text(primary, fallback, did % 9 == 0))
+    docs = dt.worked(spark, sf, "documents").withColumn("_r", extraction.route_text(primary, fallback, did % 9 == 0))
     return docs.select("doc_id", "_r.body", "_r.failure")
 
 
 @register("f1_source_check", "SELECT source, CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'unknown source: ' || source END AS error, count(*) AS n FROM documents GROUP BY ALL")
 def f1(spark, sf):
     error = cleaning.source_check(F.col("source"), ["src0", "src1", "src2", "src3"])
-    return dt.texts(spark, sf, "documents").groupBy("source", error.alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    return dt.worked(spark, sf, "documents").groupBy("source", error.alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- cleaning ------------------------------------------------------------------------------
@@ -377,7 +377,7 @@ _ERROR_LOG = "error_log AS (SELECT source || '/' || CAST(n_chars AS VARCHAR) AS
 @register("j2_skip_failed_urls", f"WITH {sp.RAW}, {_ERROR_LOG} SELECT raw_id, source_url FROM raw WHERE source_url NOT IN (SELECT url FROM error_log)")
 def j2(spark, sf):
     bad = dt.table(spark, sf, "labels").where("toxic = 1")
-    log = dt.texts(spark, sf, "documents").join(bad, "doc_id").select(F.concat_ws("/", "source", F.col("n_chars").cast("string")).alias("url"))
+    log = dt.worked(spark, sf, "documents").join(bad, "doc_id").select(F.concat_ws("/", "source", F.col("n_chars").cast("string")).alias("url"))
     return cleaning.skip_failed_urls(dt.raw_news(spark, sf), log).select("raw_id", "source_url")
 
 

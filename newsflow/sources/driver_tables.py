@@ -17,13 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with long text columns, given in one row group."""
+def worked(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table that needs much work per row and is given in one or few row groups."""
     return spread(table(spark, folder, name))
 
 
 def raw_news(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_of(texts(spark, folder, "documents"))
+    return raw_of(worked(spark, folder, "documents"))
 
 
 def raw_of(docs: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def raw_of(docs: DataFrame) -> DataFrame:
 
 def events_as_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Entity events from the event stream; 50 stocks, 5 types, 4 sources."""
-    return reports_of(table(spark, folder, "events"))
+    return reports_of(worked(spark, folder, "events"))
 
 
 def reports_of(events: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
         )
         .otherwise(html)
     )
-    return texts(spark, folder, "pages").select("page_id", F.col("url").alias("source_url"), source.alias("source_name"), page.alias("html"))
+    return worked(spark, folder, "pages").select("page_id", F.col("url").alias("source_url"), source.alias("source_name"), page.alias("html"))
 
 
 def feed_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,12 @@ from newsflow import params
 from newsflow.functions import dates, markup, stocks, text, urls
 
 
+# The classes of the text cells.
+CELLS = {"headline": "headline", "release": "release-time", "stock": "stock-short-code"}
+# Parts the cells of a row while their character references are decoded together.
+SEPARATOR = "\u0001"
+
+
 def _cell(row: Column, class_name: str) -> Column:
     """Text of the first ``td`` or ``div`` that carries the class; empty when absent."""
     inner = F.regexp_extract(
@@ -16,7 +22,7 @@ def _cell(row: Column, class_name: str) -> Column:
         rf"(?is)<(?:td|div)\b[^>]*\bclass\s*=\s*\"(?:[^\"]*\s)?{class_name}(?:\s[^\"]*)?\"[^>]*>(.*?)</(?:td|div)",
         1,
     )
-    return markup.unescape(F.regexp_replace(inner, markup.TAG, ""))
+    return F.regexp_replace(inner, markup.TAG, "")
 
 
 def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -29,10 +35,10 @@ def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     return (
         pages.select(*[c for c in pages.columns if c != html], F.posexplode(rows).alias("row_no", "_row"))
         .withColumn("pdf_href", F.when(row.rlike(link) & (href.endswith(".pdf") | (href == "")), href))
-        .withColumn("headline", _cell(row, "headline"))
-        .withColumn("release", _cell(row, "release-time"))
-        .withColumn("stock", _cell(row, "stock-short-code"))
-        .drop("_row")
+        .withColumn("_cells", F.concat_ws(SEPARATOR, *[_cell(row, c) for c in CELLS.values()]))
+        .withColumn("_cells", F.split(markup.unescape(F.col("_cells")), SEPARATOR))
+        .withColumns({name: F.get("_cells", F.lit(i)) for i, name in enumerate(CELLS)})
+        .drop("_row", "_cells")
     )
 
 
