@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow import params
 from newsflow.functions import text
-from newsflow.session import small
+from newsflow.session import distinct_keys, small
 
 
 def live(raw: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def skip_failed_urls(articles: DataFrame, error_log: DataFrame, url: str = "sour
                      since: Column | None = None) -> DataFrame:
     """Articles whose address is not in the error log, optionally only since a given time."""
     log = error_log if since is None else error_log.where(F.col("created_at") >= since)
-    return articles.join(log.select(F.col("url").alias(url)).distinct(), url, "left_anti")
+    return articles.join(distinct_keys(log.select(F.col("url").alias(url)), url), url, "left_anti")
 
 
 def with_raw_columns(cleaned: DataFrame, raw: DataFrame) -> DataFrame:

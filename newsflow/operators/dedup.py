@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow import params
-from newsflow.session import materialise
+from newsflow.session import distinct_keys, materialise, small
 
 
 def first_links(links: DataFrame, *page: str, link: str = "link", position: str = "position") -> DataFrame:
@@ -43,13 +43,13 @@ def duplicate_titles(raw: DataFrame) -> DataFrame:
 
 def hash_seen_live(candidates: DataFrame, raw: DataFrame) -> DataFrame:
     """Candidates whose title hash belongs to a live stored row."""
-    known = raw.where(~F.col("is_deleted")).select("raw_hash").distinct()
+    known = distinct_keys(raw.where(~F.col("is_deleted")), "raw_hash")
     return candidates.join(known, "raw_hash", "left_semi")
 
 
 def absent(candidates: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose key is not stored yet, one row per key (smallest row wins)."""
-    fresh = candidates.join(stored.select(*keys).distinct(), keys, "left_anti")
+    fresh = candidates.join(distinct_keys(stored, *keys), keys, "left_anti")
     payload = [c for c in candidates.columns if c not in keys]
     if not payload:
         return fresh.distinct()
@@ -58,13 +58,36 @@ def absent(candidates: DataFrame, stored: DataFrame, keys: list[str]) -> DataFra
 
 def absent_on_url_and_hash(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Candidates whose address and title hash are both unknown to the stored table."""
-    return candidates.join(stored.select("source_url").distinct(), "source_url", "left_anti").join(
-        stored.select("raw_hash").distinct(), "raw_hash", "left_anti"
+    return candidates.join(distinct_keys(stored, "source_url"), "source_url", "left_anti").join(
+        distinct_keys(stored, "raw_hash"), "raw_hash", "left_anti"
+    )
+
+
+# A key with more rows than this is joined by broadcast.  There are at most (all rows / HOT_ROWS)
+# such keys.
+HOT_ROWS = 1_000_000
+
+
+def _with_first(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Adds ``first_<key>``, the earliest ``o`` of the row's key, and ``n_<key>``, its rows.
+
+    The minimum combines before the shuffle.  Rows of hot keys get it by broadcast, where they
+    are; only the others are shuffled to meet it.  ``rows`` is a stored table.
+    """
+    first = materialise(
+        rows.groupBy(key).agg(F.min("o").alias(f"first_{key}"), F.count(F.lit(1)).alias(f"n_{key}")), "first"
+    )
+    hot = first.where(F.col(f"n_{key}") > hot_rows)
+    if hot.isEmpty():
+        return rows.join(first, key)
+    cold = first.where(F.col(f"n_{key}") <= hot_rows)
+    return rows.join(small(hot), key).unionByName(
+        rows.join(small(hot.select(key)), key, "left_anti").join(cold, key)
     )
 
 
 def first_accepted(rows: DataFrame, arrival: Column, key_a: str = "source_url", key_b: str = "raw_hash",
-                   row_id: str = "raw_id") -> DataFrame:
+                   row_id: str = "raw_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Identifiers of the rows that two unique constraints would let in, in arrival order.
 
     A row is accepted unless its address or its hash belongs to an *accepted* earlier row.
@@ -77,30 +100,27 @@ def first_accepted(rows: DataFrame, arrival: Column, key_a: str = "source_url",
     undecided row is settled each time; the loop runs until none is left.
     """
     order = F.struct(arrival.alias("at"), F.col(row_id).alias("id"))
-    open_rows = rows.groupBy(F.col(key_a).alias("a"), F.col(key_b).alias("b")).agg(F.min(order).alias("o"))
-    lone_a = open_rows.groupBy("a").agg(F.min("o").alias("first_a"), F.count(F.lit(1)).alias("n_a"))
-    lone_b = open_rows.groupBy("b").agg(F.min("o").alias("first_b"), F.count(F.lit(1)).alias("n_b"))
-    seen = materialise(
-        open_rows.join(lone_a, "a").join(lone_b, "b").select("a", "b", "o", "first_a", "first_b", "n_a", "n_b"),
-        "first-accepted",
+    undecided = materialise(
+        rows.groupBy(F.col(key_a).alias("a"), F.col(key_b).alias("b")).agg(F.min(order).alias("o")), "undecided"
     )
-    alone = (F.col("n_a") == 1) & (F.col("n_b") == 1)
-    done = [seen.where(alone).select(F.col("o.id").alias(row_id))]
-    seen = seen.where(~alone).select("a", "b", "o", "first_a", "first_b")
-    while not seen.isEmpty():
-        winners = seen.where((F.col("o") == F.col("first_a")) & (F.col("o") == F.col("first_b")))
+    done = []
+    while not undecided.isEmpty():
+        seen = materialise(_with_first(undecided, "a", hot_rows), "seen")
+        seen = materialise(_with_first(seen, "b", hot_rows), "seen")
+        wins = (F.col("o") == F.col("first_a")) & (F.col("o") == F.col("first_b"))
+        winners = seen.where(wins)
         done.append(winners.select(F.col("o.id").alias(row_id)))
-        rest = (
-            seen.select("a", "b", "o")
-            .join(winners.select("a"), "a", "left_anti")
-            .join(winners.select("b"), "b", "left_anti")
-        )
-        first_a = rest.groupBy("a").agg(F.min("o").alias("first_a"))
-        first_b = rest.groupBy("b").agg(F.min("o").alias("first_b"))
-        seen = materialise(
-            rest.join(first_a, "a").join(first_b, "b").select("a", "b", "o", "first_a", "first_b"),
-            "first-accepted",
+        # A winner without rivals takes no other row with it.
+        rivals = winners.where((F.col("n_a") > 1) | (F.col("n_b") > 1))
+        undecided = materialise(
+            seen.where(~wins)
+            .select("a", "b", "o")
+            .join(rivals.select("a"), "a", "left_anti")
+            .join(rivals.select("b"), "b", "left_anti"),
+            "undecided",
         )
+    if not done:
+        return undecided.select(F.col("o.id").alias(row_id))
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)

@@ -52,9 +52,11 @@ def latency_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     to one row with a count before anything is ordered.
     """
     counted = samples.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = materialise(counted, "counted")
     placed = running_total(counted, [group], [F.col(value)], F.col("_n"), "_upto")
-    sizes = placed.groupBy(group).agg(
-        F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")
+    # Stored, so that the join below can be broadcast or split around a hot group.
+    sizes = materialise(
+        counted.groupBy(group).agg(F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")), "sizes"
     )
     n = F.col("n")
     holds = lambda index: F.when((F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto")), F.col(value))

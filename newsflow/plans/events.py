@@ -135,7 +135,7 @@ def s11(spark, sf):
 @register("j6_event_members", f"""{_ROWS} SELECT event_id, entity_event_id, headline, first_us FROM merged JOIN event_rows USING (event_id)""")
 def j6(spark, sf):
     merged = materialise(merged_reports(spark, sf), "merged")
-    event_rows = rollup.events(rollup.per_source(merged))
+    event_rows = materialise(rollup.events(rollup.per_source(merged)), "events")
     pairs = merging.entity_map(merged, _AS_OF())
     rows = rollup.members(event_rows, pairs, dt.events_as_reports(spark, sf))
     return rows.select("event_id", "entity_event_id", "headline", F.unix_micros("first_seen_at").alias("first_us"))

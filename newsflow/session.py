@@ -62,6 +62,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def distinct_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys as a stored table, for existence joins.
+
+    Duplicates go before the shuffle.  As the table is read afresh, both inputs of the join are
+    plain shuffles, which adaptive execution can broadcast or split when a key is hot; it
+    cannot when one input is the output of an aggregate.
+    """
+    return materialise(rows.select(*keys).distinct(), "keys")
+
+
 _open = threading.local()
 
 

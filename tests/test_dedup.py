@@ -41,6 +41,18 @@ def test_hot_hash_holds_a_third(spark):
     assert accepted(spark, rows) == sequential(rows)
 
 
+def test_hot_keys_by_broadcast(spark):
+    rng = random.Random(3)
+    rows = [(f"{i:04d}", f"u{rng.randint(0, 300)}", "hot" if i % 3 == 0 else f"h{rng.randint(0, 300)}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "raw_id string, source_url string, raw_hash string, at int")
+    got = sorted(r["raw_id"] for r in dedup.first_accepted(df, F.col("at"), hot_rows=50).collect())
+    assert got == sequential(rows)
+
+
+def test_no_rows(spark):
+    assert accepted(spark, []) == []
+
+
 def test_long_conflict_chain(spark):
     rows = [(f"{i:02d}", f"u{(i + 1) // 2}", f"h{i // 2}", i) for i in range(14)]
     assert accepted(spark, rows) == sequential(rows)

@@ -64,6 +64,20 @@ def test_no_row_window_over_a_key(spark):
     assert plan.index("HashAggregate") > plan.index("Window")
 
 
+def test_rows_meet_their_event_on_key_and_slot(spark):
+    """A hot key must not go to one task: the final join is on key and slot."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merging.assign(frame(spark, [(1, "k", 0), (2, "k", HOUR)]), Span.hours())
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        line = next(l for l in text.splitlines() if "SortMergeJoin" in l)
+        assert "slot" in line
+        shuffles = [l for l in text.splitlines() if "Exchange hashpartitioning" in l]
+        assert "slot" in shuffles[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def stream_batches(spark, batches, span, lateness=0):
     opened, newest, out, late = spark.createDataFrame([], stream.OPEN_EVENTS), None, {}, []
     for rows in batches:
