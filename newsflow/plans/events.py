@@ -246,7 +246,7 @@ def t1(spark, sf):
 def t2(spark, sf):
     rows = brief.watchlist(brief.above_noise(final_events(spark, sf)), WATCHLIST, 20)
     return rows.select(
-        "rank", "position", "is_match", "event_id", "stock_code", "event_type_primary", r6("final_abs_final_score").alias("abs_final_score"),
+        F.col("rank").cast("long").alias("rank"), F.col("position").cast("long").alias("position"), "is_match", "event_id", "stock_code", "event_type_primary", r6("final_abs_final_score").alias("abs_final_score"),
         r6("final_base_rule_score").alias("base_rule_score"), stamp("first_seen_at").alias("first_seen_at"), stamp("last_seen_at").alias("last_seen_at"),
     )
 
@@ -283,7 +283,7 @@ _MEMBERS = f"""{sp.event_chain(24, 48)}, {sp.AUTHORITY}, members AS (SELECT m.*,
 
 @register("w4_latest_per_source", f"{_MEMBERS} SELECT event_id, source_name, entity_event_id, place FROM latest")
 def w4(spark, sf):
-    return brief.latest_per_source(_members(spark, sf)).select("event_id", "source_name", "entity_event_id", "place")
+    return brief.latest_per_source(_members(spark, sf)).select("event_id", "source_name", "entity_event_id", F.col("place").cast("long").alias("place"))
 
 
 @register("w5_summary_budget", f"""{_MEMBERS},
