@@ -19,6 +19,11 @@ BETWEEN_WORDS = rf"[^\p{{L}}\p{{N}}]+|[{HAN}]+"
 HAN_PAIRS = rf"(?=([{HAN}]{{2}}))"
 
 
+# Largest number of names that goes to every task as one map.  The map passes through the
+# projections of a row, as lambdas take no subquery, so it is kept to a few hundred kilobytes;
+# a main-board list with two names per stock is about half of this.
+NAMES_MAX = 10_000
+
 
 def lookup_by_code(queries: DataFrame, master: DataFrame, query: str = "query") -> DataFrame:
     """Exact lookup of ``700``, ``00700`` or ``00700.HK``; ``found`` is false without a match."""
@@ -116,7 +121,7 @@ def mentioned_stocks(articles: DataFrame, master: DataFrame, article: str = "cle
     the distinct anchors of the texts are shuffled to the names instead.
     """
     names = _anchored_names(master)
-    if not is_small(names):
+    if not is_small(names, NAMES_MAX):
         return _mentions_by_shuffle(articles, names, master, article, body)
     return _one_row_per_code(_with_codes(articles.select(article, body), names, master, body)).select(article, "stock_code")
 
@@ -231,7 +236,7 @@ def entity_events(articles: DataFrame, master: DataFrame, keywords: dict[str, li
     """
     body = F.col("body_cleaned")
     names = _anchored_names(master)
-    if is_small(names):
+    if is_small(names, NAMES_MAX):
         tagged = _with_codes(articles, names, master, "body_cleaned")
     else:
         matched = _mentions_by_shuffle(articles, names, master, "cleaned_id", "body_cleaned")
