@@ -3,8 +3,10 @@
 import pytest
 from compare import compare, entry
 
+from newsflow.plans import registry
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sf, name):
     rows, problem = compare(spark, sf, name)
     assert not problem and rows >= 0
@@ -15,4 +17,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.ORACLES) == set(registry.QUERIES)
