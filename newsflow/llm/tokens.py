@@ -20,8 +20,10 @@ from newsflow.llm import arrow
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it the memory is emptied.
-KNOWN_WORDS = 300_000
+#: Words whose ids a worker remembers, in two generations: the older one is dropped when the newer is full.
+KNOWN_WORDS = 1_000_000
+#: Text bytes encoded at a time: the more, the fewer distinct words per word.
+TEXT_BYTES = 12 << 20
 #: Letters then punctuation: two units that the tokenizer always separates.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _MARK = "\x01"
@@ -45,6 +47,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -68,12 +71,13 @@ class WordEncoder:
         units = []
         for word in words:
             match = _PLAIN.fullmatch(word)
-            units.append((match[1], match[2]) if match else (word, ""))
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
+            units.append(match.groups() if match else (word, ""))
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = {u for pair in units for u in pair if u not in known}
-        self._learn(sorted(new))
+        known.update((u, older[u]) for u in new if u in older)
+        self._learn([u for u in new if u not in known])
         return [known[a] + known[b] if b else known[a] for a, b in units]
 
     def encode(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +113,7 @@ def encoder(path: str) -> WordEncoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their texts' ids and offsets."""
     coder = encoder(path)
-    for batch in arrow.slices(batches):
+    for batch in arrow.slices(batches, limit=TEXT_BYTES):
         yield batch, *coder.encode(arrow.texts(batch))
 
 
