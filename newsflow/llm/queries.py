@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import packing, slots, tokenfile, tokens
+from newsflow.llm import packing, partenum, quantised, slots, tokenfile, tokens
 from newsflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,13 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = f"{shared_dir(spark)}/newsflow/{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
     tokenfile.write(table(spark, folder, "documents"), target, tokens.tokenizer_path())
     return tokenfile.read(spark, target)
+
+
+@register("op8_product_quantisation")
+def product_quantisation(spark: SparkSession, folder: str) -> DataFrame:
+    return quantised.near_vectors(table(spark, folder, "embeddings"))
+
+
+@register("op10_partenum")
+def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, folder, "documents"))
