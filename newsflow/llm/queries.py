@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import packing, partenum, quantised, slots, tokenfile, tokens
+from newsflow.llm import decontamination, disclosure, packing, partenum, quantised, severity, slots, tokenfile, tokens
 from newsflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op2_latent_decontamination")
+def latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op4_disclosure")
+def disclosed(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.report(table(spark, folder, "documents"))
+
+
+@register("op7_ordinal_toxicity")
+def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = severity.train(docs, table(spark, folder, "labels"))
+    return severity.scored(docs, model).select("doc_id", "p1", "p2", "p3", "severity", "toxic")
+
+
 @register("op3_virtual_slots")
 def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     placed = slots.sharded(table(spark, folder, "documents"), 24)
