@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about ``limit`` bytes of ``column``; a longer row stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows of about ``limit`` bytes of ``columns`` (``text``); a longer row stands alone."""
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0) for c in columns or ("text",)]
+        sizes = sum(np.asarray(n, dtype=np.int64) for n in lengths)
         part = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:]):

@@ -152,7 +152,7 @@ def space(stored: DataFrame, benchmark: list[np.ndarray]) -> Space:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(11).standard_normal((COLUMNS, RANK)).astype(np.float32)
         total = np.zeros((COLUMNS, RANK), dtype=np.float32)
-        for batch in arrow.slices(batches, "codes", _SLICE):
+        for batch in arrow.slices(batches, "codes", limit=_SLICE):
             codes, cuts = _read(batch)
             if len(codes):
                 held, rows = product(codes, cuts, shared.value, random)
@@ -239,7 +239,7 @@ def search(stored: DataFrame, space: Space, items: Items) -> DataFrame:
         space, items = shared.value
         answers = [w[-max(1, round(ANSWER * len(w))) :] for w in items.words]
         masks = [(_masks(w), _masks(a)) for w, a in zip(items.words, answers)]
-        for batch in arrow.slices(batches, "codes", _SLICE):
+        for batch in arrow.slices(batches, "codes", limit=_SLICE):
             codes, cuts = _read(batch)
             vectors, starts = latent(codes, cuts, space)
             cosine = vectors @ items.latent.T

@@ -21,25 +21,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm import tokens
+from newsflow.llm import arrow, tokens
 from newsflow.session import materialise, small
 
 _CODED = "doc_id bigint, segment int, segment_start bigint, n_tokens bigint, control binary, data binary"
 _READ = "doc_id bigint, segment int, segment_start bigint, n_tokens bigint, ids_crc32 bigint"
 
+_SLICE = 1 << 20
+
 #: Byte counts of the four ids of each control byte.
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks."""
-    ranks = ranks.astype(np.uint32)
-    lengths = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = lengths - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    whole = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), whole[np.arange(4) < lengths[:, None]].tobytes()
+def encode_ranks(ranks: np.ndarray, cuts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Control and data bytes of each text's ranks; ``cuts`` are the texts' offsets."""
+    ranks = ranks.astype("<u4")
+    code = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    sizes = np.diff(cuts)
+    quads = -(-sizes // 4)
+    first = np.concatenate([[0], np.cumsum(quads)])
+    padded = np.zeros(4 * first[-1], dtype=np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(4 * first[:-1] - cuts[:-1], sizes)] = code
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= code[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(code) + 1)])[cuts].tolist()
+    first = first.tolist()
+    return [(control[first[k] : first[k + 1]], data[ends[k] : ends[k + 1]]) for k in range(len(sizes))]
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -86,9 +93,8 @@ def id_counts(ids: DataFrame, kind: str, vocabulary: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            for value in batch.column("ids"):
-                total += np.bincount(np.frombuffer(value.as_py(), dtype=kind), minlength=vocabulary)
+        for batch in arrow.slices(batches, "ids"):
+            total += np.bincount(np.frombuffer(b"".join(v.as_py() for v in batch.column("ids")), dtype=kind), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -112,9 +118,10 @@ def write(docs: DataFrame, folder: str, path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            coded = [encode_ranks(shared.value[np.frombuffer(v.as_py(), dtype=kind)]) for v in batch.column("ids")]
+        for batch in arrow.slices(batches, "ids", limit=_SLICE):
             sizes = np.asarray(batch.column("n_tokens"))
+            ids = np.frombuffer(b"".join(v.as_py() for v in batch.column("ids")), dtype=kind)
+            coded = encode_ranks(shared.value[ids], np.concatenate([[0], np.cumsum(sizes)]))
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(

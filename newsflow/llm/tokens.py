@@ -21,9 +21,9 @@ from newsflow.llm import arrow
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a worker remembers, in two generations: the older one is dropped when the newer is full.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 800_000
 #: Text bytes encoded at a time: the more, the fewer distinct words per word.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 8 << 20
 #: Letters then punctuation: two units that the tokenizer always separates.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _MARK = "\x01"
