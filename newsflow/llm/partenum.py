@@ -11,9 +11,11 @@ fixed size; what many documents share (a passage, a licence) comes last and is s
 under 128 elements, and bands in which some set has too few halves, are partitioned into single
 elements, where the condition always holds.  A set near a band's upper end also signs for the next.
 
-Sets with a common signature are compared exactly: first each with one pivot per signature, which joins
+Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
-components, with further pivots, and at last the remaining pairs between components.
+components, with further pivots, and at last the remaining pairs between components.  A comparison begins
+with counts of elements in hashed buckets: where these alone differ by more than similar sets can, the
+pair is out; all others are compared exactly.
 
 Equal sets are one node.  Nodes and shingles are told apart by 64-bit hashes; two different ones agree
 with a chance of 2**-64 per pair.
@@ -51,6 +53,8 @@ CELLS, BLOCKS = 1 << 20, 64
 #: A signature counted more often is dealt over several cells of this many sets.
 HOT_SETS = 4096
 PIVOT_ROUNDS = 3
+#: Buckets of the counts by which most dissimilar pairs are told apart.
+BUCKETS = 256
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -238,17 +242,36 @@ def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
     return np.array(verdicts, dtype=bool)
 
 
+def bucket_counts(elements: np.ndarray) -> bytes:
+    """Elements per hashed bucket, 255 at most: sets differ by at least the sum of the differences."""
+    counts = np.bincount((elements & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar.  Each comparison is exact and by pair."""
+    """The pairs (a, b) of nodes whose texts are similar."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(v.as_py() for v in batch.column(k)), dtype=np.uint8).reshape(-1, BUCKETS) for k in ("buckets_a", "buckets_b"))
+            apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
+            sizes = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
+            good = pa.array((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "text_b", arrow.SLICE_BYTES // 2):
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.slices(batches, "text_a", "text_b"):
             good = pa.array(similar(batch.column("text_a"), batch.column("text_b")))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
+    def side(key: str, *columns: str) -> DataFrame:
+        return candidates.select(F.col("node").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
+
+    both = "a bigint, b bigint"
     pairs = materialise(pairs.distinct(), "pairs")
-    side = lambda k: candidates.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint"), "links")
+    counts = ["n", "buckets"]
+    pairs = materialise(pairs.join(side("a", *counts), "a").join(side("b", *counts), "b").mapInArrow(likely, both), "likely")
+    return materialise(pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(compared, both), "links")
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -299,7 +322,14 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, stored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text for each of ``nodes``."""
+    """For each of ``nodes`` one text, the size of its set and its bucket counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.slices(batches):
+            sets = shingle_sets(batch.column("text"))
+            sizes, buckets = pa.array([len(s) for s in sets], pa.int32()), pa.array([bucket_counts(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, buckets], ["node", "text", "n", "buckets"])
+
     first = stored.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     wanted = materialise(
         first.join(nodes, "node", "left_semi").select("node", F.col("r.doc_id").alias("r_doc"), F.col("r.text_key").alias("text_key")), "wanted"
@@ -307,7 +337,7 @@ def _texts(docs: DataFrame, stored: DataFrame, nodes: DataFrame) -> DataFrame:
     if is_small(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
     rows = _keyed(docs).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("r_doc")))
-    return rows.select("node", "text").dropDuplicates(["node"])
+    return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node bigint, text string, n int, buckets binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
