@@ -2,8 +2,8 @@
 
 Unit vectors are put into coarse inverted lists, and the residual to the list's centre is coded in
 subspaces.  A vector probes every list that can hold one within reach: two vectors with cosine of
-at least t are at most d = sqrt(2 - 2t) apart, so the partner's list has its centre within the distance
-to the own centre plus 2d, and within d plus the list's radius.  Inner products with the vectors of a
+at least t are at most d = sqrt(2 - 2t) apart, so a partner's list is one whose centre is within d plus the
+list's radius, and whose half-space (the points nearer to its centre than to the query's own) is within d.  Inner products with the vectors of a
 list are looked up from tables of the query's subspaces and the codes; as each vector's coding error
 is stored, a lookup plus that error is an upper bound, and no true link is lost.  What passes
 is reranked by the exact cosine in double precision.  Centres and codes are fitted on a bounded sample;
@@ -142,14 +142,19 @@ def probes(stored: DataFrame, index: Index, radii: np.ndarray, reach: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, radii = shared.value
+        lengths = (index.centres**2).sum(axis=1)
+        between = np.sqrt(np.maximum(0, lengths[:, None] + lengths - 2 * index.centres @ index.centres.T))
         for batch in batches:
             own = np.asarray(batch.column("dim")) == index.dim
             lists: list[list[int]] = [[_OTHER]] * batch.num_rows
             rows = np.flatnonzero(own)
             if len(rows):
                 points = units(batch.column("embedding").take(pa.array(rows)))
-                away = np.sqrt(np.maximum(0, 1 + (index.centres**2).sum(axis=1) - 2 * points @ index.centres.T))
-                near = away <= np.minimum(away.min(axis=1, keepdims=True) + 2 * reach, reach + radii) + _SLACK
+                squared = np.maximum(0, 1 + lengths - 2 * points @ index.centres.T)
+                near = np.sqrt(squared) <= reach + radii + _SLACK
+                for own_list in np.argsort(squared, axis=1)[:, :3].T:
+                    beyond = (squared - squared[np.arange(len(rows)), own_list, None]) / 2
+                    near &= beyond <= (reach + _SLACK) * between[own_list] + _SLACK
                 for row, hits in zip(rows.tolist(), near):
                     lists[row] = np.flatnonzero(hits).tolist()
             yield pa.RecordBatch.from_arrays(
