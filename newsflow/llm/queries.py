@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import decontamination, disclosure, packing, partenum, quantised, severity, slots, tokenfile, tokens
+from newsflow.llm import decontamination, disclosure, licences, maintext, packing, partenum, quantised, severity, slots, tokenfile, tokens
 from newsflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op1_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return maintext.extracted(table(spark, folder, "pages"), maintext.train(spark))
+
+
 @register("op2_latent_decontamination")
 def latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -41,6 +46,11 @@ def disclosed(spark: SparkSession, folder: str) -> DataFrame:
     return disclosure.report(table(spark, folder, "documents"))
 
 
+@register("op6_sentence_rules", licences.SQL)
+def sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scanned(table(spark, folder, "documents"))
+
+
 @register("op7_ordinal_toxicity")
 def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
