@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 HONG_KONG = "+08:00"
 
+# The forms of the sources' date cells.
+RELEASE_TIME = r"(\d{2}/\d{2}/\d{4} \d{2}:\d{2})"
+CHINESE_DATE = r"(?i)(\d{4})年(\d{1,2})月(\d{1,2})日.*?(\d{1,2}):(\d{2})\s*([AP])M"
+NEWSTIME = r"(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2})"
+
 
 def _from_hong_kong(wall_clock: Column) -> Column:
     return F.to_utc_timestamp(wall_clock, HONG_KONG)
@@ -14,14 +19,13 @@ def _from_hong_kong(wall_clock: Column) -> Column:
 
 def release_time(text: Column) -> Column:
     """``DD/MM/YYYY HH:mm`` anywhere in the cell, Hong Kong time."""
-    stamp = F.regexp_extract(text, r"(\d{2}/\d{2}/\d{4} \d{2}:\d{2})", 1)
+    stamp = F.regexp_extract(text, RELEASE_TIME, 1)
     return _from_hong_kong(F.try_to_timestamp(stamp, F.lit("dd/MM/yyyy HH:mm")))
 
 
 def chinese_date_cell(text: Column) -> Column:
     """``YYYY年M月D日 … h:mmAM`` on a 12-hour clock, Hong Kong time."""
-    pattern = r"(?i)(\d{4})年(\d{1,2})月(\d{1,2})日.*?(\d{1,2}):(\d{2})\s*([AP])M"
-    part = lambda i: F.regexp_extract(text, pattern, i)
+    part = lambda i: F.regexp_extract(text, CHINESE_DATE, i)
     number = lambda i: F.try_to_number(part(i), F.lit("9999")).cast("int")
     hour = number(4) % 12 + F.when(F.upper(part(6)) == "P", 12).otherwise(0)
     return _from_hong_kong(
@@ -32,7 +36,7 @@ def chinese_date_cell(text: Column) -> Column:
 def newstime_cell(text: Column) -> Column:
     """``YYYY/MM/DD HH:MM`` inside a script call, Hong Kong time."""
     stamp = F.regexp_replace(
-        F.regexp_extract(text, r"(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2})", 1), r"\s+", " "
+        F.regexp_extract(text, NEWSTIME, 1), r"\s+", " "
     )
     return _from_hong_kong(F.try_to_timestamp(stamp, F.lit("yyyy/MM/dd HH:mm")))
 

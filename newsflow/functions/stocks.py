@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What parts the codes of a cell, and the form of a pagination label.
+CODE_BREAK = r"[\s,]+"
+PAGINATION = r"(\d+)\D+(\d+)"
+
 
 def split_codes(cell: Column) -> Column:
     """Codes of a listing cell, split on blanks and commas."""
-    tokens = F.split(F.trim(F.coalesce(cell, F.lit(""))), r"[\s,]+")
+    tokens = F.split(F.trim(F.coalesce(cell, F.lit(""))), CODE_BREAK)
     return F.filter(tokens, lambda t: t != "")
 
 
@@ -35,9 +39,8 @@ def mentions(extra_metadata: Column, code: Column | str) -> Column:
 
 def pagination(label: Column) -> Column:
     """``Showing 100 of 1471 records`` to (showing, total, complete); null when unreadable."""
-    pattern = r"(\d+)\D+(\d+)"
-    showing = F.regexp_extract(label, pattern, 1).try_cast("int")
-    total = F.regexp_extract(label, pattern, 2).try_cast("int")
+    showing = F.regexp_extract(label, PAGINATION, 1).try_cast("int")
+    total = F.regexp_extract(label, PAGINATION, 2).try_cast("int")
     return F.when(
         showing.isNotNull() & total.isNotNull(),
         F.struct(showing.alias("showing"), total.alias("total"), (showing >= total).alias("complete")),

@@ -38,14 +38,15 @@ def assess(raw: DataFrame, body_min_length: int = params.BODY_MIN_LENGTH) -> Dat
     )
 
 
-def accepted(assessed: DataFrame, created_at: Column) -> DataFrame:
-    """Rows of the cleaned table."""
+def accepted(assessed: DataFrame, created_at: Column, *carried: str) -> DataFrame:
+    """Rows of the cleaned table; ``carried`` columns of the raw rows come along, without a join back to them."""
     return assessed.where(F.col("reject_reason").isNull()).select(
         text.derived_id(F.col("raw_id")).alias("cleaned_id"),
         "raw_id",
         "title_cleaned",
         "body_cleaned",
         created_at.alias("created_at"),
+        *carried,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsflow import params
 from newsflow.functions import scores, stocks, text
-from newsflow.session import is_small, small
+from newsflow.session import small
 
 # The ideograph blocks.  Ranges, since a script test per character is slow.
 HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
@@ -19,12 +19,6 @@ BETWEEN_WORDS = rf"[^\p{{L}}\p{{N}}]+|[{HAN}]+"
 HAN_PAIRS = rf"(?=([{HAN}]{{2}}))"
 
 
-# Largest number of names that goes to every task as one map.  The map passes through the
-# projections of a row, as lambdas take no subquery, so it is kept to a few hundred kilobytes;
-# a main-board list with two names per stock is about half of this.
-NAMES_MAX = 10_000
-
-
 def lookup_by_code(queries: DataFrame, master: DataFrame, query: str = "query") -> DataFrame:
     """Exact lookup of ``700``, ``00700`` or ``00700.HK``; ``found`` is false without a match."""
     wanted = F.when(stocks.looks_like_code(F.col(query)), stocks.standardise(F.col(query)))
@@ -113,38 +107,38 @@ def _occurs(lowered: Column, padded: Column, name: Column) -> Column:
 
 def mentioned_stocks(articles: DataFrame, master: DataFrame, article: str = "cleaned_id",
                      body: str = "body_cleaned") -> DataFrame:
-    """Distinct (article, stock_code) whose code or name occurs in the text.
+    """Distinct (article, stock_code) whose code or name occurs in the text."""
+    tagged = _with_codes(articles.select(article, body), master, article, body)
+    return _one_row_per_code(tagged).select(article, "stock_code").distinct()
 
-    Names are found through their anchor (first word or first two Chinese characters), so a
-    text is compared only with names whose anchor it has.  A master of checked size is sent to
-    every task as one map, and each text is read once, without a shuffle.  With a larger master
-    the distinct anchors of the texts are shuffled to the names instead.
-    """
-    names = _anchored_names(master)
-    if not is_small(names, NAMES_MAX):
-        return _mentions_by_shuffle(articles, names, master, article, body)
-    return _one_row_per_code(_with_codes(articles.select(article, body), names, master, body)).select(article, "stock_code")
 
+def _known(master: DataFrame) -> DataFrame:
+    """(key, name, stock_code): what a text is looked up by, anchors of names and written codes (without a name)."""
+    names = _names(master).withColumn("anchor", _anchor(F.col("name"))).where(F.col("anchor") != "")
+    codes = master.select("stock_code").where(F.col("stock_code").isNotNull()).distinct()
+    return names.select(F.concat(F.lit("name "), "anchor").alias("key"), "name", "stock_code").unionByName(
+        codes.select(F.concat(F.lit("code "), "stock_code").alias("key"), F.lit(None).cast("string").alias("name"), "stock_code")
+    )
 
-def _anchored_names(master: DataFrame) -> DataFrame:
-    return _names(master).withColumn("anchor", _anchor(F.col("name"))).where(F.col("anchor") != "")
 
+def _with_codes(articles: DataFrame, master: DataFrame, article: str, body: str) -> DataFrame:
+    """The articles with a stock, with ``_codes``, the distinct stocks of each text.
 
-def _with_codes(articles: DataFrame, names: DataFrame, master: DataFrame, body: str) -> DataFrame:
-    """Adds ``_codes``, the distinct stocks of each text; row by row."""
-    by_anchor = names.groupBy("anchor").agg(F.collect_list(F.struct("name", "stock_code")).alias("names"))
-    known = by_anchor.agg(F.map_from_entries(F.collect_list(F.struct("anchor", "names")))).scalar()
-    codes = master.agg(F.collect_set("stock_code")).scalar()
-    named = F.filter(F.col("_candidates"), lambda c: _occurs(F.col("_text"), F.col("_padded"), c["name"]))
-    written = F.array_intersect(stocks.codes_in_text(F.col(body)), codes)
-    return (
-        articles.withColumn("_text", F.lower(F.col(body)))
-        .withColumns({"_known": known, "_padded": _padded(F.col("_text"))})
-        .withColumn("_hits", F.array_intersect(_anchors(F.col("_text"), F.col("_padded")), F.map_keys("_known")))
-        .withColumn("_candidates", F.flatten(F.transform("_hits", lambda h: F.element_at(F.col("_known"), h))))
-        .withColumn("_codes", F.array_distinct(F.concat(F.transform(named, lambda c: c["stock_code"]), written)))
-        .drop("_text", "_known", "_padded", "_hits", "_candidates")
+    Keys of a text (words, pairs of Chinese characters, written codes) meet names and codes in one
+    join; only an article's own candidates come back, as one array per article, to its text, which
+    is read once more to compare them.  The plan is the same for a master of any size.
+    """
+    lowered, padded = F.lower(F.col(body)), _padded(F.lower(F.col(body)))
+    prefixed = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
+    keys = F.concat(prefixed("name ", _anchors(lowered, padded)), prefixed("code ", stocks.codes_in_text(F.col(body))))
+    met = articles.select(article, F.explode(keys).alias("key")).join(small(_known(master)), "key")
+    candidates = met.groupBy(article).agg(F.collect_set(F.struct("name", "stock_code")).alias("_candidates"))
+    texts = articles.join(candidates, article).withColumn("_text", lowered).withColumn("_padded", _padded(F.col("_text")))
+    named = F.filter(
+        "_candidates", lambda c: c["name"].isNull() | F.coalesce(_occurs(F.col("_text"), F.col("_padded"), c["name"]), F.lit(False))
     )
+    codes = F.array_distinct(F.transform(named, lambda c: c["stock_code"]))
+    return texts.withColumn("_codes", codes).drop("_text", "_padded", "_candidates")
 
 
 def _one_row_per_code(rows: DataFrame) -> DataFrame:
@@ -152,19 +146,6 @@ def _one_row_per_code(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stock_code", F.explode_outer("_codes")).where(F.col("stock_code").isNotNull())
 
 
-def _mentions_by_shuffle(articles: DataFrame, names: DataFrame, master: DataFrame, article: str, body: str) -> DataFrame:
-    texts = articles.select(article, F.lower(F.col(body)).alias("_text"), F.col(body).alias("_body"))
-    texts = texts.withColumn("_padded", _padded(F.col("_text")))
-    anchored = texts.select(article, F.explode(_anchors(F.col("_text"), F.col("_padded"))).alias("anchor"))
-    pairs = anchored.join(names, "anchor").drop("anchor")
-    compared = pairs.join(texts, article)
-    by_name = compared.where(_occurs(F.col("_text"), F.col("_padded"), F.col("name"))).select(article, "stock_code")
-    by_code = verified_only(
-        texts.select(article, F.explode(stocks.codes_in_text(F.col("_body"))).alias("stock_code")), master
-    )
-    return by_name.unionByName(by_code).distinct()
-
-
 def keyword_words(body: Column, *lists: list[str]) -> Column:
     """The words of the text that occur in any of the lists, repeats kept: one pass over the text."""
     wanted = sorted({k for words in lists for k in words})
@@ -235,13 +216,7 @@ def entity_events(articles: DataFrame, master: DataFrame, keywords: dict[str, li
     no row; ``articles`` itself is the record of what was analysed.
     """
     body = F.col("body_cleaned")
-    names = _anchored_names(master)
-    if is_small(names, NAMES_MAX):
-        tagged = _with_codes(articles, names, master, "body_cleaned")
-    else:
-        matched = _mentions_by_shuffle(articles, names, master, "cleaned_id", "body_cleaned")
-        codes = matched.groupBy("cleaned_id").agg(F.collect_list("stock_code").alias("_codes"))
-        tagged = articles.join(codes, "cleaned_id")
+    tagged = _with_codes(articles, master, "cleaned_id", "body_cleaned")
     # Once per article with a stock, before it is repeated for each of its stocks.
     has_stock = F.size("_codes") > 0
     analysed = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow import params
 from newsflow.functions import dates, markup, text, urls
+from newsflow.session import small
 
 SUCCESS, SKIPPED, RATE_LIMITED = "success", "skipped_empty", "rate_limited"
 
@@ -37,7 +38,7 @@ def classify(attempts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Adds ``outcome``, ``error_type`` and ``error_code``.
 
     Input columns: status, channel, parse_state, body.  Rate-limited and empty articles
-    count as neither success nor failure.  The catalogue holds five rows.
+    count as neither success nor failure.  The catalogue is broadcast if its checked size allows.
     """
     kind = failure_kind(F.col("status"), F.col("channel"), F.col("parse_state"))
     outcome = (
@@ -48,7 +49,7 @@ def classify(attempts: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
     return (
         attempts.withColumn("failure", kind)
-        .join(F.broadcast(catalogue), "failure", "left")
+        .join(small(catalogue), "failure", "left")
         .withColumn("outcome", outcome)
     )
 

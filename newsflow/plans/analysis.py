@@ -17,7 +17,7 @@ POSITIVE, NEGATIVE = ["is", "it", "est"], ["that", "with", "des"]
 
 _MASTER = f"""master AS (
   SELECT lpad(CAST(item_id + 1 AS VARCHAR), 5, '0') || '.HK' AS stock_code,
-    regexp_split_to_array(text, '\\s+')[1] || ' ' || regexp_split_to_array(text, '\\s+')[2] AS name FROM benchmark)"""
+    text AS name FROM benchmark)"""
 _WORDS = lambda t: f"' ' || trim(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
 _MENTIONS = f"""WITH {sp.RAW}, {sp.ASSESSED}, {_MASTER},
   articles AS (SELECT *, {_WORDS('body_cleaned')} AS padded FROM assessed WHERE reject_reason IS NULL),
@@ -25,9 +25,8 @@ _MENTIONS = f"""WITH {sp.RAW}, {sp.ASSESSED}, {_MASTER},
 
 
 def _articles(spark, sf):
-    raw = dt.raw_news(spark, sf)
-    cleaned = cleaning.accepted(cleaning.assess(raw), F.col("created_at"))
-    return cleaning.with_raw_columns(cleaned, raw)
+    assessed = cleaning.assess(dt.raw_news(spark, sf))
+    return cleaning.accepted(assessed, F.col("created_at"), "published_at", "source_name", "source_url")
 
 
 @register("e3_mentions", f"{_MENTIONS} SELECT sha256(raw_id) AS cleaned_id, stock_code FROM mentions")
@@ -35,6 +34,13 @@ def e3_mentions(spark, sf):
     return entities.mentioned_stocks(_articles(spark, sf), dt.master_from_benchmark(spark, sf))
 
 
+@register("e3_mentions_repeated", f"{_MENTIONS} SELECT sha256(raw_id) AS cleaned_id, stock_code FROM mentions")
+def e3_repeated(spark, sf):
+    """Every article twice: the rows are the same."""
+    articles = _articles(spark, sf)
+    return entities.mentioned_stocks(articles.unionByName(articles), dt.master_from_benchmark(spark, sf))
+
+
 def _count(words):
     return f"len(list_filter(letters, lambda x: list_contains({sp.listed(words)}, x)))"
 

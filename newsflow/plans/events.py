@@ -10,7 +10,7 @@ from newsflow.operators import brief, dedup, merging, rollup, scoring
 from newsflow.operators.merging import KEY, Span
 from newsflow.plans import sql_parts as sp
 from newsflow.plans.registry import exact, r6, register, stamp
-from newsflow.session import materialise, shared_dir
+from newsflow.session import materialise, shared_dir, small
 from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
 
@@ -129,7 +129,7 @@ def j8(spark, sf):
 @register("s11_active_sources", f"WITH {sp.REPORTS}, {sp.AUTHORITY} SELECT source_name, w AS authority_weight, count(*) AS n FROM reports JOIN authority USING (source_name) GROUP BY ALL")
 def s11(spark, sf):
     active = rollup.active_sources(dt.sources(spark))
-    return dt.events_as_reports(spark, sf).join(F.broadcast(active), "source_name").groupBy("source_name", "authority_weight").agg(F.count(F.lit(1)).alias("n"))
+    return dt.events_as_reports(spark, sf).join(small(active), "source_name").groupBy("source_name", "authority_weight").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("j6_event_members", f"""{_ROWS} SELECT event_id, entity_event_id, headline, first_us FROM merged JOIN event_rows USING (event_id)""")

@@ -13,9 +13,9 @@ from newsflow.streaming import delivery
 
 # --- feeds ---------------------------------------------------------------------------------
 
-_TITLE60 = "regexp_replace(left(regexp_extract(text, '^([^.' || chr(10) || ']*)', 1), 60), '[^\\p{L} ]', '', 'g')"
+_TITLE = "regexp_replace(regexp_extract(text, '^([^.' || chr(10) || ']*)', 1), '[^\\p{L} ]', '', 'g')"
 _ENTRIES = f"""entries AS (
-  SELECT doc_id, source, {sp.strip(_TITLE60)} AS title,
+  SELECT doc_id, source, {sp.strip(_TITLE)} AS title,
     CASE WHEN doc_id % 5 = 0 THEN 'https://ads.example/' ELSE 'https://hk.finance.yahoo.com/news/' END || doc_id AS url,
     CASE WHEN doc_id % 4 <> 0 THEN {sp.EPOCH} + to_minutes(doc_id) - to_hours(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 8 END) END AS published_at
   FROM documents WHERE doc_id % 13 <> 0)"""
@@ -284,11 +284,11 @@ def a5(spark, sf):
     return reports.outcome_counts(_attempts(spark, sf), "l_orderkey")
 
 
-@register("e2_text_routing", f"""SELECT doc_id, CASE WHEN doc_id % 9 <> 0 AND doc_id % 6 <> 5 THEN CASE WHEN doc_id % 4 = 0 THEN {sp.strip('text')} ELSE {sp.strip("left(text, 80)")} END END AS body,
+@register("e2_text_routing", f"""SELECT doc_id, CASE WHEN doc_id % 9 <> 0 AND doc_id % 6 <> 5 THEN CASE WHEN doc_id % 4 = 0 THEN {sp.strip('text')} ELSE {sp.strip("'parsed ' || text")} END END AS body,
   CASE WHEN doc_id % 9 = 0 THEN 'pdf_encrypted' WHEN doc_id % 6 = 5 THEN 'pdf_unreadable' END AS failure FROM documents""")
 def e2(spark, sf):
     did = F.col("doc_id")
-    primary = F.when((did % 4 == 0) | (did % 6 == 5), "  ").otherwise(F.left("text", F.lit(80)))
+    primary = F.when((did % 4 == 0) | (did % 6 == 5), "  ").otherwise(F.concat(F.lit("parsed "), "text"))
     fallback = F.when(did % 6 == 5, "").otherwise(F.col("text"))
     docs = dt.worked(spark, sf, "documents").withColumn("_r", extraction.route_text(primary, fallback, did % 9 == 0))
     return docs.select("doc_id", "_r.body", "_r.failure")

@@ -79,13 +79,12 @@ def sources(spark: SparkSession) -> DataFrame:
 
 
 def master_from_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    """A stock master whose company names are the first two words of each benchmark text."""
-    words = F.split(F.col("text"), r"\s+")
+    """A stock master whose company names are the benchmark texts."""
     sector = F.element_at(F.array(*[F.lit(s) for s in params.SECTORS]), (F.col("item_id") % 8 + 1).cast("int"))
     return table(spark, folder, "benchmark").select(
         stocks.standardise((F.col("item_id") + 1).cast("string")).alias("stock_code"),
         F.lit(None).cast("string").alias("company_name_zh"),
-        F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("company_name_en"),
+        F.col("text").alias("company_name_en"),
         sector.alias("sector"),
     )
 
@@ -128,7 +127,7 @@ def feed_items(spark: SparkSession, folder: str) -> DataFrame:
     """Feed items as XML text, one per document: some without a title, some advertisements."""
     docs = table(spark, folder, "documents")
     did = F.col("doc_id")
-    title = F.regexp_replace(F.left(F.regexp_extract("text", r"^([^.\n]*)", 1), F.lit(60)), r"[^\p{L} ]", "")
+    title = F.regexp_replace(F.regexp_extract("text", r"^([^.\n]*)", 1), r"[^\p{L} ]", "")
     host = F.when(did % 5 == 0, "https://ads.example/").otherwise("https://hk.finance.yahoo.com/news/")
     stamp = F.expr(f"timestampadd(MINUTE, doc_id, {EPOCH})")
     pub = F.concat(

@@ -80,7 +80,7 @@ def master(spark):
     return spark.createDataFrame(MASTER, "stock_code string, company_name_zh string, company_name_en string, sector string")
 
 
-def test_mentions_both_paths(spark, monkeypatch):
+def test_mentions_with_and_without_broadcast(spark, monkeypatch):
     texts = [
         ("1", "騰訊控股公佈業績；監管機構調查阿里巴巴"), ("2", "Shares of TENCENT  holdings rose, Alibabas fell"),
         ("3", "見 00388.HK 及 9988.HK，12345.HK"), ("4", "購買Alibaba股票"), ("5", "nothing here"),
@@ -88,7 +88,8 @@ def test_mentions_both_paths(spark, monkeypatch):
     df = spark.createDataFrame(texts, "cleaned_id string, body_cleaned string")
     want = [("1", "00700.HK"), ("1", "09988.HK"), ("2", "00700.HK"), ("3", "00388.HK"), ("3", "09988.HK"), ("4", "09988.HK")]
     assert sorted(map(tuple, entities.mentioned_stocks(df, master(spark)).collect())) == want
-    monkeypatch.setattr(entities, "is_small", lambda *_: False)
+    assert sorted(map(tuple, entities.mentioned_stocks(df.union(df), master(spark)).collect())) == want
+    monkeypatch.setattr(entities, "small", lambda rows: rows)
     assert sorted(map(tuple, entities.mentioned_stocks(df, master(spark)).collect())) == want
 
 
