@@ -27,21 +27,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject; it is fitted on the labels of all documents that came in."""
     model = severity.train(docs, _table(spark, sf_dir, "labels"))
-    return severity.scored(docs, model).where("not toxic").select(*docs.columns)
+    return severity.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; documents without words have none."""
+    """One document of each group of near copies, that with the smallest id; documents without words stay."""
     ship_package(spark)
-    found = partenum.near_duplicates(docs)
-    kept = found.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id")
-    # ids are unique here: the kept row of a component is the one whose id names it
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    return partenum.kept(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.clean(docs, _table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

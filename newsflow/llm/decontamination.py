@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.llm import arrow
+from newsflow.llm.names import unused
 from newsflow.session import is_small, materialise
 
 #: Words of a passage, and the step of sliding windows (a passage is a whole number of steps).
@@ -292,9 +293,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    bad = materialise(bad, "leaks")
+    key, doc, text = unused(docs, "_key", "_doc", "_text_key")
+    bad = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias(doc), F.col("text_key").alias(text)).distinct(), "leaks")
     bad = F.broadcast(bad) if is_small(bad, 1_000_000) else bad
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = (F.col("_text_key") == F.col("_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc"))
-    return rows.join(bad, same, "left_anti").drop("_text_key")
+    same = (F.col(key) == F.col(text)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc))
+    return docs.withColumn(key, F.xxhash64("text")).join(bad, same, "left_anti").drop(key)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.llm.names import unused
 from newsflow.session import is_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -211,15 +212,18 @@ def masked(text: Column, marks: Column) -> Column:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with masked texts and ``n_chars`` to match, if it has that column; other columns as they were."""
+    key, doc, text_key, found = unused(docs, "_key", "_doc", "_text_key", "_marks")
     marks = spans(docs).where((F.size("base") > 0) | (F.size("added") > 0)).select(
-        F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), F.concat("base", "added").alias("_marks")
-    ).dropDuplicates(["_doc", "_k"])
+        F.col("doc_id").alias(doc), F.col("_key").alias(text_key), F.concat("base", "added").alias(found)
+    ).dropDuplicates([doc, text_key])
     marks = materialise(marks, "marks")
     marks = F.broadcast(marks) if is_small(marks, BROADCAST_ROWS // 10) else marks
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = rows.join(marks, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    text = F.when(F.col("_marks").isNotNull(), masked(F.col("text"), F.col("_marks"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = rows.join(marks, (F.col(key) == F.col(text_key)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    changed = F.col(found).isNotNull()
+    text = F.when(changed, masked(F.col("text"), F.col(found))).otherwise(F.col("text")).alias("text")
+    sanitised_columns = [text if c == "text" else F.col(c) for c in docs.columns]
+    out = joined.select(*sanitised_columns, changed.alias(found))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_marks").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(found), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from newsflow.llm import arrow
 from newsflow.llm.components import components
+from newsflow.llm.names import unused
 from newsflow.session import is_small, materialise
 
 WORDS = 5
@@ -340,18 +341,49 @@ def _texts(docs: DataFrame, stored: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node bigint, text string, n int, buckets binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row; also ``node``, equal for equal sets."""
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """Every row's key, set size, node and component id."""
     stored = read_sets(docs)
-    rows = stored.where("block is null").select("doc_id", "node", F.col("n").cast("bigint").alias("n_shingles"))
+    rows = stored.where("block is null").select("doc_id", "text_key", "node", F.col("n").cast("bigint").alias("n_shingles"))
     first = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     labels = linked(docs, stored)
     grouped = first.join(labels, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialise(
-        first.join(labels, "node", "left").join(grouped, "component", "left").select("node", F.coalesce("component_id", "first").alias("component_id")),
+        first.join(labels, "node", "left").join(grouped, "component", "left").select(
+            "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "first").alias("component_id")
+        ),
         "named",
     )
-    joined = rows.join(named, "node", "left")
-    return joined.select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node"
+    return rows.join(named, "node", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row; also ``node``, equal for equal sets."""
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return _named_rows(docs).select("doc_id", "n_shingles", own.alias("component_id"), "node")
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """One row of each component, with the smallest doc_id (null last); rows without words all stay."""
+    rows = materialise(_named_rows(docs).where("n_shingles > 0"), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    chosen = rows.groupBy("component").agg(F.min(key).alias("k")).select("component", F.col("k.doc_id").alias("kept_doc"), F.col("k.text_key").alias("kept_key"))
+    met = rows.join(materialise(chosen, "chosen"), "component")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.col("text_key") == F.col("kept_key"))
+    keys = met.groupBy("doc_id", "text_key").agg(F.max(is_kept).alias("stays"), F.count("*").alias("times"))
+    key_name, doc_name, text_name = unused(docs, "_key", "_doc", "_text_key")
+    marked = materialise(
+        keys.where("not stays or times > 1").select(F.col("doc_id").alias(doc_name), F.col("text_key").alias(text_name), "stays"), "marked"
     )
+    keyed = docs.withColumn(key_name, F.xxhash64("text"))
+
+    def side(stays: bool) -> DataFrame:
+        part = marked.where("stays" if stays else "not stays").drop("stays")
+        return F.broadcast(part) if is_small(part, 2 * BROADCAST_ROWS) else part
+
+    same = (F.col(key_name) == F.col(text_name)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc_name))
+    single = keyed.join(side(False), same, "left_anti")
+    repeated = side(True)
+    once = single.join(repeated, same, "left_anti")
+    again = single.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key_name])
+    return once.unionByName(again).select(*docs.columns)

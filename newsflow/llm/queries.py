@@ -55,7 +55,7 @@ def sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
 def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = severity.train(docs, table(spark, folder, "labels"))
-    return severity.scored(docs, model).select("doc_id", "p1", "p2", "p3", "severity", "toxic")
+    return severity.scored(docs, model)
 
 
 @register("op3_virtual_slots")

@@ -12,8 +12,8 @@ on at most ``SAMPLE`` labelled rows, chosen by hash, and scores every text.
 
 Defined results: a null or empty text has no features and gets the base rates; equal rows get equal
 results; labels that are null or lack a text are not used, repeated labels of a text count each;
-without labels of both kinds nothing is toxic; an empty table gives no rows; clashing further columns
-of ``docs`` are kept by ``scored`` unless they bear the name of a result, which replaces them.
+without labels of both kinds nothing is toxic; an empty table gives no rows; further columns are ignored by
+``scored`` and kept as they are by ``accepted``.
 """
 
 from __future__ import annotations
@@ -180,21 +180,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``p1`` to ``p3`` (grade at least 1 to 3), ``severity`` and ``toxic``."""
+    """``doc_id``, ``p1`` to ``p3`` (grade at least 1 to 3), ``severity`` (the expected grade) and ``toxic``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     results = [*(f"p{k}" for k in range(1, GRADES)), "severity", "toxic"]
-    kept = [c for c in docs.columns if c not in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in arrow.slices(batches):
-            key, count, _ = features(arrow.texts(batch))
-            p = scores(model, key, count, batch.num_rows) if model else np.zeros((batch.num_rows, GRADES - 1))
+            p = _probabilities(batch, shared.value)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(p[:, k]) for k in range(GRADES - 1)), pa.array(p.sum(axis=1)), pa.array(p[:, 0] >= TOXIC)],
-                [*batch.schema.names, *results],
+                [batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(GRADES - 1)), pa.array(p.sum(axis=1)), pa.array(p[:, 0] >= TOXIC)],
+                ["doc_id", *results],
             )
 
-    rows = docs.select(*kept)
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} double" for c in results[:-1]), "toxic boolean"])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} double" for c in results[:-1]), "toxic boolean"])
     return rows.mapInArrow(run, kind)
+
+
+def _probabilities(batch: pa.RecordBatch, model: Model | None) -> np.ndarray:
+    if model is None:
+        return np.zeros((batch.num_rows, GRADES - 1))
+    key, count, _ = features(arrow.texts(batch))
+    return scores(model, key, count, batch.num_rows)
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.slices(batches):
+            yield batch.filter(pa.array(_probabilities(batch, shared.value)[:, 0] < TOXIC))
+
+    return docs.mapInArrow(run, docs.schema)
