@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow import params
+from newsflow import params, schemas
 from newsflow.functions import dates, markup, text, urls
 from newsflow.session import small
 
@@ -111,8 +111,26 @@ def page_links(pages: DataFrame, base: str | Column, *keep: str) -> DataFrame:
     )
 
 
+def filed_articles(announcements: DataFrame, texts: DataFrame, source: str = "HKEX") -> DataFrame:
+    """Accepted filings with the routed text of their document, in the shape of ``extract_pages``.
+
+    ``texts`` has one row per ``pdf_url`` with the struct of ``route_text``.  The stock codes of the
+    listing go into ``extra_metadata``; a filing whose text failed is no success.
+    """
+    return announcements.join(texts.select("pdf_url", "routed"), "pdf_url").select(
+        F.lit(source).alias("source_name"),
+        F.col("pdf_url").alias("source_url"),
+        text.or_empty(F.col("title")).alias("title"),
+        F.col("routed.body").alias("body"),
+        "published_at",
+        F.struct(F.col("stock_codes").alias("stock_code")).alias("extra_metadata"),
+        F.when(F.col("routed.failure").isNull(), SUCCESS).otherwise(F.col("routed.failure")).alias("outcome"),
+    )
+
+
 def raw_shape(articles: DataFrame, created_at: Column) -> DataFrame:
     """Successful articles in the stored raw shape, with derived identifiers."""
+    metadata = F.col("extra_metadata") if "extra_metadata" in articles.columns else F.lit(None)
     return articles.where(F.col("outcome") == SUCCESS).select(
         text.derived_id(F.col("source_url"), F.col("title")).alias("raw_id"),
         "source_name",
@@ -122,6 +140,7 @@ def raw_shape(articles: DataFrame, created_at: Column) -> DataFrame:
         "published_at",
         created_at.alias("created_at"),
         text.title_hash(F.col("title")).alias("raw_hash"),
+        metadata.cast(schemas.METADATA).alias("extra_metadata"),
         F.lit(False).alias("is_deleted"),
         F.lit(None).cast("string").alias("deleted_reason"),
     )

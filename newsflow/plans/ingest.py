@@ -204,14 +204,31 @@ def e1(spark, sf):
     )
 
 
-@register("u1_union_sources", """SELECT ['MINGPAO', 'AASTOCKS', 'YAHOO_HK'][page_id % 3 + 1] AS source_name, count(*) AS n FROM pages GROUP BY ALL""")
-def u1(spark, sf):
+_SOURCES_SQL = f"""WITH {_FILINGS},
+  pages_in AS (SELECT url AS source_url, ['MINGPAO', 'AASTOCKS', 'YAHOO_HK'][page_id % 3 + 1] AS source_name, {_PAGE_TITLE} AS title,
+    CASE WHEN page_id % 3 = 2 THEN {_MAIN_TEXT} ELSE {_ARTICLE_TEXT} END AS body, NULL AS stock_codes FROM pages),
+  listed AS (SELECT k, CASE WHEN starts_with(pdf_href, 'http') THEN pdf_href ELSE '{params.HKEX_BASE}' || pdf_href END AS source_url, headline AS title, codes FROM triaged WHERE reason = 'ok'),
+  filed AS (SELECT source_url, 'HKEX' AS source_name, title,
+      CASE WHEN doc_id % 4 = 0 OR {sp.strip("text")} = '' THEN {sp.strip("text")} ELSE {sp.strip("'parsed ' || text")} END AS body, array_to_string(codes, ' ') AS stock_codes
+    FROM listed JOIN documents ON doc_id = k WHERE doc_id % 9 <> 0 AND (doc_id % 4 <> 0 OR doc_id % 6 <> 5)),
+  sources AS (SELECT * FROM pages_in WHERE body <> '' UNION ALL SELECT * FROM filed)"""
+
+
+def _all_sources(spark, sf):
+    """Raw rows of the four sources; only filings carry metadata."""
+    at = F.lit("2026-05-01").cast("timestamp")
     pages = dt.site_pages(spark, sf)
-    parts = [
-        extraction.raw_shape(extraction.extract_pages(pages.where(F.col("source_name") == s)), F.lit("2026-05-01").cast("timestamp"))
-        for s in ("MINGPAO", "AASTOCKS", "YAHOO_HK")
-    ]
-    return extraction.union_sources(*parts).groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+    parts = [extraction.raw_shape(extraction.extract_pages(pages.where(F.col("source_name") == s)), at) for s in ("MINGPAO", "AASTOCKS", "YAHOO_HK")]
+    routed = extraction.route_text(F.col("primary"), F.col("fallback"), F.col("encrypted"))
+    texts = dt.filing_texts(spark, sf).withColumn("routed", routed)
+    filed = extraction.filed_articles(listings.announcements(_triaged(spark, sf)), texts)
+    return extraction.union_sources(*parts, extraction.raw_shape(filed, at))
+
+
+@register("u1_union_sources", f"{_SOURCES_SQL} SELECT source_name, source_url, title, body, stock_codes FROM sources")
+def u1(spark, sf):
+    return _all_sources(spark, sf).select(
+        "source_name", "source_url", "title", "body", F.array_join("extra_metadata.stock_code", " ").alias("stock_codes"))
 
 
 @register("c12_c13_page_times", f"""SELECT page_id, {sp.stamp('''CASE WHEN page_id % 3 = 0
