@@ -13,9 +13,9 @@ elements, where the condition always holds.  A set near a band's upper end also
 
 Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
-components, with further pivots, and at last the remaining pairs between components.  A comparison begins
-with counts of elements in hashed buckets: where these alone differ by more than similar sets can, the
-pair is out; all others are compared exactly.
+components, with further pivots, and at last all pairs between components, in blocks.  Signatures with the
+same sets count as one.  A comparison begins with counts of elements in hashed buckets: where these alone
+differ by more than similar sets can, the pair is out; all others are compared exactly.
 
 Equal sets are one node.  Nodes and shingles are told apart by 64-bit hashes; two different ones agree
 with a chance of 2**-64 per pair.
@@ -48,14 +48,16 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: Sets from this size on are partitioned into halves that hold ELEMENTS_PER_HALF elements at most on average.
 FIRST_BAND = 128
-ELEMENTS_PER_HALF = 1.5
+ELEMENTS_PER_HALF = 1.0
 #: Cells and blocks of the sketch of signature counts.
-CELLS, BLOCKS = 1 << 20, 64
+CELLS, BLOCKS = 1 << 21, 64
 #: A signature counted more often is dealt over several cells of this many sets.
 HOT_SETS = 4096
 PIVOT_ROUNDS = 3
-#: Buckets of the counts by which most dissimilar pairs are told apart.
+#: Fewest buckets of the counts by which most dissimilar pairs are told apart; larger sets have half their size or more.
 BUCKETS = 256
+#: Sets of a signature that one task compares with as many others.
+BLOCK = 512
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -245,19 +247,74 @@ def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
 
 def bucket_counts(elements: np.ndarray) -> bytes:
     """Elements per hashed bucket, 255 at most: sets differ by at least the sum of the differences."""
-    counts = np.bincount((elements & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    buckets = max(BUCKETS, 1 << max(0, len(elements) - 1).bit_length() - 1)
+    counts = np.bincount((elements & _U(buckets - 1)).astype(np.int64), minlength=buckets)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def _folded(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows of counts over fewer buckets."""
+    return counts.reshape(len(counts), -1, buckets).sum(axis=1, dtype=np.int16)
+
+
+def can_be_similar(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets that differ by at least ``apart`` elements can be similar, given the sums of their sizes."""
+    return (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * sizes
+
+
+def close_pairs(group: pa.Table) -> pa.Table:
+    """Pairs between the components of a cell whose bucket counts allow similarity.
+
+    ``side`` says whether a set is of the first block (1), the second (2) or both (3).
+    """
+    node, comp, side = (np.asarray(group[c]) for c in ("node", "comp", "side"))
+    size = np.asarray(group["n"]).astype(np.int64)
+    rows = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in group["buckets"]]
+    width = np.array([len(r) for r in rows])
+    low, high = [], []
+    for buckets in np.unique(width):
+        near = np.flatnonzero((width == buckets) | (width == 2 * buckets))
+        first = near[width[near] == buckets]
+        counts = np.concatenate([_folded(rows[k][None, :], buckets) for k in near])
+        at = {k: i for i, k in enumerate(near.tolist())}
+        for k in first.tolist():
+            others = near[(comp[near] != comp[k]) & (((side[k] & 1) & (side[near] >> 1)) | ((side[k] >> 1) & (side[near] & 1))).astype(bool)]
+            others = others[(width[others] > buckets) | (node[others] > node[k])]
+            others = others[DENOMINATOR * np.minimum(size[others], size[k]) >= NUMERATOR * np.maximum(size[others], size[k])]
+            if len(others):
+                apart = np.abs(counts[[at[o] for o in others.tolist()]] - counts[at[k]]).sum(axis=1, dtype=np.int64)
+                good = node[others[can_be_similar(apart, size[others] + size[k])]]
+                low.append(np.minimum(good, node[k]))
+                high.append(np.maximum(good, node[k]))
+    none = np.zeros(0, dtype=np.int64)
+    return pa.table({"a": np.concatenate(low) if low else none, "b": np.concatenate(high) if high else none})
+
+
+def pairs_in_blocks(left: DataFrame, candidates: DataFrame) -> DataFrame:
+    """All pairs (a, b) of sets of one signature and unlike components that can be similar."""
+    blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = left.select("sig", "node", "comp").join(materialise(blocks, "blocks"), "sig")
+    rows = rows.join(candidates.select("node", "n", "buckets"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = rows.withColumn("other", F.explode(other)).select(
+        "sig", "node", "comp", "n", "buckets", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+    return cells.groupBy("sig", "i", "j").applyInArrow(close_pairs, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(v.as_py() for v in batch.column(k)), dtype=np.uint8).reshape(-1, BUCKETS) for k in ("buckets_a", "buckets_b"))
-            apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
+            apart = []
+            for x, y in zip(batch.column("buckets_a"), batch.column("buckets_b")):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint8)[None, :] for v in (x, y))
+                least = min(x.shape[1], y.shape[1])
+                apart.append(np.abs(_folded(x, least) - _folded(y, least)).sum(dtype=np.int64))
             sizes = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
-            good = pa.array((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * sizes)
+            good = pa.array(can_be_similar(np.array(apart, dtype=np.int64), sizes))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +345,7 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
     cell = Window.partitionBy("sig", "cell")
     shared = rows.withColumn("_low", F.min("node").over(cell)).withColumn("_high", F.max("node").over(cell))
     shared = materialise(shared.where("_low < _high or hot").select("sig", "node", "n").distinct(), "shared")
+    shared = materialise(_one_of_equal_groups(shared), "shared")
     candidates = materialise(_texts(docs, stored, shared.select("node").distinct()), "candidates")
 
     found, left = None, shared.withColumn("comp", F.col("node"))
@@ -300,9 +358,7 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
             met = left.join(pivots, "sig").where("comp != comp_pivot").withColumnRenamed("n", "n_node")
             pairs = _pairs(met, "node", "pivot")
         else:
-            other = left.select("sig", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("comp").alias("comp_other"))
-            met = left.withColumnRenamed("n", "n_node").join(other, "sig").where("comp < comp_other")
-            pairs = _pairs(met, "node", "other")
+            pairs = pairs_in_blocks(left, candidates)
         edges = verified(pairs, candidates)
         found = edges if found is None else found.unionByName(edges)
         labels = components(found)
@@ -322,6 +378,14 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
     return labels
 
 
+def _one_of_equal_groups(shared: DataFrame) -> DataFrame:
+    """Signatures with at least two sets, and of those with the same sets only one.  Groups are told apart by 128 bits."""
+    mark = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("sets")]
+    groups = shared.groupBy("sig").agg(*mark).where("sets > 1")
+    chosen = materialise(groups.groupBy("x", "y", "sets").agg(F.min("sig").alias("sig")).select("sig"), "groups")
+    return shared.join(chosen, "sig", "left_semi")
+
+
 def _texts(docs: DataFrame, stored: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each of ``nodes`` one text, the size of its set and its bucket counts."""
 
