@@ -3,9 +3,10 @@
 Documents are cut into passages of words.  A randomised SVD of their TF-IDF matrix, in which benchmark
 passages are weighted rows, gives a latent space: each task adds up its part of A'(A R) for a seeded random
 matrix R, the parts are summed by blocks of columns, and an orthonormal base of the sum spans the space.
-Words are hashed to a fixed number of columns; document frequencies and the sum cover every passage.  Sliding
-windows of every document whose latent cosine with a benchmark passage is high are candidates.  A
-candidate is a leak if the longest common subsequence of the item's words and the text around the
+The columns are the benchmark's words, as others never add to an inner product with a benchmark passage; those
+count in the lengths of passages only, and words of more than a tenth of all passages have no weight.
+Passage frequencies and the sum cover every passage.  Sliding windows of every document whose latent cosine
+with a benchmark passage is high are candidates.  A candidate is a leak if the longest common subsequence of the item's words and the text around the
 window holds enough of the item, and enough of the answer, the item's last words.
 
 The benchmark is taken in blocks of bounded size, one search over all documents for each.
@@ -33,11 +34,13 @@ from newsflow.session import is_small, materialise
 
 #: Words of a passage, and the step of sliding windows (a passage is a whole number of steps).
 PASSAGE, STEP = 48, 16
-#: Hashed columns and latent dimensions.
-COLUMNS, RANK = 1 << 15, 64
+#: Latent dimensions.
+RANK = 64
+#: Words of more than this share of passages have no weight.
+COMMON = 0.1
 #: Weight of benchmark rows, as a share of the number of corpus passages over that of benchmark passages.
 BENCHMARK_WEIGHT = 0.1
-COSINE = 0.3
+COSINE = 0.2
 #: Shares of the item's and of the answer's words that must be found in order.
 ITEM_SHARE, ANSWER_SHARE = 0.7, 0.5
 #: The answer: this share of an item's words, at its end.
@@ -48,17 +51,47 @@ _SLICE = 768 << 10
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+class Vocabulary:
+    """The benchmark's words as columns, found by a bitmap of hashes and then by search."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.codes = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint32)
+        self.bitmap = np.zeros(1 << 20, dtype=bool)
+        self.bitmap[self.codes & np.uint32((1 << 20) - 1)] = True
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the known words in ``codes``, and their columns."""
+        at = np.flatnonzero(self.bitmap[codes & np.uint32((1 << 20) - 1)])
+        if not len(at):
+            return at, at
+        column = np.searchsorted(self.codes, codes[at]).clip(max=len(self.codes) - 1)
+        known = self.codes[column] == codes[at]
+        return at[known], column[known]
+
+
 @dataclass(frozen=True)
-class Space:
-    """Weights of the columns and an orthonormal base (columns x rank)."""
+class Weights:
+    """Weights of the columns (0 for common words), and that of any other word."""
 
+    vocabulary: Vocabulary
     idf: np.ndarray
+    other: float
+
+
+@dataclass(frozen=True)
+class Space:
+    """Weights and an orthonormal base (columns x rank)."""
+
+    weights: Weights
     base: np.ndarray
 
 
 @dataclass(frozen=True)
 class Items:
-    """Items' words; unit latent passages and the item of each."""
+    """Items' words; unit latent vectors of their passages and the item of each."""
 
     ids: list
     words: list[np.ndarray]
@@ -106,17 +139,19 @@ def _pieces(cuts: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(cuts[:-1], runs) + size * within
 
 
-def frequencies(stored: DataFrame) -> tuple[np.ndarray, int]:
+def frequencies(stored: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """Passages that hold each column, and all passages."""
+    shared = stored.sparkSession.sparkContext.broadcast(vocabulary)
+    columns = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros(COLUMNS, dtype=np.int64), 0
+        total, passages = np.zeros(columns, dtype=np.int64), 0
         for batch in arrow.slices(batches, "codes"):
             codes, cuts = _read(batch)
+            at, column = shared.value.find(codes)
             starts = _pieces(cuts, PASSAGE)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
-            seen = np.unique(passage * COLUMNS + (codes & np.uint32(COLUMNS - 1)))
-            total += np.bincount(seen % COLUMNS, minlength=COLUMNS)
+            passage = np.searchsorted(starts, at, side="right")
+            total += np.bincount(np.unique(passage * columns + column) % max(1, columns), minlength=columns)
             passages += len(starts)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -124,80 +159,99 @@ def frequencies(stored: DataFrame) -> tuple[np.ndarray, int]:
         )
 
     rows = stored.select("codes").mapInArrow(run, "column int, n bigint").groupBy("column").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(COLUMNS + 1, dtype=np.int64)  # one row per column
+    counts = np.zeros(columns + 1, dtype=np.int64)  # one row per column
     for row in rows:
         counts[row["column"]] = row["n"]
-    return counts[:COLUMNS], int(counts[COLUMNS])
-
-
-def product(codes: np.ndarray, cuts: np.ndarray, idf: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return counts[:columns], int(counts[columns])
+
+
+def summed_by_piece(codes: np.ndarray, starts: np.ndarray, weights: Weights, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per piece: weighted sum of its words' vectors, squared length; and position's piece, column and weight of the weighty words."""
+    at, column = weights.vocabulary.find(codes)
+    piece = np.searchsorted(starts, at, side="right") - 1
+    known = np.bincount(piece, minlength=len(starts))
+    weight = weights.idf[column]
+    use = weight > 0
+    piece, column, weight = piece[use], column[use], weight[use]
+    others = np.diff(np.append(starts, len(codes))) - known
+    squared = np.bincount(piece, weights=weight.astype(np.float64) ** 2, minlength=len(starts)) + others * weights.other**2
+    sums = np.zeros((len(starts), RANK), dtype=np.float32)
+    if len(piece):
+        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        sums[piece[first]] = np.add.reduceat(vectors[column] * weight[:, None], first)
+    return sums, squared, piece, column, weight
+
+
+def product(codes: np.ndarray, cuts: np.ndarray, weights: Weights, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The columns of a slice and their rows of A'(A R), for passages of unit length."""
-    column = (codes & np.uint32(COLUMNS - 1)).astype(np.int64)
-    starts = _pieces(cuts, PASSAGE)
-    weight = idf[column]
-    passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
-    lengths = np.add.reduceat(weight * weight, starts)
-    inner = np.add.reduceat(random[column] * weight[:, None], starts) / np.maximum(lengths, 1e-9)[:, None]
+    sums, squared, piece, column, weight = summed_by_piece(codes, _pieces(cuts, PASSAGE), weights, random)
+    inner = (sums / np.maximum(squared, 1e-9)[:, None]).astype(np.float32)
     order = np.argsort(column, kind="stable")
     held, first = np.unique(column[order], return_index=True)
-    return held, np.add.reduceat(inner[passage[order]] * weight[order][:, None], first)
+    if not len(held):
+        return held, np.zeros((0, RANK), np.float32)
+    return held, np.add.reduceat(inner[piece[order]] * weight[order][:, None], first)
+
+
+def _random(columns: int) -> np.ndarray:
+    return np.random.default_rng(11).standard_normal((columns, RANK)).astype(np.float32)
 
 
 def space(stored: DataFrame, benchmark: list[np.ndarray]) -> Space:
     """The latent space of all passages and the weighted benchmark."""
-    counts, passages = frequencies(stored)
+    vocabulary = Vocabulary(benchmark)
+    columns = len(vocabulary)
+    counts, passages = frequencies(stored, vocabulary)
     idf = np.log((passages + 1) / (counts + 1)).astype(np.float32)
-    random = np.random.default_rng(11).standard_normal((COLUMNS, RANK)).astype(np.float32)
-    shared = stored.sparkSession.sparkContext.broadcast(idf)
+    # the few passages of a small corpus say nothing on what is common
+    idf[counts > max(COMMON * passages, 10)] = 0
+    weights = Weights(vocabulary, np.maximum(idf, 0), float(np.log((passages + 1) / 2)))
+    shared = stored.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(11).standard_normal((COLUMNS, RANK)).astype(np.float32)
-        total = np.zeros((COLUMNS, RANK), dtype=np.float32)
-        for batch in arrow.slices(batches, "codes", limit=_SLICE):
+        random, total = _random(columns), np.zeros((columns, RANK), dtype=np.float32)
+        for batch in arrow.slices(batches, "codes", limit=2 * _SLICE):
             codes, cuts = _read(batch)
-            if len(codes):
-                held, rows = product(codes, cuts, shared.value, random)
-                total[held] += rows
-        for block, part in enumerate(np.split(total, BLOCKS)):
+            held, rows = product(codes, cuts, shared.value, random)
+            total[held] += rows
+        for block, part in enumerate(np.array_split(total, BLOCKS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(COLUMNS // BLOCKS * RANK, dtype=np.float32)
-        for part in rows["part"]:
-            total += np.frombuffer(part, dtype=np.float32)
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [total.tobytes()]})
+        total = sum(np.frombuffer(part, dtype=np.float32) for part in rows["part"])
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
 
     tasks = max(2 * stored.sparkSession.sparkContext.defaultParallelism, stored.rdd.getNumPartitions() // 8)
     parts = stored.select("codes").coalesce(tasks).mapInArrow(run, "block int, part binary")
     if tasks > 256:
         parts = parts.groupBy("block", F.pmod(F.xxhash64("part"), F.lit(64)).alias("_t")).applyInPandas(add, "block int, part binary")
-    summed = np.zeros((COLUMNS, RANK), dtype=np.float64)
-    for row in parts.groupBy("block").applyInPandas(add, "block int, part binary").collect():  # BLOCKS rows of fixed size
-        low = row["block"] * (COLUMNS // BLOCKS)
-        summed[low : low + COLUMNS // BLOCKS] = np.frombuffer(row["part"], dtype=np.float32).reshape(-1, RANK)
+    summed = np.zeros((columns, RANK), dtype=np.float64)
+    places = np.array_split(np.arange(columns), BLOCKS)
+    for row in parts.groupBy("block").applyInPandas(add, "block int, part binary").collect():  # BLOCKS rows, a row of numbers per column in all
+        summed[places[row["block"]]] = np.frombuffer(row["part"], dtype=np.float32).reshape(-1, RANK)
     filled = [w for w in benchmark if len(w)]
     if filled:
         codes, cuts = np.concatenate(filled), np.concatenate([[0], np.cumsum([len(w) for w in filled])]).astype(np.int64)
-        held, rows = product(codes, cuts, idf, random)
+        held, rows = product(codes, cuts, weights, _random(columns))
         summed[held] += rows * (BENCHMARK_WEIGHT * max(1, passages) / max(1, len(_pieces(cuts, PASSAGE))))
-    base, _ = np.linalg.qr(summed)
-    return Space(idf, base.astype(np.float32))
+    base, _ = np.linalg.qr(summed) if columns else (summed, None)
+    full = np.zeros((columns, RANK), dtype=np.float32)
+    full[:, : base.shape[1]] = base
+    return Space(weights, full)
 
 
-def latent(codes: np.ndarray, cuts: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
-    """Unit latent vectors of the windows that start at every step, and their first positions."""
-    column = (codes & np.uint32(COLUMNS - 1)).astype(np.int64)
+def latent(codes: np.ndarray, cuts: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latent vectors of the windows that start at every step, their full lengths and their first positions."""
     starts = _pieces(cuts, STEP)
-    if not len(starts):
-        return np.zeros((0, RANK), np.float32), starts
-    steps = np.add.reduceat(space.base[column] * space.idf[column][:, None], starts)
+    steps, squared, *_ = summed_by_piece(codes, starts, space.weights, space.base)
     text = np.searchsorted(cuts, starts, side="right")
-    windows = steps.copy()
+    windows, length = steps.copy(), squared.copy()
     for ahead in range(1, PASSAGE // STEP):
         same = np.flatnonzero(text[ahead:] == text[:-ahead])
         windows[same] += steps[same + ahead]
-    return windows / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9), starts
+        length[same] += squared[same + ahead]
+    return windows, np.sqrt(np.maximum(length, 1e-9)), starts
 
 
 def prepared(ids: list, words: list[np.ndarray], space: Space) -> Items:
@@ -206,9 +260,9 @@ def prepared(ids: list, words: list[np.ndarray], space: Space) -> Items:
     for number, codes in enumerate(words):
         if len(codes):
             cuts = np.array([0, len(codes)], dtype=np.int64)
-            vectors, at = latent(codes, cuts, space)
+            vectors, _, at = latent(codes, cuts, space)
             whole = [k for k, low in enumerate(at.tolist()) if low % PASSAGE == 0]
-            rows.append(vectors[whole])
+            rows.append(vectors[whole] / np.maximum(np.linalg.norm(vectors[whole], axis=1, keepdims=True), 1e-9))
             starts += [number] * len(whole)
     return Items(ids, words, np.concatenate(rows) if rows else np.zeros((0, RANK), np.float32), np.array(starts, dtype=np.int64))
 
@@ -242,8 +296,10 @@ def search(stored: DataFrame, space: Space, items: Items) -> DataFrame:
         masks = [(_masks(w), _masks(a)) for w, a in zip(items.words, answers)]
         for batch in arrow.slices(batches, "codes", limit=_SLICE):
             codes, cuts = _read(batch)
-            vectors, starts = latent(codes, cuts, space)
-            cosine = vectors @ items.latent.T
+            vectors, lengths, starts = latent(codes, cuts, space)
+            filled = np.flatnonzero(vectors.any(axis=1))
+            starts = starts[filled]
+            cosine = (vectors[filled] @ items.latent.T) / lengths[filled, None]
             window, passage = np.nonzero(cosine >= COSINE)
             text = np.searchsorted(cuts, starts[window], side="right") - 1
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -275,13 +331,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = benchmark.schema["item_id"].dataType
     stored = coded(docs)
     blocks = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
-    found, base = None, None
+    found = None
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").collect()  # a bounded block
         part = sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"] or ""))
         codes, cuts = word_codes(pa.array([r["text"] or "" for r in part], pa.string()))
         words = [codes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        base = base or space(stored, words)
+        base = space(stored, words)
         items = prepared([r["item_id"] for r in part], words, base)
         names = spark.createDataFrame([(k, i) for k, i in enumerate(items.ids)], f"item int, item_id {kind.simpleString()}")
         hits = search(stored, base, items).join(F.broadcast(names), "item").drop("item")
