@@ -5,8 +5,8 @@ passages are weighted rows, gives a latent space: each task adds up its part of
 matrix R, the parts are summed by blocks of columns, and an orthonormal base of the sum spans the space.
 The columns are the benchmark's words, as others never add to an inner product with a benchmark passage; those
 count in the lengths of passages only, and words of more than a tenth of all passages have no weight.
-Passage frequencies and the sum cover every passage.  Sliding windows of every document whose latent cosine
-with a benchmark passage is high are candidates.  A candidate is a leak if the longest common subsequence of the item's words and the text around the
+Passage frequencies and the sum cover every passage.  Sliding windows of every document whose cosine with a
+benchmark passage, estimated in that space, is high are candidates.  A candidate is a leak if the longest common subsequence of the item's words and the text around the
 window holds enough of the item, and enough of the answer, the item's last words.
 
 The benchmark is taken in blocks of bounded size, one search over all documents for each.
@@ -35,12 +35,12 @@ from newsflow.session import is_small, materialise
 #: Words of a passage, and the step of sliding windows (a passage is a whole number of steps).
 PASSAGE, STEP = 48, 16
 #: Latent dimensions.
-RANK = 64
+RANK = 96
 #: Words of more than this share of passages have no weight.
 COMMON = 0.1
 #: Weight of benchmark rows, as a share of the number of corpus passages over that of benchmark passages.
-BENCHMARK_WEIGHT = 0.1
-COSINE = 0.2
+BENCHMARK_WEIGHT = 1.0
+COSINE = 0.25
 #: Shares of the item's and of the answer's words that must be found in order.
 ITEM_SHARE, ANSWER_SHARE = 0.7, 0.5
 #: The answer: this share of an item's words, at its end.
@@ -91,7 +91,7 @@ class Space:
 
 @dataclass(frozen=True)
 class Items:
-    """Items' words; unit latent vectors of their passages and the item of each."""
+    """Items' words; scaled latent vectors of their passages and the item of each."""
 
     ids: list
     words: list[np.ndarray]
@@ -255,14 +255,17 @@ def latent(codes: np.ndarray, cuts: np.ndarray, space: Space) -> tuple[np.ndarra
 
 
 def prepared(ids: list, words: list[np.ndarray], space: Space) -> Items:
-    """Latent passages of the items; items without words have none."""
+    """Latent passages of the items; items without words, or of common words only, have none."""
     starts, rows = [], []
     for number, codes in enumerate(words):
         if len(codes):
             cuts = np.array([0, len(codes)], dtype=np.int64)
-            vectors, _, at = latent(codes, cuts, space)
+            vectors, lengths, at = latent(codes, cuts, space)
             whole = [k for k, low in enumerate(at.tolist()) if low % PASSAGE == 0]
-            rows.append(vectors[whole] / np.maximum(np.linalg.norm(vectors[whole], axis=1, keepdims=True), 1e-9))
+            # divided by the share of the passage that the space holds: a product then estimates the cosine itself
+            held = (vectors[whole] ** 2).sum(axis=1)
+            scale = np.where(held > 1e-6, lengths[whole] / np.maximum(held, 1e-6), 0)
+            rows.append((vectors[whole] * scale[:, None]).astype(np.float32))
             starts += [number] * len(whole)
     return Items(ids, words, np.concatenate(rows) if rows else np.zeros((0, RANK), np.float32), np.array(starts, dtype=np.int64))
 
