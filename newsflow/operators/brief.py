@@ -114,9 +114,14 @@ def ordered(scored: DataFrame) -> DataFrame:
     return scored.orderBy(*order())
 
 
-def ranked_brief(scored: DataFrame) -> DataFrame:
-    """The whole brief with its rank, ranked range by range."""
-    return ranked(above_noise(scored), order())
+def ranked_brief(scored: DataFrame, *columns: str) -> DataFrame:
+    """The whole brief with its rank, ranked range by range.
+
+    Only the columns of the order and ``columns`` (all if none are named) are moved.
+    """
+    needed = ["event_id", "final_abs_final_score", "final_base_rule_score", "last_seen_at", "first_seen_at"]
+    rows = above_noise(scored)
+    return ranked(rows.select(*dict.fromkeys([*needed, *columns])) if columns else rows, order())
 
 
 def check_request(codes: list[str], k: int) -> None:

@@ -235,7 +235,7 @@ def f12(spark, sf):
 
 @register("t1_ranked_brief", f"{_SCORED} SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, event_id, round(final_abs + 1e-9, 6) AS final_abs FROM final WHERE final_abs >= 3.0")
 def t1(spark, sf):
-    return brief.ranked_brief(final_events(spark, sf)).select("rank", "event_id", r6("final_abs_final_score").alias("final_abs"))
+    return brief.ranked_brief(final_events(spark, sf), "event_id").select("rank", "event_id", r6("final_abs_final_score").alias("final_abs"))
 
 
 @register("t2_watchlist_brief", f"""{_SCORED}, kept AS (SELECT *, stock_code IN ('00007.HK', '00009.HK', '00021.HK') AS is_match FROM final WHERE final_abs >= 3.0),

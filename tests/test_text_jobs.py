@@ -105,3 +105,16 @@ def test_keywords_with_chinese(spark):
     kinds = entities.classify_types(F.col("b"), found, {"EARNINGS": ["盈利"], "REGULATORY": ["warning"]})
     r = df.select(kinds.alias("t")).first()["t"]
     assert (r["primary"], r["secondary"]) == ("EARNINGS", "REGULATORY")
+
+
+def test_filings_reach_the_raw_table(spark):
+    listed = spark.createDataFrame([("u1", " Notice ", ["00700", "09988"]), ("u2", "Other", ["00388"]), ("u3", None, [])], "pdf_url string, title string, stock_codes array<string>")
+    listed = listed.withColumn("published_at", F.lit("2026-04-01").cast("timestamp"))
+    texts = spark.createDataFrame([("u1", " ", "body", False), ("u2", "x", "y", True), ("u3", "z", None, False)], "pdf_url string, p string, f string, e boolean")
+    texts = texts.withColumn("routed", extraction.route_text(F.col("p"), F.col("f"), F.col("e")))
+    filed = extraction.filed_articles(listed, texts)
+    assert {r["source_url"]: r["outcome"] for r in filed.collect()} == {"u1": "success", "u2": "pdf_encrypted", "u3": "success"}
+    rows = extraction.raw_shape(filed, F.lit("2026-05-01").cast("timestamp")).collect()
+    assert {r["source_url"]: (r["body"], r["extra_metadata"]["stock_code"]) for r in rows} == {"u1": ("body", ["00700", "09988"]), "u3": ("z", [])}
+    plain = extraction.raw_shape(filed.drop("extra_metadata"), F.lit("2026-05-01").cast("timestamp"))
+    assert plain.where("extra_metadata is not null").count() == 0
