@@ -61,16 +61,20 @@ def events(by_source: DataFrame) -> DataFrame:
     The array has one entry per source, so its length is the source count.  All reports of an
     event are in ``source_articles``.
     """
+    return by_source.groupBy("event_id", *KEY).agg(*_event_columns())
+
+
+def _event_columns() -> list[Column]:
     entry = F.struct(
         "source_name", F.col("first_url").alias("url"), F.timestamp_micros("first_at").alias("published_at")
     )
-    return by_source.groupBy("event_id", *KEY).agg(
+    return [
         F.count(F.lit(1)).alias("source_count"),
         F.sum("articles").alias("article_count"),
         F.sort_array(F.collect_list(entry)).alias("source_list"),
         F.timestamp_micros(F.min("first_at")).alias("first_seen_at"),
         F.timestamp_micros(F.max("last_at")).alias("last_seen_at"),
-    )
+    ]
 
 
 def source_articles(merged: DataFrame) -> DataFrame:
@@ -100,16 +104,23 @@ def sentiment(weighted: DataFrame, threshold: float = params.SENTIMENT_THRESHOLD
 
     Input: ``per_source`` rows with ``weight``.
     """
+    grouped = weighted.groupBy("event_id").agg(*_sentiment_columns())
+    return grouped.withColumn("sentiment_label", scores.sentiment_label(F.col("weighted_sentiment"), threshold))
+
+
+def _sentiment_columns() -> list[Column]:
     total = F.nullif(exact_sum(F.col("weight") * F.col("scored")), F.lit(0.0))
-    return (
-        weighted.groupBy("event_id")
-        .agg(
-            (exact_sum(F.col("weight") * F.col("signed_sum")) / total).alias("weighted_sentiment"),
-            (exact_sum(F.col("weight") * F.col("strength_sum")) / total).alias("sentiment_strength"),
-            F.max("weight").alias("authority"),
-        )
-        .withColumn("sentiment_label", scores.sentiment_label(F.col("weighted_sentiment"), threshold))
-    )
+    return [
+        (exact_sum(F.col("weight") * F.col("signed_sum")) / total).alias("weighted_sentiment"),
+        (exact_sum(F.col("weight") * F.col("strength_sum")) / total).alias("sentiment_strength"),
+        F.max("weight").alias("authority"),
+    ]
+
+
+def events_with_sentiment(weighted: DataFrame, threshold: float = params.SENTIMENT_THRESHOLD) -> DataFrame:
+    """Event rows with their sentiment, from one grouping of ``per_source`` rows with ``weight``."""
+    grouped = weighted.groupBy("event_id", *KEY).agg(*_event_columns(), *_sentiment_columns())
+    return grouped.withColumn("sentiment_label", scores.sentiment_label(F.col("weighted_sentiment"), threshold))
 
 
 def members(event_rows: DataFrame, event_map: DataFrame, entity_events: DataFrame) -> DataFrame:

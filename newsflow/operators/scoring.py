@@ -11,12 +11,15 @@ from newsflow import params
 from newsflow.functions import scores, text
 
 
-def rule_scores(event_rows: DataFrame, sentiment: DataFrame, type_scores: dict[str, float] | None = None,
+def rule_scores(event_rows: DataFrame, sentiment: DataFrame | None, type_scores: dict[str, float] | None = None,
                 weights: dict[str, float] | None = None) -> DataFrame:
-    """Adds the four dimension scores and base_rule_score (unsigned, without recency)."""
+    """Adds the four dimension scores and base_rule_score (unsigned, without recency).
+
+    Without ``sentiment`` the event rows carry its columns (``rollup.events_with_sentiment``).
+    """
+    rows = event_rows if sentiment is None else event_rows.join(sentiment, "event_id")
     return (
-        event_rows.join(sentiment, "event_id")
-        .withColumn("event_type_score", scores.event_type_score(F.col("event_type_primary"), type_scores))
+        rows.withColumn("event_type_score", scores.event_type_score(F.col("event_type_primary"), type_scores))
         .withColumn("source_authority_score", F.col("authority"))
         .withColumn("sentiment_strength_score", F.col("sentiment_strength") * params.SENTIMENT_SCALE)
         .withColumn("source_heat_score", scores.heat(F.col("source_count")))

@@ -37,9 +37,9 @@ def impact_of(event_rows):
 
 def score_events(by_source, sources):
     """Per-source rows to scored events; an event's version is the time of its last report."""
-    event_rows = rollup.events(by_source).withColumn("aggregation_updated_at", F.col("last_seen_at"))
-    mood = rollup.sentiment(rollup.with_authority(by_source, sources))
-    ruled = scoring.rule_scores(event_rows, mood)
+    event_rows = materialise(rollup.events_with_sentiment(rollup.with_authority(by_source, sources)), "event-rows")
+    event_rows = event_rows.withColumn("aggregation_updated_at", F.col("last_seen_at"))
+    ruled = scoring.rule_scores(event_rows, None)
     return scoring.fuse(scoring.with_impact(ruled, impact_of(event_rows)), F.col("last_seen_at"))
 
 
