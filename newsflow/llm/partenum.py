@@ -14,8 +14,8 @@ elements, where the condition always holds.  A set near a band's upper end also
 Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
 components, with further pivots, and at last all pairs between components, in blocks.  Signatures with the
-same sets count as one.  A comparison begins with counts of elements in hashed buckets: where these alone
-differ by more than similar sets can, the pair is out; all others are compared exactly.
+same sets count as one.  A comparison begins with the parities of hashed buckets: each differing element
+flips one, so where more differ than in similar sets, the pair is out; all others are compared exactly.
 
 Equal sets are one node.  Nodes and shingles are told apart by 64-bit hashes; two different ones agree
 with a chance of 2**-64 per pair.
@@ -54,8 +54,8 @@ CELLS, BLOCKS = 1 << 21, 64
 #: A signature counted more often is dealt over several cells of this many sets.
 HOT_SETS = 4096
 PIVOT_ROUNDS = 3
-#: Fewest buckets of the counts by which most dissimilar pairs are told apart; larger sets have half their size or more.
-BUCKETS = 256
+#: Fewest buckets of the parities by which dissimilar pairs are told apart; larger sets have four times their size or more.
+BUCKETS = 2048
 #: Sets of a signature that one task compares with as many others.
 BLOCK = 512
 #: Documents whose keys may be broadcast.
@@ -148,7 +148,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
             [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("weak", pa.int32()),
              ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
         )
-        for batch in arrow.slices(batches):
+        for batch in arrow.slices(batches, limit=2 * arrow.SLICE_BYTES):
             sets = shingle_sets(arrow.texts(batch))
             weak, found = [], []
             for elements in sets:
@@ -209,7 +209,7 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        for batch in arrow.slices(batches):
+        for batch in arrow.slices(batches, limit=2 * arrow.SLICE_BYTES):
             nodes, sizes, sigs, cells, hot = [], [], [], [], []
             for elements in shingle_sets(arrow.texts(batch)):
                 size = len(elements)
@@ -245,16 +245,21 @@ def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
     return np.array(verdicts, dtype=bool)
 
 
-def bucket_counts(elements: np.ndarray) -> bytes:
-    """Elements per hashed bucket, 255 at most: sets differ by at least the sum of the differences."""
-    buckets = max(BUCKETS, 1 << max(0, len(elements) - 1).bit_length() - 1)
+def parities(elements: np.ndarray) -> bytes:
+    """Bits that say whether hashed buckets hold an odd number of elements."""
+    buckets = max(BUCKETS, 4 << max(0, len(elements) - 1).bit_length())
     counts = np.bincount((elements & _U(buckets - 1)).astype(np.int64), minlength=buckets)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of parities over fewer buckets, ``size`` bytes each."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
 
 
-def _folded(counts: np.ndarray, buckets: int) -> np.ndarray:
-    """Rows of counts over fewer buckets."""
-    return counts.reshape(len(counts), -1, buckets).sum(axis=1, dtype=np.int16)
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Parities in which rows differ: at most the elements in which the sets do."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def can_be_similar(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -263,7 +268,7 @@ def can_be_similar(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(group: pa.Table) -> pa.Table:
-    """Pairs between the components of a cell whose bucket counts allow similarity.
+    """Pairs between the components of a cell whose parities allow similarity.
 
     ``side`` says whether a set is of the first block (1), the second (2) or both (3).
     """
@@ -275,14 +280,14 @@ def close_pairs(group: pa.Table) -> pa.Table:
     for buckets in np.unique(width):
         near = np.flatnonzero((width == buckets) | (width == 2 * buckets))
         first = near[width[near] == buckets]
-        counts = np.concatenate([_folded(rows[k][None, :], buckets) for k in near])
+        bits = np.concatenate([_folded(rows[k][None, :], buckets) for k in near])
         at = {k: i for i, k in enumerate(near.tolist())}
         for k in first.tolist():
             others = near[(comp[near] != comp[k]) & (((side[k] & 1) & (side[near] >> 1)) | ((side[k] >> 1) & (side[near] & 1))).astype(bool)]
             others = others[(width[others] > buckets) | (node[others] > node[k])]
             others = others[DENOMINATOR * np.minimum(size[others], size[k]) >= NUMERATOR * np.maximum(size[others], size[k])]
             if len(others):
-                apart = np.abs(counts[[at[o] for o in others.tolist()]] - counts[at[k]]).sum(axis=1, dtype=np.int64)
+                apart = _apart(bits[[at[o] for o in others.tolist()]], bits[at[k]][None, :])
                 good = node[others[can_be_similar(apart, size[others] + size[k])]]
                 low.append(np.minimum(good, node[k]))
                 high.append(np.maximum(good, node[k]))
@@ -312,7 +317,7 @@ def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("buckets_a"), batch.column("buckets_b")):
                 x, y = (np.frombuffer(v.as_py(), dtype=np.uint8)[None, :] for v in (x, y))
                 least = min(x.shape[1], y.shape[1])
-                apart.append(np.abs(_folded(x, least) - _folded(y, least)).sum(dtype=np.int64))
+                apart.append(int(_apart(_folded(x, least), _folded(y, least))[0]))
             sizes = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
             good = pa.array(can_be_similar(np.array(apart, dtype=np.int64), sizes))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
@@ -387,12 +392,12 @@ def _one_of_equal_groups(shared: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, stored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each of ``nodes`` one text, the size of its set and its bucket counts."""
+    """For each of ``nodes`` one text, the size of its set and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches):
             sets = shingle_sets(batch.column("text"))
-            sizes, buckets = pa.array([len(s) for s in sets], pa.int32()), pa.array([bucket_counts(s) for s in sets], pa.binary())
+            sizes, buckets = pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, sizes, buckets], ["node", "text", "n", "buckets"])
 
     first = stored.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))

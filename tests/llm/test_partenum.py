@@ -75,12 +75,16 @@ def test_similar_sets_share_a_chosen_signature():
             assert chosen[0] & chosen[1], size
 
 
-def test_bucket_counts_bound_the_difference():
+def test_parities_bound_the_difference():
     rng = np.random.default_rng(6)
-    a, b = (np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64)) for _ in range(2))
-    b[:500] = a[:500]
-    x, y = (np.frombuffer(partenum.bucket_counts(s), np.uint8).astype(int) for s in (a, b))
-    assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+    for size, common in ((900, 500), (900, 880), (3000, 2000)):
+        a, b = (np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(2))
+        b[:common] = a[:common]
+        b = np.unique(b)
+        x, y = (np.frombuffer(partenum.parities(s), np.uint8)[None, :] for s in (a, b))
+        assert len(x[0]) == len(y[0])
+        low, narrow = partenum._apart(x, y)[0], partenum._apart(partenum._folded(x, 64), partenum._folded(y, 64))[0]
+        assert narrow <= low <= len(np.setxor1d(a, b)) <= 1.2 * low + 2
 
 
 def test_components_of_a_chain_a_star_and_a_loop(spark):
