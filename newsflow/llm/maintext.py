@@ -432,27 +432,33 @@ def train(spark: SparkSession, pages: int = TRAINING_PAGES, first_seed: int = 1)
     return Trees(trees, np.array(model.treeWeights))
 
 
-#: How much of its parent's evidence a unit inherits, and the most it can inherit.
-INHERITED, INHERITED_MOST = 0.25, 1.5
+#: What share of its parent's evidence a unit inherits, for and against, and the most it can inherit.
+INHERITED_FOR, INHERITED_AGAINST, INHERITED_MOST = 0.25, 0.25, 1.5
+#: Weight of a unit's own evidence against all text below it.
+WHOLE = 0.5
 
 
 def decode(page: Page, score: np.ndarray) -> list[bool]:
     """Marks the units whose own text is kept, by the best total gain over the tree.
 
     From the top, a unit's evidence is its score and a share of its parent's.  Then, from the leaves up, a unit's own
-    text gains its length times its evidence if it is kept, and a subtree is dropped whole where that gains more
-    than the best choices inside it; below a dropped unit nothing is kept.
+    text gains its length times its evidence if it is kept, evidence against a unit counts against all text below it,
+    and a subtree is dropped whole where that gains more than the best choices inside it; below a dropped unit
+    nothing is kept.
     """
     n = len(page.tag)
     evidence = score.tolist()
     evidence[0] = 0.0
     for k in range(1, n):
         above = evidence[page.parent[k]]
-        evidence[k] += INHERITED * max(-INHERITED_MOST, min(INHERITED_MOST, above))
+        share = INHERITED_FOR if above > 0 else INHERITED_AGAINST
+        evidence[k] += share * max(-INHERITED_MOST, min(INHERITED_MOST, above))
     best = [own[0] * max(-3.0, min(3.0, e)) for own, e in zip(page.own, evidence)]
     best[0] = max(best[0], 0.0)
-    kept = [True] * n
+    kept, below = [True] * n, [own[0] for own in page.own]
     for k in range(n - 1, 0, -1):
+        below[page.parent[k]] += below[k]
+        best[k] += WHOLE * (below[k] - page.own[k][0]) * min(0.0, evidence[k])
         kept[k] = best[k] > 0 and not page.hidden[k]
         if kept[k]:
             best[page.parent[k]] += best[k]
