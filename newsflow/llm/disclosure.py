@@ -2,9 +2,11 @@
 
 Protected entities are e-mail addresses, IP addresses, card numbers and telephone numbers, found by
 pattern in whole texts.  Terms near an entity (within ``CONTEXT`` characters on either side) are counted
-with it over the whole corpus, a text counting once however often it is repeated.  A term that was seen
-with an entity in at least ``MIN_TEXTS`` texts leaves an observer -log2 P(entity | term) bits short of
-naming the entity; P is estimated as texts with both over texts with the term anywhere.  In texts
+with it over the whole corpus, a text counting once however often it is repeated.  A term
+leaves an observer -log2 P(entity | term) bits short of naming the entity; P is estimated as texts with both
+over texts with the term anywhere.  Terms of entities seen once are judged like all others, but a pair counts
+only if chance does not explain it: texts with the term times the divergence of P(entity | term) from
+P(entity), the share of all texts that hold the entity, must give ``EVIDENCE_BITS``.  In texts
 that hold the entity, terms that leave at most ``REMOVE_BITS`` are removed and terms that leave at most
 ``GENERALISE_BITS`` are generalised.  Texts without an entity are never changed.
 
@@ -23,8 +25,9 @@ from newsflow.session import is_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 80
-MIN_TEXTS = 3
 REMOVE_BITS, GENERALISE_BITS = 0.5, 1.0
+#: Evidence that a term and an entity belong together: chance gives such a pair in at most one of 2**EVIDENCE_BITS.
+EVIDENCE_BITS = 3.0
 #: Terms are words of at least this many letters or digits.
 TERM_LENGTH = 4
 BROADCAST_ROWS = 500_000
@@ -124,21 +127,31 @@ def protected(docs: DataFrame) -> DataFrame:
     return materialise(rows.select("doc_id", "_key", "base", near.alias("near")), "protected")
 
 
+def _evidence(together: Column, texts: Column, holding: Column, total: int) -> Column:
+    """Bits of evidence against chance: texts with the term times the divergence of the two shares."""
+    given, share = together / texts, holding / F.lit(total)
+    rest = F.when(together < texts, (1 - given) * F.log2((1 - given) / (1 - share))).otherwise(0.0)
+    return F.when(given > share, texts * (given * F.log2(given / share) + rest)).otherwise(0.0)
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Per entity and term: ``bits`` that the term leaves open, for terms at or under the threshold."""
     seen = found.where("near is not null").select("_key", F.explode("near").alias("n"))
     pairs = seen.select("_key", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_TEXTS)
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"))
     pairs = materialise(pairs, "pairs")
     terms = materialise(pairs.select("term").distinct(), "terms")
     wanted = F.broadcast(terms) if is_small(terms, BROADCAST_ROWS) else terms
     words = F.split(F.lower("_text"), "[^\\p{L}\\p{N}]+")
     used = _keyed(docs).select("_key", F.explode(words).alias("term")).join(wanted, "term", "left_semi")
     alone = materialise(used.distinct().groupBy("term").agg(F.count("*").alias("texts")), "alone")
+    holding = seen.select("_key", F.col("n.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("holding"))
+    total = found.select("_key").distinct().count()
     bits = F.log2(F.col("texts") / F.col("together"))
-    return pairs.join(alone, "term").select("entity", "term", F.greatest(bits, F.lit(0.0)).alias("bits")).where(
-        F.col("bits") <= GENERALISE_BITS
-    )
+    evidence = _evidence(F.col("together"), F.col("texts"), F.col("holding"), total)
+    return pairs.join(alone, "term").join(holding, "entity").where(evidence >= EVIDENCE_BITS).select(
+        "entity", "term", F.greatest(bits, F.lit(0.0)).alias("bits")
+    ).where(F.col("bits") <= GENERALISE_BITS)
 
 
 def added_spans(found: DataFrame, docs: DataFrame) -> DataFrame:

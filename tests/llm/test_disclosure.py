@@ -47,6 +47,19 @@ def test_terms_that_disclose_an_entity(spark):
     assert spans[40] == "" and spans[10] == ""
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    rows = [(i, f"{prose(i, 20)} today we wrote about number {i}") for i in range(1, 40)]
+    rows += [(50, "today the falconer wrote to solo@firm.example about number one hundred"), (51, "once more a gardener and today +44 20 7946 0958 with number two"), (52, "a gardener flew")]
+    docs = documents(spark, rows)
+    found = disclosure.protected(docs)
+    bits = {(r["entity"], r["term"]): round(r["bits"], 3) for r in disclosure.disclosing(found, docs).collect()}
+    assert bits["email:solo@firm.example", "falconer"] == 0 and bits["phone:+44 20 7946 0958", "gardener"] == 1
+    assert not {t for _, t in bits} & {"today", "wrote", "about", "number"}
+    spans = {r["doc_id"]: r["spans"] for r in disclosure.report(docs).collect()}
+    texts = dict(rows)
+    assert f"removed:{texts[50].index('falconer')}:" in spans[50] and f"generalised:{texts[51].index('gardener')}:" in spans[51]
+
+
 def test_sanitised_texts(spark):
     rows = secret_corpus() + [(60, "call +12345678901 or 4111 1111 1111 1111, ip 10.0.0.1"), (61, None)]
     docs = documents(spark, rows)
