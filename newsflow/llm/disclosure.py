@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and telephone numbers, found by
-pattern in whole texts.  Terms near an entity (within ``CONTEXT`` characters on either side) are counted
-with it over the whole corpus, a text counting once however often it is repeated.  A term
+pattern in whole texts.  The words of a text outside its entities are its terms; they are counted with all
+its entities over the whole corpus, a text counting once however often it is repeated.  A term
 leaves an observer -log2 P(entity | term) bits short of naming the entity; P is estimated as texts with both
 over texts with the term anywhere.  Terms of entities seen once are judged like all others, but a pair counts
 only if chance does not explain it: texts with the term times the divergence of P(entity | term) from
@@ -17,17 +17,16 @@ not retried; an empty table gives no rows; further columns are ignored (``saniti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.llm.names import unused
 from newsflow.session import is_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 80
 REMOVE_BITS, GENERALISE_BITS = 0.5, 1.0
 #: Evidence that a term and an entity belong together: chance gives such a pair in at most one of 2**EVIDENCE_BITS.
-EVIDENCE_BITS = 3.0
+EVIDENCE_BITS = 5.0
 #: Terms are words of at least this many letters or digits.
 TERM_LENGTH = 4
 BROADCAST_ROWS = 500_000
@@ -39,7 +38,7 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,}+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_WORD = r"[\p{L}\p{N}]"
+_TERM = rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]{{{TERM_LENGTH},}}+"
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -100,31 +99,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64("_text"))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Distinct lower-case terms near a span; words cut by the edge of the context are left out."""
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substr(text, low + 1, span["start"] - low)
-    after = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-    words = F.concat(
-        F.regexp_extract_all(before, F.lit(f"(?<!{_WORD})(?<=.|\n){_WORD}{{{TERM_LENGTH},}}"), F.lit(0)),
-        F.regexp_extract_all(after, F.lit(f"(?<!{_WORD}){_WORD}{{{TERM_LENGTH},}}(?=[^\\p{{L}}\\p{{N}}])"), F.lit(0)),
-    )
-    return F.array_distinct(F.transform(words, F.lower))
+def _apart(text: Column, base: Column) -> Column:
+    """The text with blanks in place of its base spans, so that positions stay."""
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(so_far: Column, span: Column) -> Column:
+        low, high = F.greatest(so_far["at"], span["start"]), F.greatest(so_far["at"], span["end"])
+        gap = F.substr(text, so_far["at"] + 1, low - so_far["at"])
+        return F.struct(high.alias("at"), F.concat(so_far["out"], gap, F.repeat(F.lit(" "), high - low)).alias("out"))
+
+    end = F.aggregate(ordered, begin, step)
+    return F.concat(end["out"], F.substr(text, end["at"] + 1, F.length(text)))
+
+
+def _terms(text: Column) -> Column:
+    """Distinct lower-case terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
 def protected(docs: DataFrame) -> DataFrame:
-    """Stored: one row per document with its base spans and, where it has any, their entities and terms."""
+    """Stored: one row per document with its base spans and, where it has any, its entities and the text apart from them."""
     rows = _keyed(docs)
     spans = base_spans(F.col("_text"))
     rows = rows.select("doc_id", "_key", "_text", *(spans[k].alias(k) for k in KINDS))
     base = F.concat(*KINDS)
     rows = rows.select("doc_id", "_key", "_text", base.alias("base"))
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
-    near = F.when(
-        F.size("base") > 0,
-        F.transform("base", lambda s: F.struct(entity(s).alias("entity"), _context(F.col("_text"), s).alias("terms"))),
+    some = F.size("base") > 0
+    rows = rows.select(
+        "doc_id", "_key", "base", F.when(some, F.array_distinct(F.transform("base", entity))).alias("entities"),
+        F.when(some, _apart(F.col("_text"), F.col("base"))).alias("apart"),
     )
-    return materialise(rows.select("doc_id", "_key", "base", near.alias("near")), "protected")
+    return materialise(rows, "protected")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if is_small(df, BROADCAST_ROWS) else df
 
 
 def _evidence(together: Column, texts: Column, holding: Column, total: int) -> Column:
@@ -134,55 +145,73 @@ def _evidence(together: Column, texts: Column, holding: Column, total: int) -> C
     return F.when(given > share, texts * (given * F.log2(given / share) + rest)).otherwise(0.0)
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per entity and term: ``bits`` that the term leaves open, for terms at or under the threshold."""
-    seen = found.where("near is not null").select("_key", F.explode("near").alias("n"))
-    pairs = seen.select("_key", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = materialise(pairs, "pairs")
-    terms = materialise(pairs.select("term").distinct(), "terms")
-    wanted = F.broadcast(terms) if is_small(terms, BROADCAST_ROWS) else terms
-    words = F.split(F.lower("_text"), "[^\\p{L}\\p{N}]+")
-    used = _keyed(docs).select("_key", F.explode(words).alias("term")).join(wanted, "term", "left_semi")
-    alone = materialise(used.distinct().groupBy("term").agg(F.count("*").alias("texts")), "alone")
-    holding = seen.select("_key", F.col("n.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("holding"))
+def _holders(found: DataFrame) -> DataFrame:
+    """Stored: distinct texts with entities."""
+    return materialise(found.where("entities is not null").select("_key", "entities", "apart").dropDuplicates(["_key"]), "holders")
+
+
+def _classes(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored: the class and number of texts of each entity, and the classes of each text; entities of the same texts are one class."""
+    each = held.select("_key", F.explode("entities").alias("entity"))
+    both = [F.bit_xor(F.xxhash64("_key", F.lit(k))) for k in (1, 2)]
+    classes = each.groupBy("entity").agg(F.count("*").alias("holding"), *(b.alias(f"x{k}") for k, b in enumerate(both)))
+    classes = materialise(classes.select("entity", "holding", F.struct("x0", "x1").alias("class")), "classes")
+    return classes, materialise(each.join(_small(classes), "entity").select("_key", "class", "holding").distinct(), "of_text")
+
+
+def _disclosing(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of entities; class, term and ``bits`` at or under the threshold per text with both; texts with entities."""
+    held = _holders(found)
+    classes, of_text = _classes(held)
+    keys = held.select("_key")
+    keys = F.broadcast(keys) if is_small(held, BROADCAST_ROWS) else keys
+    plain = _keyed(docs).select("_key", "_text").join(keys, "_key", "left_anti").dropDuplicates(["_key"])
+    used = plain.select(F.explode(_terms(F.col("_text"))).alias("term"), F.lit(0).alias("held"))
+    used = used.unionByName(held.select(F.explode(_terms(F.col("apart"))).alias("term"), F.lit(1).alias("held")))
+    used = used.groupBy("term").agg(F.count("*").alias("texts"), F.sum("held").alias("held"))
+    # no entity can be in more texts with the term than all entities are
+    open_bits = F.log2(F.col("texts") / F.col("held"))
+    terms = materialise(used.where("held > 0").where(open_bits <= GENERALISE_BITS).select("term", "texts"), "terms")
+    pairs = held.select("_key", F.explode(_terms(F.col("apart"))).alias("term")).join(_small(terms), "term")
+    pairs = materialise(pairs, "pairs").join(of_text, "_key")
     total = found.select("_key").distinct().count()
-    bits = F.log2(F.col("texts") / F.col("together"))
+    judged = pairs.groupBy("class", "term").agg(
+        F.count("*").alias("together"), F.first("texts").alias("texts"), F.first("holding").alias("holding")
+    )
     evidence = _evidence(F.col("together"), F.col("texts"), F.col("holding"), total)
-    return pairs.join(alone, "term").join(holding, "entity").where(evidence >= EVIDENCE_BITS).select(
-        "entity", "term", F.greatest(bits, F.lit(0.0)).alias("bits")
-    ).where(F.col("bits") <= GENERALISE_BITS)
+    bits = F.greatest(F.log2(F.col("texts") / F.col("together")), F.lit(0.0))
+    judged = judged.where(evidence >= EVIDENCE_BITS).select("class", "term", bits.alias("bits")).where(F.col("bits") <= GENERALISE_BITS)
+    judged = materialise(judged, "disclosing")
+    return classes, pairs.select("_key", "class", "term").join(_small(judged), ["class", "term"]), held
+
+
+def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per entity and term: ``bits`` that the term leaves open, for terms at or under the threshold."""
+    classes, named, _ = _disclosing(found, docs)
+    return named.select("class", "term", "bits").distinct().join(classes, "class").select("entity", "term", "bits")
 
 
 def added_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans of disclosing terms in the texts that hold their entity (kinds ``removed``, ``generalised``)."""
-    terms = materialise(disclosing(found, docs), "disclosing")
-    near = found.where("near is not null").select("doc_id", "_key", F.explode("near").alias("n"))
-    near = near.select("doc_id", "_key", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("term")).distinct()
-    strong = F.col("bits") <= REMOVE_BITS
-    named = near.join(terms, ["entity", "term"]).groupBy("doc_id", "_key").agg(
-        F.array_sort(F.collect_set(F.when(strong, F.col("term")))).alias("removed"),
-        F.array_sort(F.collect_set(F.when(~strong, F.col("term")))).alias("generalised"),
-    )
-    named = materialise(named.withColumnRenamed("doc_id", "_doc"), "named")
-    side = F.broadcast(named) if is_small(named, BROADCAST_ROWS) else named
-    rows = _keyed(docs).select("doc_id", "_key", "_text").join(side, "_key").where(F.col("doc_id").eqNullSafe(F.col("_doc")))
-    rows = rows.dropDuplicates(["doc_id", "_key"])
-    soft = F.array_except("generalised", "removed")
-    pattern = lambda words: F.concat(F.lit(f"(?iu)(?<!{_WORD})(?:"), F.array_join(words, "|"), F.lit(f")(?!{_WORD})"))
-    spans = F.concat(*(
-        F.when(F.size(words) > 0, _matches(F.col("_text"), pattern(words), kind)).otherwise(_none())
-        for kind, words in (("removed", F.col("removed")), ("generalised", soft))
-    ))
-    return rows.select("doc_id", "_key", spans.alias("added"))
+    """Per text, spans of disclosing terms in the texts that hold their entity (kinds ``removed``, ``generalised``)."""
+    _, named, held = _disclosing(found, docs)
+    kind = F.when(F.min("bits") <= REMOVE_BITS, "removed").otherwise("generalised")
+    named = materialise(named.groupBy("_key", "term").agg(kind.alias("kind")), "named")
+    words = F.regexp_extract_all("apart", F.lit(_TERM), F.lit(0))
+    pieces = F.zip_with(F.slice(F.split("apart", F.lit(_TERM), -1), 1, F.size(words)), words, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("value")))
+    at = held.join(named.select("_key").distinct(), "_key", "left_semi").select("_key", F.posexplode(pieces).alias("pos", "p"))
+    end = F.sum(F.col("p.gap") + F.length("p.value")).over(Window.partitionBy("_key").orderBy("pos")).cast("int")
+    at = at.select("_key", F.lower("p.value").alias("term"), "p.value", end.alias("end"))
+    marked = at.join(named, ["_key", "term"]).select("_key", F.struct((F.col("end") - F.length("value")).alias("start"), "kind", "end", "value").alias("a"))
+    ordered = F.array_sort(F.collect_list("a"))
+    span = lambda a: F.struct(a["kind"].alias("kind"), a["start"].alias("start"), a["end"].alias("end"), a["value"].alias("value"))
+    return marked.groupBy("_key").agg(F.transform(ordered, span).alias("added"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """Each document's ``base`` and ``added`` spans; an added span never overlaps a base one."""
     found = protected(docs)
-    added = materialise(added_spans(found, docs).withColumnRenamed("doc_id", "_doc").withColumnRenamed("_key", "_k"), "added")
-    rows = found.select("doc_id", "_key", "base")
-    joined = rows.join(added, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    added = materialise(added_spans(found, docs), "added")
+    joined = found.select("doc_id", "_key", "base").join(F.broadcast(added) if is_small(added, BROADCAST_ROWS // 10) else added, "_key", "left")
     apart = F.filter(F.coalesce("added", _none()), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     return joined.select("doc_id", "_key", "base", apart.alias("added"))
 

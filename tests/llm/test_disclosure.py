@@ -48,7 +48,7 @@ def test_terms_that_disclose_an_entity(spark):
 
 
 def test_terms_of_an_entity_seen_once(spark):
-    rows = [(i, f"{prose(i, 20)} today we wrote about number {i}") for i in range(1, 40)]
+    rows = [(i, f"{prose(i, 20)} today we wrote about number {i}") for i in range(100, 300)]
     rows += [(50, "today the falconer wrote to solo@firm.example about number one hundred"), (51, "once more a gardener and today +44 20 7946 0958 with number two"), (52, "a gardener flew")]
     docs = documents(spark, rows)
     found = disclosure.protected(docs)
@@ -60,6 +60,21 @@ def test_terms_of_an_entity_seen_once(spark):
     assert f"removed:{texts[50].index('falconer')}:" in spans[50] and f"generalised:{texts[51].index('gardener')}:" in spans[51]
 
 
+def test_terms_anywhere_in_the_text_of_an_entity(spark):
+    rows = [(i, f"{prose(i, 20)} today we wrote about number {i}") for i in range(1, 40)]
+    rows += [(50 + i, f"solo@firm.example {prose(50 + i, 60)} a falconer" if i else f"the falconer solo@firm.example {prose(50, 60)} falconer") for i in range(3)]
+    rows += [(60, rows[-1][1])]  # a copy counts once
+    docs = documents(spark, rows)
+    found = disclosure.protected(docs)
+    bits = {(r["entity"], r["term"]): round(r["bits"], 3) for r in disclosure.disclosing(found, docs).collect()}
+    assert bits["email:solo@firm.example", "falconer"] == 0 and not {t for _, t in bits} & {"solo", "firm", "example"}
+    texts, spans = dict(rows), {r["doc_id"]: r["spans"].split(",") for r in disclosure.report(docs).collect()}
+    for i in (50, 51, 52, 60):
+        low = texts[i].rindex("falconer")
+        assert f"removed:{low}:{low + 8}" in spans[i]
+    assert "removed:4:12" in spans[50]
+
+
 def test_sanitised_texts(spark):
     rows = secret_corpus() + [(60, "call +12345678901 or 4111 1111 1111 1111, ip 10.0.0.1"), (61, None)]
     docs = documents(spark, rows)
