@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 REMOVE_BITS, GENERALISE_BITS = 0.5, 1.0
 #: Evidence that a term and an entity belong together: chance gives such a pair in at most one of 2**EVIDENCE_BITS.
 EVIDENCE_BITS = 5.0
-#: Terms are words of at least this many letters or digits.
+#: Words of fewer letters are terms only if a text with an entity has them with a character other than a small letter.
 TERM_LENGTH = 4
 BROADCAST_ROWS = 500_000
 
@@ -38,7 +38,8 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,}+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_TERM = rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]{{{TERM_LENGTH},}}+"
+_TERM = r"[\p{L}\p{N}]++"
+_NAMING = rf"[^\p{{Ll}}]|.{{{TERM_LENGTH}}}"
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -113,9 +114,11 @@ def _apart(text: Column, base: Column) -> Column:
     return F.concat(end["out"], F.substr(text, end["at"] + 1, F.length(text)))
 
 
-def _terms(text: Column) -> Column:
-    """Distinct lower-case terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+def _terms(text: Column, naming: bool = False) -> Column:
+    """Distinct lower-case words of a text; ``naming``: those that may name an entity."""
+    words = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    words = F.filter(words, lambda w: w.rlike(_NAMING)) if naming else words
+    return F.array_distinct(F.transform(words, F.lower))
 
 
 def protected(docs: DataFrame) -> DataFrame:
@@ -171,7 +174,9 @@ def _disclosing(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     used = used.groupBy("term").agg(F.count("*").alias("texts"), F.sum("held").alias("held"))
     # no entity can be in more texts with the term than all entities are
     open_bits = F.log2(F.col("texts") / F.col("held"))
-    terms = materialise(used.where("held > 0").where(open_bits <= GENERALISE_BITS).select("term", "texts"), "terms")
+    used = used.where("held > 0").where(open_bits <= GENERALISE_BITS).select("term", "texts")
+    naming = held.select(F.explode(_terms(F.col("apart"), naming=True)).alias("term")).distinct()
+    terms = materialise(used.join(naming, "term", "left_semi"), "terms")
     pairs = held.select("_key", F.explode(_terms(F.col("apart"))).alias("term")).join(_small(terms), "term")
     pairs = materialise(pairs, "pairs").join(of_text, "_key")
     total = found.select("_key").distinct().count()

@@ -75,6 +75,15 @@ def test_terms_anywhere_in_the_text_of_an_entity(spark):
     assert "removed:4:12" in spans[50]
 
 
+def test_terms_at_the_edges_and_short_names(spark):
+    rows = [(i, f"{prose(i, 20)} today we wrote about number {i}") for i in range(100, 300)]
+    rows += [(1, "Ivanova a@b.example"), (2, "+44 20 7946 0958 Petrov"), (3, "we wrote c@d.example to Li about \u674e today")]
+    texts, got = dict(rows), {r["doc_id"]: r["spans"] for r in disclosure.report(documents(spark, rows)).collect()}
+    for i, term in ((1, "Ivanova"), (2, "Petrov"), (3, "Li"), (3, "\u674e")):
+        low = texts[i].index(term)
+        assert f"removed:{low}:{low + len(term)}" in got[i]
+
+
 def test_sanitised_texts(spark):
     rows = secret_corpus() + [(60, "call +12345678901 or 4111 1111 1111 1111, ip 10.0.0.1"), (61, None)]
     docs = documents(spark, rows)
