@@ -6,7 +6,8 @@ matrix R, the parts are summed by blocks of columns, and an orthonormal base of
 The columns are the benchmark's words, as others never add to an inner product with a benchmark passage; those
 count in the lengths of passages only, and words of more than a tenth of all passages have no weight.
 Passage frequencies and the sum cover every passage.  Sliding windows of every document whose cosine with a
-benchmark passage, estimated in that space, is high are candidates.  A candidate is a leak if the longest common subsequence of the item's words and the text around the
+benchmark passage, estimated in that space, is high are candidates; so are windows with enough of an item's rarest
+words, which any window with ``ITEM_SHARE`` of its words in order has, however common they are or large the corpus is.  A candidate is a leak if the longest common subsequence of the item's words and the text around the
 window holds enough of the item, and enough of the answer, the item's last words.
 
 The benchmark is taken in blocks of bounded size, one search over all documents for each.
@@ -18,6 +19,7 @@ table gives no rows; further columns are ignored (``clean`` keeps them).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +38,7 @@ from newsflow.session import is_small, materialise
 PASSAGE, STEP = 48, 16
 #: Latent dimensions.
 RANK = 96
-#: Words of more than this share of passages have no weight.
+#: Words of more than this share of passages have no weight in the space.
 COMMON = 0.1
 #: Weight of benchmark rows, as a share of the number of corpus passages over that of benchmark passages.
 BENCHMARK_WEIGHT = 1.0
@@ -74,11 +76,12 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Weights:
-    """Weights of the columns (0 for common words), and that of any other word."""
+    """Weights of the columns (0 for common words), that of any other word, and passages that hold each column."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
     other: float
+    held: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -89,6 +92,15 @@ class Space:
     base: np.ndarray
 
 
+@dataclass(frozen=True)
+class Rare:
+    """Items (by column, ``first`` to the next) that have the column among their rarest words; least number of these in a leak."""
+
+    first: np.ndarray
+    item: np.ndarray
+    least: np.ndarray
+
+
 @dataclass(frozen=True)
 class Items:
     """Items' words; scaled latent vectors of their passages and the item of each."""
@@ -97,6 +109,8 @@ class Items:
     words: list[np.ndarray]
     latent: np.ndarray
     item: np.ndarray
+    rare: Rare
+
 
 
 def word_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +219,7 @@ def space(stored: DataFrame, benchmark: list[np.ndarray]) -> Space:
     idf = np.log((passages + 1) / (counts + 1)).astype(np.float32)
     # the few passages of a small corpus say nothing on what is common
     idf[counts > max(COMMON * passages, 10)] = 0
-    weights = Weights(vocabulary, np.maximum(idf, 0), float(np.log((passages + 1) / 2)))
+    weights = Weights(vocabulary, np.maximum(idf, 0), float(np.log((passages + 1) / 2)), counts)
     shared = stored.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +268,45 @@ def latent(codes: np.ndarray, cuts: np.ndarray, space: Space) -> tuple[np.ndarra
     return windows, np.sqrt(np.maximum(length, 1e-9)), starts
 
 
+def rarest(words: list[np.ndarray], weights: Weights) -> Rare:
+    """A leak lacks at most ``missing`` of an item's words, so it has ``least`` of any ``missing + least`` of them."""
+    pairs, least = [], np.ones(len(words), dtype=np.int64)
+    for number, codes in enumerate(words):
+        if len(codes):
+            missing = len(codes) - math.ceil(ITEM_SHARE * len(codes) - 1e-9)
+            least[number] = max(1, (len(codes) - missing) // 4)
+            column = np.searchsorted(weights.vocabulary.codes, codes)
+            column = np.unique(column[np.argsort(weights.held[column], kind="stable")][: missing + least[number]])
+            pairs.append(np.stack([column, np.full(len(column), number)]))
+    column, item = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
+    order = np.argsort(column, kind="stable")
+    return Rare(np.searchsorted(column[order], np.arange(len(weights.vocabulary) + 1)), item[order], least)
+
+
+def exact_candidates(codes: np.ndarray, cuts: np.ndarray, vocabulary: Vocabulary, items: Items) -> np.ndarray:
+    """Text, first position of a window and item, for windows with enough of the item's rarest words about them."""
+    at, column = vocabulary.find(codes)
+    first, rare = items.rare.first, items.rare
+    many = first[column + 1] - first[column]
+    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item = rare.item[np.repeat(first[column], many) + within]
+    order = np.argsort(item.astype(np.uint16) if len(items.words) <= 1 << 16 else item, kind="stable")
+    item, at = item[order], np.repeat(at, many)[order]
+    last = np.arange(len(item)) + rare.least[item] - 1
+    inside = np.flatnonzero(last < len(item))
+    last, sizes = last[inside], np.array([len(w) for w in items.words], dtype=np.int64)
+    inside_at, inside_item = at[inside], item[inside]
+    near = (item[last] == inside_item) & (at[last] - inside_at < PASSAGE + 2 * sizes[inside_item])
+    inside_at, inside_item, end = inside_at[near], inside_item[near], at[last[near]]
+    text = np.searchsorted(cuts, inside_at, side="right") - 1
+    same = end < cuts[text + 1]
+    text, inside_at, inside_item = text[same], inside_at[same], inside_item[same]
+    low = inside_at - (inside_at - cuts[text]) % STEP
+    return np.unique(np.stack([text, low, inside_item], axis=1), axis=0) if len(low) else np.zeros((0, 3), dtype=np.int64)
+
+
 def prepared(ids: list, words: list[np.ndarray], space: Space) -> Items:
-    """Latent passages of the items; items without words, or of common words only, have none."""
+    """Latent passages of the items; items without words have none, those of common words only have empty ones."""
     starts, rows = [], []
     for number, codes in enumerate(words):
         if len(codes):
@@ -267,7 +318,7 @@ def prepared(ids: list, words: list[np.ndarray], space: Space) -> Items:
             scale = np.where(held > 1e-6, lengths[whole] / np.maximum(held, 1e-6), 0)
             rows.append((vectors[whole] * scale[:, None]).astype(np.float32))
             starts += [number] * len(whole)
-    return Items(ids, words, np.concatenate(rows) if rows else np.zeros((0, RANK), np.float32), np.array(starts, dtype=np.int64))
+    return Items(ids, words, np.concatenate(rows) if rows else np.zeros((0, RANK), np.float32), np.array(starts, dtype=np.int64), rarest(words, space.weights))
 
 
 def common_subsequence(masks: dict[int, int], length: int, text: list[int]) -> int:
@@ -299,24 +350,33 @@ def search(stored: DataFrame, space: Space, items: Items) -> DataFrame:
         masks = [(_masks(w), _masks(a)) for w, a in zip(items.words, answers)]
         for batch in arrow.slices(batches, "codes", limit=_SLICE):
             codes, cuts = _read(batch)
-            vectors, lengths, starts = latent(codes, cuts, space)
+            vectors, lengths, every = latent(codes, cuts, space)
             filled = np.flatnonzero(vectors.any(axis=1))
-            starts = starts[filled]
+            starts = every[filled]
             cosine = (vectors[filled] @ items.latent.T) / lengths[filled, None]
             window, passage = np.nonzero(cosine >= COSINE)
             text = np.searchsorted(cuts, starts[window], side="right") - 1
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for k in np.argsort(-cosine[window, passage], kind="stable").tolist():
-                row, item = int(text[k]), int(items.item[passage[k]])
-                if (row, item) in found:
-                    continue
-                size, low = len(items.words[item]), int(starts[window[k]])
+
+            def shares(row: int, low: int, item: int) -> tuple[float, float] | None:
+                """Shares of item and answer around a window, if it is a leak."""
+                size = len(items.words[item])
                 around = codes[max(int(cuts[row]), low - size) : min(int(cuts[row + 1]), low + PASSAGE + size)].tolist()
                 share = common_subsequence(masks[item][0], size, around) / size
                 if share >= ITEM_SHARE:
                     answer = common_subsequence(masks[item][1], len(answers[item]), around) / len(answers[item])
-                    if answer >= ANSWER_SHARE:
-                        found[row, item] = (float(cosine[window[k], passage[k]]), share, answer)
+                    return (share, answer) if answer >= ANSWER_SHARE else None
+                return None
+
+            for k in np.argsort(-cosine[window, passage], kind="stable").tolist():
+                row, item = int(text[k]), int(items.item[passage[k]])
+                if (row, item) not in found and (leak := shares(row, int(starts[window[k]]), item)):
+                    found[row, item] = (float(cosine[window[k], passage[k]]), *leak)
+            for row, low, item in exact_candidates(codes, cuts, space.weights.vocabulary, items).tolist():
+                if (row, item) not in found and (leak := shares(row, low, item)):
+                    k = int(np.searchsorted(every, low))
+                    close = (items.latent[items.item == item] @ vectors[k]) / lengths[k]
+                    found[row, item] = (float(close.max()), *leak)
             if found:
                 rows = pa.array([r for r, _ in found])
                 yield pa.RecordBatch.from_arrays(

@@ -49,6 +49,14 @@ def test_leaks(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, _ in rows if i not in gone)
 
 
+def test_item_in_a_third_of_all_rows(spark):
+    item = prose("shared", 14)
+    rows = [(i, f"{prose(i, 60)} {item if i % 3 == 0 else prose(-i, 14)} {prose(i + 900, 40)}") for i in range(1, 151)]
+    benchmark = spark.createDataFrame([(1, item), (2, prose("other", 14))], "item_id bigint, text string")
+    got = decontamination.leaks(documents(spark, rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in range(3, 151, 3)}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 3)
     rows, held = cases()
