@@ -57,6 +57,16 @@ def test_item_in_a_third_of_all_rows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in range(3, 151, 3)}
 
 
+def test_short_paraphrases_at_a_large_passage_count(spark, monkeypatch):
+    counted = decontamination.frequencies
+    monkeypatch.setattr(decontamination, "frequencies", lambda *a: tuple(n * 10**9 for n in counted(*a)))
+    items = [(k, prose(f"brief{k}", 12)) for k in range(12)]
+    swapped = [" ".join(f"new{j}" if j in (1, 4, 7) else w for j, w in enumerate(t.split())) for _, t in items]
+    rows = [(k, f"{prose(k, 150)} {t} {prose(-k - 1, 150)}") for k, t in enumerate(swapped)] + [(100 + i, t) for i in range(30) for _, t in items]
+    got = decontamination.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] < 100} == {(k, k) for k in range(12)}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 3)
     rows, held = cases()
