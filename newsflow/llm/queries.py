@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import decontamination, disclosure, licences, maintext, packing, partenum, quantised, secretscan, severity, slots, tokenfile, tokens
+from newsflow.llm import convtrie, decontamination, disclosure, licences, maintext, packing, partenum, quantised, secretscan, severity, slots, tokenfile, tokens
 from newsflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,8 @@ def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @register("op13_token_efficiency")
 def token_efficiency(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.report(table(spark, folder, "documents"), secretscan.vocabulary_path())
+
+
+@register("op12_truncation_peeling", convtrie.SQL)
+def truncation_peeling(spark: SparkSession, folder: str) -> DataFrame:
+    return convtrie.trie(table(spark, folder, "conversations"))
