@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import convtrie, decontamination, disclosure, licences, maintext, packing, partenum, quantised, secretscan, severity, slots, tokenfile, tokens
+from newsflow.llm import convtrie, decontamination, disclosure, licences, maintext, packing, partenum, quantised, rankedsearch, secretscan, severity, slots, tokenfile, tokens
 from newsflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ def token_efficiency(spark: SparkSession, folder: str) -> DataFrame:
 @register("op12_truncation_peeling", convtrie.SQL)
 def truncation_peeling(spark: SparkSession, folder: str) -> DataFrame:
     return convtrie.trie(table(spark, folder, "conversations"))
+
+
+@register("op11_nra", rankedsearch.SQL)
+def nra(spark: SparkSession, folder: str) -> DataFrame:
+    return rankedsearch.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
