@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow import params
 from newsflow.functions import scores, stocks, text
-from newsflow.session import small
+from newsflow.session import materialise, small
 
 # The ideograph blocks.  Ranges, since a script test per character is slow.
 HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
@@ -17,6 +18,8 @@ HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
 BETWEEN_WORDS = rf"[^\p{{L}}\p{{N}}]+|[{HAN}]+"
 # Two Chinese characters, taken at every offset.
 HAN_PAIRS = rf"(?=([{HAN}]{{2}}))"
+# Bits that tell which words, pairs of words and codes can begin a known name: 16 KB, whatever the master.
+MARKS = 1 << 17
 
 
 def lookup_by_code(queries: DataFrame, master: DataFrame, query: str = "query") -> DataFrame:
@@ -83,21 +86,29 @@ def verified_only(entities: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def _anchor(name: Column) -> Column:
-    """First two characters of a Chinese name, first word of any other."""
+    """First two characters of a Chinese name, first two words of any other, or its only word; blank-parted."""
     han = F.regexp_extract(name, rf"^([{HAN}]{{2}})", 1)
-    return F.when(han != "", han).otherwise(F.element_at(F.split(F.trim(_padded(name)), " "), 1))
+    return F.when(han != "", han).otherwise(F.array_join(F.slice(F.split(F.trim(_padded(name)), " "), 1, 2), " "))
 
 
-def _anchors(lowered: Column, padded: Column) -> Column:
-    """Distinct words, and pairs of Chinese characters where the text has any."""
+def _anchors(lowered: Column, words: Column, known: Callable[..., Column]) -> Column:
+    """What a known name may begin with: words, words side by side, and pairs of Chinese characters where the text has any."""
+    beside = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    beside = F.filter(beside, lambda p: p["b"].isNotNull() & known(p["a"], p["b"]))
     pairs = F.when(lowered.rlike(f"[{HAN}]"), F.regexp_extract_all(lowered, F.lit(HAN_PAIRS), F.lit(1)))
-    words = F.array_distinct(F.split(F.trim(padded), " "))
-    return F.when(pairs.isNull(), words).otherwise(F.array_distinct(F.concat(words, pairs)))
+    return F.concat(
+        F.filter(words, lambda w: known(w)), F.transform(beside, lambda p: F.concat_ws(" ", p["a"], p["b"])),
+        F.coalesce(F.filter(pairs, lambda p: known(p)), F.array().cast("array<string>")),
+    )
 
 
 def _padded(words: Column) -> Column:
     """Letters and digits only, words parted and framed by single blanks."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(words, BETWEEN_WORDS, " ")), F.lit(" "))
+    return _framed(F.regexp_replace(words, BETWEEN_WORDS, " "))
+
+
+def _framed(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
 def _occurs(lowered: Column, padded: Column, name: Column) -> Column:
@@ -116,29 +127,54 @@ def _known(master: DataFrame) -> DataFrame:
     """(key, name, stock_code): what a text is looked up by, anchors of names and written codes (without a name)."""
     names = _names(master).withColumn("anchor", _anchor(F.col("name"))).where(F.col("anchor") != "")
     codes = master.select("stock_code").where(F.col("stock_code").isNotNull()).distinct()
-    return names.select(F.concat(F.lit("name "), "anchor").alias("key"), "name", "stock_code").unionByName(
-        codes.select(F.concat(F.lit("code "), "stock_code").alias("key"), F.lit(None).cast("string").alias("name"), "stock_code")
+    return names.select(F.col("anchor").alias("key"), "name", "stock_code").unionByName(
+        codes.select(F.col("stock_code").alias("key"), F.lit(None).cast("string").alias("name"), "stock_code")
     )
 
 
+def _places(*parts: Column) -> list[Column]:
+    """The two bits of a key."""
+    h = F.xxhash64(*parts)
+    return [F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 32), F.lit(MARKS))]
+
+
+def key_marks(known: DataFrame) -> Column:
+    """A fixed number of bits, as an array of 64-bit words, with both bits of every key set."""
+    parts = F.split("key", " ")
+    placed = F.when(F.size(parts) > 1, F.array(*_places(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))).otherwise(F.array(*_places(F.get(parts, F.lit(0)))))
+    placed = known.select(F.explode(placed).alias("p"))
+    placed = placed.select(F.expr("p div 64").alias("at"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+    rows = placed.groupBy("at").agg(F.bit_or("bit").alias("word")).collect()  # at most MARKS / 64
+    words = dict.fromkeys(range(MARKS // 64), 0) | {r["at"]: r["word"] for r in rows}
+    # one literal to the optimiser, which folds it to an array
+    return F.from_json(F.lit(str([words[i] for i in range(MARKS // 64)])), "array<bigint>")
+
+
 def _with_codes(articles: DataFrame, master: DataFrame, article: str, body: str) -> DataFrame:
     """The articles with a stock, with ``_codes``, the distinct stocks of each text.
 
-    Keys of a text (words, pairs of Chinese characters, written codes) meet names and codes in one
-    join; only an article's own candidates come back, as one array per article, to its text, which
-    is read once more to compare them.  The plan is the same for a master of any size.
+    Each text is read once: its words, pairs of words, pairs of Chinese characters and written codes are tested in the
+    row against the bits of the known keys, and only texts with a hit are stored, with their hits.  The hits meet
+    names and codes in one join, and each text gets its own candidates back as one array to compare.  The plan is
+    the same for a master of any size; a large one sets more bits, and more texts are compared.
     """
-    lowered, padded = F.lower(F.col(body)), _padded(F.lower(F.col(body)))
-    prefixed = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
-    keys = F.concat(prefixed("name ", _anchors(lowered, padded)), prefixed("code ", stocks.codes_in_text(F.col(body))))
-    met = articles.select(article, F.explode(keys).alias("key")).join(small(_known(master)), "key")
+    known = _known(master)
+    marks = key_marks(known)
+    bit = lambda at: F.getbit(F.get(marks, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+    may_be = lambda *parts: bit(_places(*parts)[0]) & bit(_places(*parts)[1])
+    worded = articles.withColumn("_text", F.lower(F.col(body))).withColumn("_words", F.split("_text", BETWEEN_WORDS))
+    hits = F.concat(_anchors(F.col("_text"), F.col("_words"), may_be), F.filter(stocks.codes_in_text(F.col(body)), lambda c: may_be(c)))
+    # the outer form keeps the optimiser from repeating the text work in a filter pushed down
+    texts = worded.withColumn("_hits", F.explode_outer(F.array(F.nullif(F.array_distinct(hits), F.array().cast("array<string>")))))
+    texts = texts.where(F.col("_hits").isNotNull()).withColumn("_padded", _framed(F.array_join("_words", " "))).drop("_words")
+    texts = materialise(texts, "texts-with-hits")
+    met = texts.select(article, F.explode("_hits").alias("key")).join(small(known), "key")
     candidates = met.groupBy(article).agg(F.collect_set(F.struct("name", "stock_code")).alias("_candidates"))
-    texts = articles.join(candidates, article).withColumn("_text", lowered).withColumn("_padded", _padded(F.col("_text")))
     named = F.filter(
         "_candidates", lambda c: c["name"].isNull() | F.coalesce(_occurs(F.col("_text"), F.col("_padded"), c["name"]), F.lit(False))
     )
     codes = F.array_distinct(F.transform(named, lambda c: c["stock_code"]))
-    return texts.withColumn("_codes", codes).drop("_text", "_padded", "_candidates")
+    return texts.join(candidates, article).withColumn("_codes", codes).drop("_text", "_padded", "_candidates", "_hits")
 
 
 def _one_row_per_code(rows: DataFrame) -> DataFrame:
