@@ -7,7 +7,14 @@ otherwise it opens a new event.
 How it scales.  Time is cut into slots no wider than the window, so reports of one key and
 slot always belong to one session; a hot key spreads over its slots and only (min, max) per
 slot is needed to find the sessions.  The cap then needs a chain of opening times per session:
-the next opening is the first report at least ``max_span_hours`` after the current one.  Slots
+the next opening is the first report at least ``max_span_hours`` after the current one.  The
+chain is followed over cells of a minute, with the least and greatest time of each, as a lower
+and an upper bound of every opening.  Where the bounds agree, as they do unless an opening falls
+inside a cell of several times, the chain is known.  Otherwise the reports in cells that can hold an
+opening are left, and a tree of time cells (hour, minute, second, millisecond, microsecond)
+with the least time of each gives their successors; pointer doubling does the rest.  No window
+or array ever holds the reports of a key, a session or a slot: arrays have a line per minute, and windows at
+most a thousand cells or a line per hour.  Slots
 are no wider than the cap either, so each slot holds at most one opening, and the table that
 tells rows their event has one line per key and slot.
 """
@@ -26,9 +33,11 @@ from newsflow.session import materialise
 
 KEY = ["exchange", "stock_code", "event_type_primary"]
 HOUR = 3_600_000_000
-# Sessions with at most this many reports are chained in one array; larger ones by
-# repeated doubling, which never gathers a session.
-ARRAY_MAX = 50_000
+SESSION = [*KEY, "session_start"]
+# Width of the cells over which openings are bounded, in microseconds.
+CELL = 60_000_000
+# Widths of the cells of the tree, each a multiple of the one before.
+TREE = (1, 1_000, 1_000_000, 60_000_000, HOUR)
 
 
 @dataclass(frozen=True)
@@ -82,50 +91,65 @@ def sessions(reports: DataFrame, span: Span, seeds: DataFrame | None = None) ->
     )
 
 
-def _array_chain(times: DataFrame, span: Span) -> DataFrame:
-    """Openings of sessions small enough for one array of distinct times."""
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("openings"), F.lit(None).cast("bigint").alias("open")
-    )
-    step = lambda state, t: F.when(
-        state["open"].isNull() | (t - state["open"] >= span.cap),
-        F.struct(F.concat(state["openings"], F.array(t)).alias("openings"), t.alias("open")),
-    ).otherwise(state)
-    ordered = F.array_sort(F.collect_set("at"))
-    return (
-        times.groupBy(*KEY, "session_start")
-        .agg(F.aggregate(ordered, start, step)["openings"].alias("openings"))
-        .select(*KEY, "session_start", F.explode("openings").alias("opening"))
-    )
+def _cell(at: Column, width: int) -> Column:
+    """Number of the cell of a time, exact for any 64-bit time."""
+    return F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width))
 
 
-def _successors(times: DataFrame, slots: DataFrame, span: Span) -> DataFrame:
-    """(session, at, then): ``then`` is the first time of the session at or after ``at + cap``."""
-    session = [*KEY, "session_start"]
-    points = times.select(*session, F.col("at").alias("x"), F.col("at").alias("data"), F.lit(None).cast("bigint").alias("of"))
-    asks = times.select(*session, (F.col("at") + span.cap).alias("x"), F.lit(None).cast("bigint").alias("data"), F.col("at").alias("of"))
-    # Running minimum from the end of the slot; range frames take in equal values.
-    back = W.partitionBy(*session, "slot").orderBy(F.col("x").desc()).rangeBetween(W.unboundedPreceding, 0)
-    both = points.unionByName(asks).withColumn("slot", span.slot_of(F.col("x")))
-    inside = both.withColumn("then", F.min("data").over(back)).where(F.col("of").isNotNull())
-    # Next non-empty slot, for asked slots as well: one line per session and slot.
-    asked = inside.select(*session, "slot").distinct().withColumn("lo", F.lit(None).cast("bigint"))
-    lines = slots.select(*session, "slot", "lo").unionByName(asked).groupBy(*session, "slot").agg(F.min("lo").alias("lo"))
-    later = W.partitionBy(*session).orderBy(F.col("slot").desc()).rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.withColumn("next_lo", F.min("lo").over(later)).drop("lo")
-    return inside.join(lines, [*session, "slot"]).select(
-        *session, F.col("of").alias("at"), F.coalesce("then", "next_lo").alias("then")
-    )
+def _bounds(lines: DataFrame, span: Span) -> DataFrame:
+    """(session, lows, highs): bounds of the k-th opening, from lines (session, lo, hi) no wider than the cap.
+
+    An opening at or after ``a`` is followed by one no earlier than the first line that reaches ``a + cap``, one at or
+    before ``b`` by one no later than a time of the first line that reaches ``b + cap``.
+    """
+    none, no_time = F.array().cast("array<bigint>"), F.lit(None).cast("bigint")
+    start = F.struct(none.alias("lows"), no_time.alias("low"), none.alias("highs"), no_time.alias("high"))
+
+    def step(state: Column, line: Column) -> Column:
+        first = state["low"].isNull()
+        after_low, after_high = state["low"] + span.cap, state["high"] + span.cap
+        low = F.when(first, line["lo"]).when(line["hi"] >= after_low, F.greatest(line["lo"], after_low))
+        high = F.when(first | (line["lo"] >= after_high), line["lo"]).when(line["hi"] >= after_high, line["hi"])
+        more = lambda found, value: F.when(value.isNull(), found).otherwise(F.concat(found, F.array(value)))
+        return F.struct(
+            more(state["lows"], low).alias("lows"), F.coalesce(low, state["low"]).alias("low"),
+            more(state["highs"], high).alias("highs"), F.coalesce(high, state["high"]).alias("high"),
+        )
 
+    ordered = F.array_sort(F.collect_list(F.struct("lo", "hi")))
+    folded = lines.groupBy(*SESSION).agg(F.aggregate(ordered, start, step).alias("b"), F.max("hi").alias("end"))
+    return folded.select(*SESSION, "b.lows", "b.highs", "end")
 
-def _doubling_chain(times: DataFrame, slots: DataFrame, span: Span) -> DataFrame:
-    """Openings of sessions of any size, in about log2(openings) rounds.
+
+def _successors(times: DataFrame, span: Span) -> DataFrame:
+    """(session, at, then): ``then`` is the first of the session's times at or after ``at + cap``.
+
+    The answer lies in the millisecond of ``at + cap``, or else is the least time of the next millisecond that has any in
+    its second, of the next second in its minute, and so on: one lookup per width, of which the earliest counts.
+    """
+    after = F.col("at") + (span.cap - 1)  # the first time beyond this one
+    level = lambda at: F.explode(F.array(*[
+        F.struct(F.lit(k).alias("level"), _cell(at, width).cast("bigint").alias("cell")) for k, width in enumerate(TREE)
+    ])).alias("c")
+    asks = times.select(*SESSION, "at", level(after)).select(*SESSION, "at", "c.level", "c.cell")
+    filled = times.select(*SESSION, F.col("at").alias("lo"), level(F.col("at"))).select(*SESSION, "c.level", "c.cell", "lo")
+    asked = asks.select(*SESSION, "level", "cell", F.lit(None).cast("bigint").alias("lo"))
+    cells = filled.unionByName(asked).groupBy(*SESSION, "level", "cell").agg(F.min("lo").alias("lo"))
+    ratio = F.element_at(F.array(*[F.lit(b // a).cast("bigint") for a, b in zip(TREE, (*TREE[1:], TREE[-1]))]), F.col("level") + 1)
+    top = F.col("level") == len(TREE) - 1
+    cells = cells.withColumn("parent", F.when(top, 0).otherwise(F.call_function("div", F.col("cell") - F.pmod(F.col("cell"), ratio), ratio)))
+    beyond = W.partitionBy(*SESSION, "level", "parent").orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
+    following = cells.select(*SESSION, "level", "cell", F.min("lo").over(beyond).alias("then"))
+    return asks.join(following, [*SESSION, "level", "cell"]).groupBy(*SESSION, "at").agg(F.min("then").alias("then"))
+
+
+def _doubling_chain(times: DataFrame, span: Span) -> DataFrame:
+    """Openings among distinct times, their sessions' starts included, in about log2(openings) rounds.
 
     Level k maps a time to the opening 2^k steps later.  It is kept only for session starts
     and for times that level k−1 can reach, a set that shrinks from level to level.
     """
-    session = [*KEY, "session_start"]
-    level = materialise(_successors(times, slots, span), "successor")
+    level = materialise(_successors(times, span), "successor")
     levels = []
     while True:
         from_start = level.where((F.col("at") == F.col("session_start")) & F.col("then").isNotNull())
@@ -134,51 +158,49 @@ def _doubling_chain(times: DataFrame, slots: DataFrame, span: Span) -> DataFrame
         levels.append(level)
         reached = level.where(F.col("then").isNotNull())
         domain = (
-            reached.select(*session, F.col("then").alias("at"))
-            .unionByName(level.select(*session, F.col("session_start").alias("at")))
+            reached.select(*SESSION, F.col("then").alias("at"))
+            .unionByName(level.select(*SESSION, F.col("session_start").alias("at")))
             .distinct()
         )
-        half = level.join(domain, [*session, "at"], "left_semi")
-        onward = level.select(*session, F.col("at").alias("then"), F.col("then").alias("_onward"))
+        half = level.join(domain, [*SESSION, "at"], "left_semi")
+        onward = level.select(*SESSION, F.col("at").alias("then"), F.col("then").alias("_onward"))
         level = materialise(
-            half.join(onward, [*session, "then"], "left").select(*session, "at", F.col("_onward").alias("then")),
+            half.join(onward, [*SESSION, "then"], "left").select(*SESSION, "at", F.col("_onward").alias("then")),
             "successor",
         )
-    chain = times.select(*session, F.col("session_start").alias("opening")).distinct()
+    chain = times.select(*SESSION, F.col("session_start").alias("opening")).distinct()
     for level in reversed(levels):
-        further = chain.join(level.withColumnRenamed("at", "opening"), [*session, "opening"]).select(
-            *session, F.col("then").alias("opening")
+        further = chain.join(level.withColumnRenamed("at", "opening"), [*SESSION, "opening"]).select(
+            *SESSION, F.col("then").alias("opening")
         )
         chain = materialise(chain.unionByName(further.where(F.col("opening").isNotNull())), "chain")
     return chain
 
 
-def openings(reports: DataFrame, slots: DataFrame, span: Span, array_max: int = ARRAY_MAX) -> DataFrame:
+def openings(reports: DataFrame, slots: DataFrame, span: Span, cell: int = CELL) -> DataFrame:
     """(key, session_start, opening): the first time of every event."""
-    session = [*KEY, "session_start"]
-    whole = slots.groupBy(*session).agg(F.max("hi").alias("_end"), F.sum("n").alias("_n"))
+    cell = min(cell, span.slot)  # so that a cell holds at most one opening, and the times of one session
+    whole = slots.groupBy(*SESSION).agg(F.max("hi").alias("_end"))
     plain = whole.where(F.col("_end") - F.col("session_start") < span.cap)
     capped = whole.where(F.col("_end") - F.col("session_start") >= span.cap)
-    capped_slots = slots.join(capped, session, "left_semi")
-    times = (
-        reports.select(*KEY, "at")
-        .unionByName(slots.select(*KEY, F.col("lo").alias("at")))
-        .withColumn("slot", span.slot_of(F.col("at")))
-        .join(capped_slots.select(*KEY, "slot", "session_start"), [*KEY, "slot"])
-        .select(*KEY, "session_start", "at")
+    times = reports.select(*KEY, "at").unionByName(slots.select(*KEY, F.col("lo").alias("at")))
+    lines = times.groupBy(*KEY, span.slot_of(F.col("at")).alias("slot"), _cell(F.col("at"), cell).alias("cell")).agg(
+        F.min("at").alias("lo"), F.max("at").alias("hi")
     )
-    # Reports bound distinct times from above, so the slots tell which sessions are large.
-    large = capped.where(F.col("_n") > array_max).select(*session)
-    result = plain.select(*KEY, "session_start", F.col("session_start").alias("opening"))
-    if large.isEmpty():
-        return result.unionByName(_array_chain(times, span))
-    return result.unionByName(_array_chain(times.join(large, session, "left_anti"), span)).unionByName(
-        _doubling_chain(
-            materialise(times.join(large, session, "left_semi").distinct(), "large-times"),
-            slots.join(large, session, "left_semi"),
-            span,
-        )
+    capped_slots = slots.join(capped, SESSION, "left_semi").select(*KEY, "slot", "session_start")
+    bounds = materialise(_bounds(lines.join(capped_slots, [*KEY, "slot"]).select(*SESSION, "lo", "hi"), span), "bounds")
+    known = F.col("lows") == F.col("highs")
+    result = plain.select(*SESSION, F.col("session_start").alias("opening")).unionByName(
+        bounds.where(known).select(*SESSION, F.explode("lows").alias("opening"))
     )
+    if bounds.where(~known).isEmpty():
+        return result
+    # the upper chain is never the longer one; beyond its end an opening may lie anywhere
+    spans = bounds.where(~known).select(*SESSION, "end", F.explode(F.arrays_zip("lows", "highs")).alias("k"))
+    reached = F.sequence(_cell(F.col("k.lows"), cell), _cell(F.coalesce("k.highs", "end"), cell))
+    within = materialise(spans.select(*SESSION, F.explode(reached).alias("cell")).distinct(), "cells")
+    inside = times.withColumn("cell", _cell(F.col("at"), cell)).join(within, [*KEY, "cell"])
+    return result.unionByName(_doubling_chain(materialise(inside.select(*SESSION, "at").distinct(), "times"), span))
 
 
 def slot_events(slots: DataFrame, opened: DataFrame, span: Span) -> DataFrame:
@@ -197,16 +219,16 @@ def event_key(first: Column) -> Column:
     return derived_id(*[F.col(k) for k in KEY], first.cast("string"))
 
 
-def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None = None,
-           array_max: int = ARRAY_MAX) -> DataFrame:
+def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None = None, cell: int = CELL) -> DataFrame:
     """Adds ``first`` (opening time of the event, microseconds) to every report.
 
-    ``reports`` has the key columns and ``at`` in microseconds.
+    ``reports`` has the key columns and ``at`` in microseconds.  ``cell`` decides how much is left to the tree, never the
+    rows.  Reports with a null key column or time have no event; ``unplaced`` tells them.
     """
     span = span or Span.hours()
     narrow = reports.select(*KEY, "at")
     slots = materialise(sessions(narrow, span, seeds), "slots")
-    table = slot_events(slots, openings(narrow, slots, span, array_max), span)
+    table = slot_events(slots, openings(narrow, slots, span, cell), span)
     first = F.when(F.col("opening").isNotNull() & (F.col("at") >= F.col("opening")), F.col("opening")).otherwise(
         F.col("carried")
     )
@@ -218,6 +240,12 @@ def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None
     )
 
 
+def unplaced(reports: DataFrame) -> DataFrame:
+    """Reports that ``assign`` cannot place, with the missing columns as ``reject_reason``."""
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in [*KEY, "at"]]))
+    return reports.withColumn("reject_reason", F.concat(F.lit("missing "), F.array_join(missing, ", "))).where(F.size(missing) > 0)
+
+
 def merge(entity_events: DataFrame, span: Span | None = None) -> DataFrame:
     """Entity events with ``at``, ``first`` and ``event_id``; time is published, else created."""
     at = micros(F.coalesce("published_at", "created_at"))

@@ -75,6 +75,24 @@ def w2_long(spark, sf):
     return merged_reports(spark, sf, 24, 48).select("entity_event_id", "event_id", "first")
 
 
+@register("w2_hot_key", f"{sp.event_chain(reports=sp.HOT_REPORTS)} SELECT entity_event_id, event_id, first FROM merged")
+def w2_hot(spark, sf):
+    """A third of all reports on one key."""
+    reports = dt.on_one_key(dt.events_as_reports(spark, sf))
+    return merging.merge(reports).select("entity_event_id", "event_id", "first")
+
+
+_BURST = (2 / 3600, 5 / 3600)
+
+
+@register("w2_burst", f"{sp.event_chain(*_BURST, reports=sp.BURST_REPORTS)} SELECT entity_event_id, event_id, first FROM merged")
+def w2_burst(spark, sf):
+    """A third of all reports on one key and within half a minute; window and cap of seconds."""
+    reports = dt.on_one_key(dt.events_as_reports(spark, sf)).withColumn("at", dt.burst_time())
+    placed = merging.assign(reports, Span.hours(*_BURST)).withColumn("event_id", merging.event_key(F.col("first")))
+    return placed.select("entity_event_id", "event_id", "first")
+
+
 @register("w3_effective_time", f"WITH {sp.REPORTS} SELECT entity_event_id, us FROM reports")
 def w3(spark, sf):
     at = merging.micros(F.coalesce("published_at", "created_at"))

@@ -77,6 +77,17 @@ REPORTS = f"""reports AS (
     epoch_us(CASE WHEN event_id % 11 <> 0 THEN ts ELSE ts + to_seconds(event_id % 60) END) AS us
   FROM events)"""
 
+_ONE_KEY = "CASE WHEN eid % 3 = 0 THEN '00001.HK' ELSE stock_code END AS stock_code, CASE WHEN eid % 3 = 0 THEN 'EARNINGS' ELSE event_type_primary END AS event_type_primary"
+
+
+def _changed_reports(changes: str) -> str:
+    return f"{REPORTS.replace('reports AS', 'plain_reports AS', 1)}, reports AS (SELECT * REPLACE ({changes}) FROM plain_reports)"
+
+
+HOT_REPORTS = _changed_reports(_ONE_KEY)
+# thirty days of one key become half a minute
+BURST_REPORTS = _changed_reports(f"{_ONE_KEY}, CASE WHEN eid % 3 = 0 THEN epoch_us({EPOCH}) + (us - epoch_us({EPOCH})) // 86400 ELSE us END AS us")
+
 KEY = "exchange, stock_code, event_type_primary"
 
 
@@ -146,8 +157,8 @@ final AS MATERIALIZED (
     abs((base_rule_score + recency_score * 0.2e0) * direction * 0.67e0 + stock_impact_score * 0.66e0) AS final_abs FROM scored)"""
 
 
-def event_chain(window: float = params.WINDOW_HOURS, cap: float = params.MAX_SPAN_HOURS) -> str:
-    return f"WITH RECURSIVE {REPORTS}, {merged(window, cap)}"
+def event_chain(window: float = params.WINDOW_HOURS, cap: float = params.MAX_SPAN_HOURS, reports: str = REPORTS) -> str:
+    return f"WITH RECURSIVE {reports}, {merged(window, cap)}"
 
 
 def scored_chain(window: float = params.WINDOW_HOURS, cap: float = params.MAX_SPAN_HOURS) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow import params, schemas
@@ -72,6 +72,21 @@ def reports_of(events: DataFrame) -> DataFrame:
     )
 
 
+def on_one_key(reports: DataFrame) -> DataFrame:
+    """The reports with every third one on one stock and event type."""
+    third = F.col("entity_event_id").cast("bigint") % 3 == 0
+    return reports.withColumn("stock_code", F.when(third, "00001.HK").otherwise(F.col("stock_code"))).withColumn(
+        "event_type_primary", F.when(third, "EARNINGS").otherwise(F.col("event_type_primary"))
+    )
+
+
+def burst_time() -> Column:
+    """Effective time of a report in microseconds; that of every third one is 86400 times as fast, so that days become seconds."""
+    at, begin = F.unix_micros(F.coalesce("published_at", "created_at")), F.unix_micros(F.expr(EPOCH))
+    third = F.col("entity_event_id").cast("bigint") % 3 == 0
+    return F.when(third, begin + F.call_function("div", at - begin, F.lit(86400))).otherwise(at)
+
+
 def sources(spark: SparkSession) -> DataFrame:
     """The seeded source dimension, with one source switched off so that defaults show."""
     rows = [(n, w, n != "YAHOO_HK") for n, w in params.SOURCE_AUTHORITY.items()]

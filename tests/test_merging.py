@@ -27,8 +27,8 @@ def frame(spark, rows):
     return spark.createDataFrame(data, "id int, exchange string, stock_code string, event_type_primary string, at long")
 
 
-def assigned(spark, rows, span, array_max=merging.ARRAY_MAX):
-    return {r["id"]: r["first"] for r in merging.assign(frame(spark, rows), span, array_max=array_max).collect()}
+def assigned(spark, rows, span, cell=merging.CELL):
+    return {r["id"]: r["first"] for r in merging.assign(frame(spark, rows), span, cell=cell).collect()}
 
 
 def test_hand_made_case(spark):
@@ -37,9 +37,9 @@ def test_hand_made_case(spark):
     assert [first[i] // HOUR for i in range(9)] == [0, 0, 0, 0, 0, 0, 24, 24, 33]
 
 
-@pytest.mark.parametrize("array_max", [merging.ARRAY_MAX, 0])
+@pytest.mark.parametrize("cell", [merging.CELL, 4 * HOUR])
 @pytest.mark.parametrize("seed", range(3))
-def test_random_both_chains(spark, seed, array_max):
+def test_random_both_chains(spark, seed, cell):
     rng = random.Random(seed)
     window, cap = rng.choice([(4, 24), (24, 48), (6, 6), (10, 5)])
     rows, at = [], 0
@@ -47,14 +47,38 @@ def test_random_both_chains(spark, seed, array_max):
         at += int(rng.choice([0, 0.1, 1, 3.9, 4, 4.1, 7]) * HOUR)
         rows.append((i, f"k{rng.randint(0, 2)}", at))
     span = Span.hours(window, cap)
-    assert assigned(spark, rows, span, array_max) == sequential(rows, span.window, span.cap)
+    assert assigned(spark, rows, span, cell) == sequential(rows, span.window, span.cap)
 
 
 def test_hot_key_holds_a_third(spark):
     rng = random.Random(9)
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}", rng.randint(0, 40 * 24 * HOUR)) for i in range(9000)]
     span = Span.hours()
-    assert assigned(spark, rows, span, array_max=500) == sequential(rows, span.window, span.cap)
+    assert assigned(spark, rows, span, cell=HOUR) == sequential(rows, span.window, span.cap)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_burst_in_one_slot(spark, seed):
+    """Thousands of reports of one key within seconds, down to equal microseconds."""
+    rng = random.Random(seed)
+    span = Span(*rng.choice([(2_000_000, 5_000_000), (50_000, 50_000), (3_000, 1_000), (7, 20)]))
+    base = 1_700_000_000_000_000 - rng.randint(0, 10**7)
+    rows = [(i, "hot", base + rng.randint(0, 12 * span.cap)) for i in range(3000)]
+    rows += [(5000 + i, f"k{i % 5}", base + i * span.window // 2) for i in range(100)]
+    assert assigned(spark, rows, span) == sequential(rows, span.window, span.cap)
+
+
+def test_tree_windows_hold_cells_only(spark, monkeypatch):
+    """No window of the openings is partitioned by a key, session or slot alone."""
+    times = frame(spark, [(1, "k", 0), (2, "k", HOUR)]).withColumn("session_start", F.lit(0).cast("bigint"))
+    plan = merging._successors(times, Span.hours())._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Window [" in line and "parent" not in line] == []
+
+
+def test_reports_without_key_are_told(spark):
+    rows = frame(spark, [(1, None, 5), (2, "k", 7), (3, "k", None)])
+    assert {r["id"]: r["reject_reason"] for r in merging.unplaced(rows).collect()} == {1: "missing stock_code", 3: "missing at"}
+    assert [r["id"] for r in merging.assign(rows).collect()] == [2]
 
 
 def test_no_row_window_over_a_key(spark):
