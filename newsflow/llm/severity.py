@@ -8,7 +8,7 @@ the probabilities of the grades and the expected severity, their mean grade.
 Labels say toxic or not.  Grades of the training texts are made from them: 0 if not toxic, else
 1 to 3 by how often indicative features occur, cut at the thirds of the toxic training texts.
 A feature is indicative if it is at least ``LIFT`` times as frequent in toxic texts.  The model is fitted
-on at most ``SAMPLE`` labelled rows, chosen by hash, and scores every text.
+on at most ``SAMPLE`` labelled rows, those of the smallest hashes, and scores every text.
 
 Defined results: a null or empty text has no features and gets the base rates; equal rows get equal
 results; labels that are null or lack a text are not used, repeated labels of a text count each;
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.llm import arrow
+from newsflow.session import materialise
 
 SAMPLE = 8_000
 GRADES = 4
@@ -68,8 +69,8 @@ def features(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, count, np.diff(offsets)
 
 
-def one_of_copies(key: np.ndarray, rows: int) -> np.ndarray:
-    """Marks one row of each group of near copies: those that agree in their three smallest hashed features."""
+def sketches(key: np.ndarray, rows: int) -> np.ndarray:
+    """The three smallest hashed features of each row; near copies agree in them."""
     mixed = (key & ((1 << BITS) - 1)) * 0x9E3779B1 % (1 << 32)
     order = np.lexsort((mixed, key >> BITS))
     mixed, row = mixed[order], (key >> BITS)[order]
@@ -78,8 +79,13 @@ def one_of_copies(key: np.ndarray, rows: int) -> np.ndarray:
     for k in range(3):
         there = starts + k < np.searchsorted(row, np.arange(rows), side="right")
         sketch[there, k] = mixed[starts[there] + k]
+    return sketch
+
+
+def one_of_copies(key: np.ndarray, rows: int) -> np.ndarray:
+    """Marks one row of each group of near copies."""
     kept = np.zeros(rows, dtype=bool)
-    kept[np.unique(sketch, axis=0, return_index=True)[1]] = True
+    kept[np.unique(sketches(key, rows), axis=0, return_index=True)[1]] = True
     return kept
 
 
@@ -89,57 +95,75 @@ def _thirds(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
 
 
+def _least(n_bad: int) -> float:
+    return max(LEAST_TEXTS, LEAST_SHARE * n_bad)
+
+
+def indicative(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Features that occur in enough toxic texts and much more often in them than in others."""
+    lift = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    return (lift >= np.log(LIFT)) & (bad >= _least(n_bad))
+
+
 def fit(key: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, steps: int = 400) -> Model | None:
-    """A model from labelled texts; None without both kinds of label."""
-    if not toxic.any() or toxic.all():
-        return None
+    """A model from labelled texts at hand; None without both kinds of label.  ``train`` is the same for tables."""
     kept = one_of_copies(key, len(words))
     row, code = key >> BITS, key & ((1 << BITS) - 1)
     use = kept[row]
     row, code, count = (np.cumsum(kept) - 1)[row[use]], code[use], count[use]
-    words, toxic = words[kept], toxic[kept]
-    if not toxic.any() or toxic.all():
-        return None
+    toxic = toxic[kept]
     ids, at = np.unique(code, return_inverse=True)
     bad = np.bincount(at, weights=toxic[row], minlength=len(ids))
     good = np.bincount(at, minlength=len(ids)) - bad
-    n_bad, n_good = toxic.sum(), (~toxic).sum()
-    lift = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    indicative = (lift >= np.log(LIFT)) & (bad >= max(LEAST_TEXTS, LEAST_SHARE * n_bad))
-    chosen = np.sort(np.argsort(np.where(indicative, -bad, 0), kind="stable")[: min(FEATURES, indicative.sum())])
-    hits = np.bincount(row, weights=count * indicative[at], minlength=len(words))
-    grade = _thirds(hits, toxic)
+    telling = indicative(bad, good, toxic.sum(), (~toxic).sum())
+    used = telling[at]
+    return optimised(row[used], code[used], count[used], ids[telling], bad[telling], toxic, steps)
+
 
-    place = np.full(len(ids), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[at] >= 0
-    r, c, x = row[used], place[at][used], 1 + np.log(count[used])
-    weight, gaps = np.zeros(len(chosen)), np.zeros(GRADES - 1)
+def optimised(row: np.ndarray, code: np.ndarray, count: np.ndarray, telling: np.ndarray, bad: np.ndarray, toxic: np.ndarray, steps: int = 400) -> Model | None:
+    """The model from the indicative features (sorted, with the toxic texts that hold them) of each training row."""
+    if not toxic.any() or toxic.all():
+        return None
+    features = np.sort(telling[np.argsort(-bad, kind="stable")[:FEATURES]])
+    hits = np.bincount(row, weights=count, minlength=len(toxic))
+    grade = _thirds(hits, toxic)
+    used = np.isin(code, features)
+    r, c, x = row[used].astype(np.int32), np.searchsorted(features, code[used]).astype(np.int32), 1 + np.log(count[used])
+    weight, gaps = np.zeros(len(features)), np.zeros(GRADES - 1)
     share = np.array([(grade > k).mean() for k in range(GRADES - 1)]).clip(1e-4, 1 - 1e-4)
     start = -np.log(share / (1 - share))
     gaps[0], gaps[1:] = start[0], np.log(np.maximum(np.diff(start), 1e-2))
-    above = grade[:, None] > np.arange(GRADES - 1)
     params, first, second = np.concatenate([weight, gaps]), 0.0, 0.0
-    for step in range(1, steps + 1):  # Adam on the mean negative log likelihood of the grades, with a ridge
-        weight, gaps = params[: len(chosen)], params[len(chosen) :]
-        theta = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
-        score = np.bincount(r, weights=x * weight[c], minlength=len(words))
-        p = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -40, 40)))
-        edges = np.concatenate([np.ones((len(words), 1)), p, np.zeros((len(words), 1))], axis=1)
-        mass = np.maximum(np.take_along_axis(edges, grade[:, None], 1) - np.take_along_axis(edges, grade[:, None] + 1, 1), 1e-12)
-        slope = p * (1 - p) / mass
-        d = np.zeros_like(p)  # derivative of log mass in (score - theta_k)
-        d += np.where(np.arange(GRADES - 1) == grade[:, None] - 1, slope, 0) - np.where(np.arange(GRADES - 1) == grade[:, None], slope, 0)
-        g_weight = -np.bincount(c, weights=x * d.sum(axis=1)[r], minlength=len(chosen)) / len(words) + 1e-5 * weight
-        g_theta = d.mean(axis=0)
-        tail = np.cumsum(g_theta[::-1])[::-1]
-        gradient = np.concatenate([g_weight, tail[:1], tail[1:] * np.exp(gaps[1:])])
+    for step in range(1, steps + 1):  # Adam
+        gradient = loss_and_gradient(params, r, c, x, grade)[1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         params = params - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        params[: len(chosen)] = np.maximum(params[: len(chosen)], 0)  # features speak for severity only
-    weight, gaps = params[: len(chosen)], params[len(chosen) :]
-    return Model(ids[chosen], weight, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])))
+        params[: len(features)] = np.maximum(params[: len(features)], 0)  # features speak for severity only
+    weight, gaps = params[: len(features)], params[len(features) :]
+    return Model(features, weight, np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])])))
+
+
+def loss_and_gradient(params: np.ndarray, r: np.ndarray, c: np.ndarray, x: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades, with a ridge on the weights.
+
+    ``params`` are the weights, the first threshold and the logarithms of the gaps to the others; ``r``, ``c`` and ``x``
+    the rows, features and values of the training texts.
+    """
+    weight, gaps = params[: len(params) - GRADES + 1], params[len(params) - GRADES + 1 :]
+    rows = len(grade)
+    theta = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
+    score = np.bincount(r, weights=x * weight[c], minlength=rows)
+    p = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -40, 40)))
+    edges = np.concatenate([np.ones((rows, 1)), p, np.zeros((rows, 1))], axis=1)
+    mass = np.maximum(np.take_along_axis(edges, grade[:, None], 1) - np.take_along_axis(edges, grade[:, None] + 1, 1), 1e-12)
+    slope = p * (1 - p) / mass
+    # derivative of log mass in (score - theta_k)
+    d = np.where(np.arange(GRADES - 1) == grade[:, None] - 1, slope, 0) - np.where(np.arange(GRADES - 1) == grade[:, None], slope, 0)
+    g_weight = -np.bincount(c, weights=x * d.sum(axis=1)[r], minlength=len(weight)) / rows + 1e-5 * weight
+    tail = np.cumsum(d.mean(axis=0)[::-1])[::-1]
+    gradient = np.concatenate([g_weight, tail[:1], tail[1:] * np.exp(gaps[1:])])
+    return float(-np.log(mass).mean() + 0.5e-5 * (weight**2).sum()), gradient
 
 
 def scores(model: Model, key: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
@@ -153,30 +177,62 @@ def scores(model: Model, key: np.ndarray, count: np.ndarray, rows: int) -> np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on at most ``SAMPLE`` labelled rows."""
+    """Fit on at most ``SAMPLE`` labelled rows.
+
+    Features are counted in the tasks, per label.  The driver gets the counts of those in enough toxic texts, and then
+    the indicative features of each training text only.
+    """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("_toxic"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = min(1.0, SAMPLE / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    ids = known.limit(SAMPLE)  # bounded, so it is broadcast
+    ids = known.where(place <= int(share * (1 << 20))).orderBy(place, "doc_id", "_toxic").limit(SAMPLE)  # bounded, so it is broadcast
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches):
             key, count, words = features(arrow.texts(batch))
-            cuts = np.searchsorted(key >> BITS, np.arange(batch.num_rows + 1))
-            code = pa.array(key & ((1 << BITS) - 1), pa.int32())
-            of_row = lambda flat: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
+            cuts = pa.array(np.searchsorted(key >> BITS, np.arange(batch.num_rows + 1)), pa.int32())
+            of_row = lambda flat: pa.ListArray.from_arrays(cuts, pa.array(flat, pa.int32()))
+            three = pa.array(sketches(key, batch.num_rows).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [three, batch.column("doc_id"), pa.array(words, pa.int64()), batch.column("_toxic"), of_row(key & ((1 << BITS) - 1)), of_row(count)],
+                ["sketch", "doc_id", "words", "toxic", "codes", "counts"],
+            )
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"sketch array<bigint>, doc_id {id_type}, words bigint, toxic boolean, codes array<int>, counts array<int>"
+    rows = materialise(texts.select("doc_id", "_toxic", "text").mapInArrow(counted, kind), "labelled")
+    kept = rows.groupBy("sketch").agg(F.min(F.struct("doc_id", "words", "toxic", "codes", "counts")).alias("r"))
+    kept = materialise(kept.select("r.*"), "training")
+    sizes = kept.agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")).first()
+    if not sizes["bad"] or not sizes["good"]:
+        return None
+    per_code = kept.select("toxic", F.explode("codes").alias("code")).groupBy("code").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    # at most a hundred times the features of a text
+    counts = per_code.where(F.col("bad") >= _least(sizes["bad"])).orderBy("code").toArrow()
+    code, bad, good = (np.asarray(counts[c]) for c in ("code", "bad", "good"))
+    telling = indicative(bad, good, sizes["bad"], sizes["good"])
+    code, bad = code[telling], bad[telling]
+    shared = docs.sparkSession.sparkContext.broadcast(code)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = np.asarray(batch.column("codes").offsets, dtype=np.int64)
+            held, count = (np.asarray(batch.column(c).flatten()) for c in ("codes", "counts"))
+            use = np.isin(held, shared.value)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(use)])[cuts - cuts[0]], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_toxic"), pa.array(words, pa.int64()), of_row(code), of_row(pa.array(count, pa.int32()))],
-                ["doc_id", "toxic", "words", "codes", "counts"],
+                [batch.column("doc_id"), batch.column("toxic"), *(pa.ListArray.from_arrays(cuts, pa.array(v[use], pa.int32())) for v in (held, count))],
+                ["doc_id", "toxic", "codes", "counts"],
             )
 
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic boolean, words bigint, codes array<int>, counts array<int>"
-    sample = rows.select("doc_id", "_toxic", "text").mapInArrow(run, kind).toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    columns = kept.select("doc_id", "toxic", "codes", "counts")
+    sample = columns.mapInArrow(narrowed, f"doc_id {id_type}, toxic boolean, codes array<int>, counts array<int>").toArrow().combine_chunks()
+    sample = sample.sort_by([("doc_id", "ascending")]).combine_chunks()
     lengths = np.asarray(pa.compute.list_value_length(sample["codes"]), dtype=np.int64)
-    row = np.repeat(np.arange(sample.num_rows), lengths)
-    code = np.asarray(sample["codes"].combine_chunks().flatten(), dtype=np.int64)
-    return fit(row << BITS | code, np.asarray(sample["counts"].combine_chunks().flatten()), np.asarray(sample["words"]), np.asarray(sample["toxic"]).astype(bool))
+    held, count = (np.asarray(sample[c].combine_chunks().flatten()) for c in ("codes", "counts"))
+    toxic = np.asarray(sample["toxic"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
+    return optimised(np.repeat(np.arange(len(toxic)), lengths), held, count, code, bad, toxic)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

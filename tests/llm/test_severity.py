@@ -70,3 +70,26 @@ def test_copies_train_once():
     texts = [prose(1, 30)] * 50 + [prose(2, 30)]
     key, _, words = severity.features(pa.array(texts))
     assert severity.one_of_copies(key, len(words)).sum() == 2
+
+
+def test_gradient_against_differences():
+    random = np.random.default_rng(1)
+    rows, features = 30, 6
+    r, c, x = random.integers(0, rows, 90), random.integers(0, features, 90), random.random(90) + 1
+    grade = random.integers(0, severity.GRADES, rows)
+    params = random.normal(size=features + severity.GRADES - 1)
+    gradient = severity.loss_and_gradient(params, r, c, x, grade)[1]
+    for k in range(len(params)):
+        step = np.zeros_like(params)
+        step[k] = 1e-6
+        slope = (severity.loss_and_gradient(params + step, r, c, x, grade)[0] - severity.loss_and_gradient(params - step, r, c, x, grade)[0]) / 2e-6
+        assert abs(slope - gradient[k]) < 1e-6
+
+
+def test_table_and_texts_at_hand_give_one_model(spark):
+    rows = corpus(3, 300)
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    a, b = severity.train(docs, labels), fitted(rows)
+    assert a.features.tolist() == b.features.tolist()
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
