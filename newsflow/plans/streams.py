@@ -13,7 +13,7 @@ from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
 from newsflow import schemas
 from newsflow.streaming import cleaning as cleaning_stream
-from newsflow.streaming import delivery, merging, refresh
+from newsflow.streaming import closing, corrections, delivery, merging, refresh
 
 
 def _root(spark, name):
@@ -25,6 +25,19 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}*.parquet")
 
 
+def _in_turns(spark, root, parts, run):
+    """Write each part beside those before it and let the stream take it up from its checkpoint: a batch or more per part."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/input")
+        run(spark.readStream.schema(part.schema).parquet(f"{root}/input")).awaitTermination()
+
+
+def _thirds(spark, sf):
+    """The events with ``turn`` 0 to 2, by their time in the thirty days."""
+    second = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.expr(dt.EPOCH))
+    return dt.table(spark, sf, "events").withColumn("turn", F.least(F.lit(2), F.greatest(F.lit(0), F.floor(second / 864_000))))
+
+
 def _cleaned(spark, sf):
     root = _root(spark, "cleaning")
     raw = dt.raw_of(_stream(spark, sf, "documents"))
@@ -73,6 +86,36 @@ def st4_sessions(spark, sf):
     return rows.select(*KEY, F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "reports")
 
 
+@register("st5_idle_flush", f"""{sp.event_chain()}, clock AS (SELECT max(us) // 1000 - 14400000 AS ms FROM reports),
+  ended AS (SELECT event_id, first, max(us) AS last, count(*) AS reports FROM merged GROUP BY event_id, first)
+  SELECT event_id, first, last, reports, CASE WHEN (least(last + 14400000000, first + 86400000000) + 999) // 1000 > ms THEN 'open'
+    WHEN last + 14400000000 <= first + 86400000000 THEN 'window' ELSE 'cap' END AS reason FROM ended, clock""")
+def st5(spark, sf):
+    """Events in time order, in three turns; each event once, as it closes, and what is open at the end."""
+    root = _root(spark, "closing")
+    events = _thirds(spark, sf)
+
+    def run(stream):
+        corrections.start(dt.reports_of(stream), root, f"{root}/_merging").awaitTermination()
+        return closing.start(spark, root, f"{root}/closed", f"{root}/_closing")
+
+    _in_turns(spark, root, [events.where(F.col("turn") == k).drop("turn") for k in range(3)], run)
+    closed = tables.read_batches(spark, f"{root}/closed", closing.CLOSED)
+    rows = closed.unionByName(closing.still_open(spark, root, f"{root}/closed").select(*closed.columns))
+    return rows.select("event_id", "first", "last", "reports", "reason")
+
+
+@register("st6_late_rows", f"{sp.event_chain()} SELECT entity_event_id, event_id, first FROM merged")
+def st6(spark, sf):
+    """Every seventh report comes ten days late and every tenth comes twice; the places are those of the batch."""
+    root = _root(spark, "corrections")
+    eid, turn = F.col("event_id"), F.col("turn")
+    events = _thirds(spark, sf).withColumn("turn", F.when(eid % 7 == 0, turn + 1).otherwise(turn))
+    parts = [events.where((turn == k) | ((turn == k - 1) & (eid % 10 == 0))).drop("turn") for k in range(4)]
+    _in_turns(spark, root, parts, lambda stream: corrections.start(dt.reports_of(stream), root, f"{root}/_checkpoint"))
+    return corrections.places(spark, root).select("entity_event_id", "event_id", "first")
+
+
 @register("st9_stream_brief", f"{sp.scored_chain()} SELECT event_id, round(final_abs + 1e-9, 6) AS final_abs FROM final WHERE final_abs >= 3.0")
 def st9(spark, sf):
     root = _root(spark, "brief")

@@ -39,6 +39,9 @@ PLACES = T.StructType(
     [T.StructField("entity_event_id", T.StringType()), *_KEYS, *_longs("at", "first"), T.StructField("event_id", T.StringType()), *_longs("batch_id", "day")]
 )
 SESSIONS = T.StructType([*_KEYS, *_longs("session_start", "end")])
+#: ``seen`` is the newest report time of the stream when the row was written.
+EVENTS = T.StructType([T.StructField("event_id", T.StringType()), *_KEYS, *_longs("first", "last", "reports", "seen", "batch_id")])
+WITHDRAWN = T.StructType([T.StructField("event_id", T.StringType()), *_KEYS, *_longs("seen", "batch_id")])
 
 
 def _number(at: Column, width: int) -> Column:
@@ -126,13 +129,13 @@ def correcting_step(root: str, span: Span | None = None, horizon_hours: float =
         changed = again.where(~F.col("old").eqNullSafe(F.col("event_id")))
         changed = changed.select("entity_event_id", *KEY, "at", "first", "event_id", _number(F.col("at"), DAY).alias("day"))
         changed.write.mode("overwrite").partitionBy("day").parquet(f"{root}/map/batch_id={batch_id}")
-        events = again.groupBy("event_id", *KEY, "first").agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("reports"))
-        tables.write_batch(events, f"{root}/events", batch_id)
-        gone = again.select(F.col("old").alias("event_id")).dropna().distinct().join(again.select("event_id"), "event_id", "left_anti")
-        tables.write_batch(gone, f"{root}/withdrawn", batch_id)
-
         seen = fresh.agg(F.max("at")).first()[0]
         newest = max((t for t in (newest, seen) if t is not None), default=None)
+        clock = F.lit(newest).cast("bigint").alias("seen")
+        events = again.groupBy("event_id", *KEY, "first").agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("reports"))
+        tables.write_batch(events.select("*", clock), f"{root}/events", batch_id)
+        gone = again.select(F.col("old").alias("event_id"), *KEY).dropna().distinct().join(again.select("event_id"), "event_id", "left_anti")
+        tables.write_batch(gone.select("*", clock), f"{root}/withdrawn", batch_id)
         tables.publish(sessions.where(F.col("end") >= F.lit((newest or 0) - horizon)), f"{root}/sessions", batch_id)
         tables.publish(spark.createDataFrame([(newest,)], "newest bigint"), f"{root}/clock", batch_id)
 
