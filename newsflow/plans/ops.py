@@ -1,12 +1,16 @@
 """Queries behind the operational reports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsflow.operators import ranges, reports
 from newsflow.plans import sql_parts as sp
 from newsflow.plans.registry import r6, register, stamp
+from newsflow.session import shared_dir
 from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
+from newsflow.streaming import delivery, runs
 
 # --- coverage ------------------------------------------------------------------------------
 
@@ -171,3 +175,32 @@ def r2(spark, sf):
 def j13(spark, sf):
     executions, completions = _executions(spark, sf)
     return reports.unmatched_completions(completions, executions).select("execution_id")
+
+
+@register("st10_stream_completions", """WITH done AS (SELECT * FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 50 <> 0)
+  SELECT CAST(o.o_orderkey AS VARCHAR) AS execution_id, o.o_custkey % 100 AS job_id, CASE d.o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'SUCCESS' ELSE 'MISSING' END AS status,
+    CASE WHEN d.o_orderkey IS NOT NULL THEN o.o_orderkey % 600 END AS duration_s FROM orders o LEFT JOIN done d USING (o_orderkey)
+  UNION ALL SELECT 'x' || o_orderkey, NULL, 'ORPHAN', NULL FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 50 = 0""")
+def st10(spark, sf):
+    """Executions and completions in three turns by time, every tenth completion twice; a heartbeat at the end."""
+    executions, completions = _executions(spark, sf)
+    root = f"{shared_dir(spark)}/newsflow/runs-{uuid.uuid4().hex}"
+    repeated = completions.where(F.crc32("execution_id") % 10 == 0)
+    ends = executions.agg(F.min("start_time").alias("a"), F.max("start_time").alias("b")).first()
+    step = (ends["b"] - ends["a"]) / 3
+    cuts = [F.lit(ends["a"] + k * step) for k in (1, 2)]
+    third = lambda at: F.when(at < cuts[0], 0).when(at < cuts[1], 1).otherwise(2)
+    beat = spark.range(1).select(F.lit(None).cast("string").alias("execution_id"), (F.lit(ends["b"]) + F.expr("INTERVAL 7 DAYS")).alias("t"))
+    for turn in range(4):
+        if turn < 3:
+            begun, done = executions.where(third(F.col("start_time")) == turn), completions.unionByName(repeated).where(third(F.col("completed_at")) == turn)
+        else:
+            begun = beat.select("execution_id", F.lit(None).cast("bigint").alias("job_id"), F.col("t").alias("start_time"))
+            done = beat.select("execution_id", F.lit(None).cast("string").alias("status"), F.col("t").alias("completed_at"), F.lit(None).cast("string").alias("error_detail"))
+        begun.select(*executions.columns).write.mode("append").parquet(f"{root}/executions")
+        done.select(*completions.columns).write.mode("append").parquet(f"{root}/completions")
+        streams = [delivery.read_stream(spark, f"{root}/{n}", rows.schema) for n, rows in (("executions", executions), ("completions", completions))]
+        query = runs.outcomes(*streams).writeStream.outputMode("append").option("checkpointLocation", f"{root}/_checkpoint")
+        query.foreachBatch(lambda batch, n: tables.write_batch(batch, f"{root}/rows", n)).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/rows").where("execution_id is not null")
+    return rows.select("execution_id", "job_id", "status", "duration_s")
