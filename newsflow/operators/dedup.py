@@ -135,3 +135,16 @@ def insert_if_absent(candidates: DataFrame, stored: DataFrame | None, arrival: C
     keys = candidates.select("raw_id", "source_url", "raw_hash", arrival.alias("_arrival"))
     fresh = keys if stored is None else absent_on_url_and_hash(keys, stored)
     return candidates.join(first_accepted(fresh, F.col("_arrival")), "raw_id", "left_semi")
+
+
+def insert_if_absent_in(candidates: DataFrame, addresses, hashes, arrival: Column) -> DataFrame:
+    """The same against stores of addresses and hashes in buckets (``sources.buckets``), to which the accepted keys are added.
+
+    Reads only the buckets in which a candidate's key may be, so a batch's cost does not grow with the store.
+    """
+    keys = materialise(candidates.select("raw_id", "source_url", "raw_hash", arrival.alias("_arrival")), "candidates")
+    fresh = hashes.absent(addresses.absent(keys))
+    accepted = materialise(candidates.join(first_accepted(fresh, F.col("_arrival")), "raw_id", "left_semi"), "accepted")
+    for store in (addresses, hashes):
+        store.append(accepted)
+    return accepted

@@ -13,6 +13,7 @@ from newsflow.plans.registry import exact, r6, register, stamp
 from newsflow.session import materialise, shared_dir, small
 from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
+from newsflow.sources.buckets import Buckets
 
 AS_OF = "2024-01-31 00:00:00"
 WATCHLIST = ["00007", "9", "00021.HK"]
@@ -185,6 +186,21 @@ def s13(spark, sf):
     return tables.upsert(rows.where(early), rows.where(~early), ["stock_code", "event_type_primary"], "us", "eid").drop("eid")
 
 
+@register("s13_touched_buckets", f"""WITH {sp.REPORTS} SELECT stock_code, event_type_primary, source_url, us, entity_event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY stock_code, event_type_primary, substr(source_url, 1, 22) ORDER BY us DESC, eid DESC) AS n FROM reports) WHERE n = 1""")
+def s13_buckets(spark, sf):
+    """The latest report per stock, type and leading digit of the address, kept by three upserts of touched buckets."""
+    rows = dt.events_as_reports(spark, sf).select(
+        "stock_code", "event_type_primary", F.left("source_url", F.lit(22)).alias("address"), "source_url",
+        merging.micros(F.coalesce("published_at", "created_at")).alias("us"), F.col("entity_event_id").cast("long").alias("eid"), "entity_event_id",
+    )
+    rows = materialise(rows, "reports")
+    table = Buckets(f"{shared_dir(spark)}/newsflow/latest-{uuid.uuid4().hex}", rows.schema, ("stock_code", "event_type_primary", "address"), 64)
+    for low, high in ((0, 1704900000000000), (1704900000000000, 1705900000000000), (1705900000000000, 1 << 62)):
+        table.upsert(rows.where((F.col("us") >= low) & (F.col("us") < high)), "us", "eid")
+    return table.read(spark).drop("eid", "address")
+
+
 # --- scores --------------------------------------------------------------------------------
 
 _SCORED = sp.scored_chain()

@@ -1,5 +1,7 @@
 """Queries on scanning, extraction, cleaning and deduplication."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsflow import params
@@ -7,8 +9,9 @@ from newsflow.functions import dates, markup, stocks, text, urls
 from newsflow.operators import cleaning, dedup, extraction, reports
 from newsflow.plans import sql_parts as sp
 from newsflow.plans.registry import exact, register, stamp
+from newsflow.session import materialise, shared_dir
+from newsflow.sources import buckets, feeds, listings, tables
 from newsflow.sources import driver_tables as dt
-from newsflow.sources import feeds, listings, tables
 from newsflow.streaming import delivery
 
 # --- feeds ---------------------------------------------------------------------------------
@@ -428,6 +431,26 @@ def s7(spark, sf):
     return dedup.insert_if_absent(raw.where(~old), raw.where(old), F.col("created_at")).select("raw_id", "source_url")
 
 
+def _store(spark, name, count, schema, *keys):
+    return buckets.Buckets(f"{shared_dir(spark)}/newsflow/{name}-{uuid.uuid4().hex}", spark.createDataFrame([], schema).schema, keys, count)
+
+
+@register("s7_pruned_store", f"""WITH RECURSIVE {sp.RAW}, stored AS (SELECT * FROM raw WHERE doc_id % 4 = 0),
+  fresh AS (SELECT * FROM raw WHERE doc_id % 4 <> 0 AND source_url NOT IN (SELECT source_url FROM stored) AND raw_hash NOT IN (SELECT raw_hash FROM stored)),
+  {sp.first_accepted('fresh')} SELECT raw_id, source_url FROM fresh WHERE raw_id IN (SELECT raw_id FROM accepted)""")
+def s7_pruned(spark, sf):
+    """Two batches in the order of arrival, each against the stored keys and those that the batch before added."""
+    raw = materialise(dt.raw_news(spark, sf).select("raw_id", "source_url", "raw_hash", "created_at"), "raw")
+    old = F.col("raw_id").cast("long") % 4 == 0
+    addresses, hashes = (_store(spark, c, 64, f"{c} string", c) for c in ("source_url", "raw_hash"))
+    for store in (addresses, hashes):
+        store.append(raw.where(old))
+    middle = raw.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
+    first = F.col("created_at") <= F.lit(middle["a"] + (middle["b"] - middle["a"]) / 2)
+    taken = [dedup.insert_if_absent_in(raw.where(~old & part), addresses, hashes, F.col("created_at")) for part in (first, ~first)]
+    return extraction.union_sources(*[t.select("raw_id", "source_url") for t in taken])
+
+
 @register("j4_absent_probe", f"""WITH {sp.RAW}, stored AS (SELECT * FROM raw WHERE doc_id % 4 = 0)
   SELECT raw_id FROM raw WHERE doc_id % 4 <> 0 AND source_url NOT IN (SELECT source_url FROM stored) AND raw_hash NOT IN (SELECT raw_hash FROM stored)""")
 def j4(spark, sf):
@@ -474,6 +497,20 @@ def c26(spark, sf):
     return rows.where(hit).select("o_orderkey", tables.metadata_json(meta).alias("metadata"))
 
 
+@register("c26_index_lookup", """SELECT code AS stock_code, o_orderkey FROM (
+  SELECT o_orderkey, unnest([lpad(CAST(o_custkey % 100 AS VARCHAR), 5, '0'), '00388']) AS code FROM orders)
+  WHERE code = '00388' OR code IN (SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') FROM nation)""")
+def c26_index(spark, sf):
+    """An index of codes filled by two appends; one code is in every row."""
+    orders = dt.table(spark, sf, "orders")
+    rows = orders.select(F.explode(F.array(F.lpad((F.col("o_custkey") % 100).cast("string"), 5, "0"), F.lit("00388"))).alias("stock_code"), "o_orderkey")
+    index = _store(spark, "code-index", 32, "stock_code string, o_orderkey bigint", "stock_code")
+    for part in (F.col("o_orderkey") % 5 < 3, F.col("o_orderkey") % 5 >= 3):
+        index.append(rows.where(part))
+    asked = dt.table(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("stock_code"))
+    return index.lookup(asked.unionByName(spark.createDataFrame([("00388",)], "stock_code string")))
+
+
 @register("f13_s17_dead_letters", """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'good' WHEN event_id % 4 < 2 THEN 'retry' ELSE 'dead' END AS fate,
   CASE WHEN event_id % 10 <> 0 THEN event_id % 4 + 1 WHEN event_id % 4 < 2 THEN event_id % 4 + 2 ELSE event_id % 4 + 1 END AS delivery_count FROM events""")
 def f13(spark, sf):
