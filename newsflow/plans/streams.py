@@ -13,7 +13,7 @@ from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
 from newsflow import schemas
 from newsflow.streaming import cleaning as cleaning_stream
-from newsflow.streaming import closing, corrections, delivery, merging, refresh
+from newsflow.streaming import closing, corrections, delivery, ledger, merging, refresh
 
 
 def _root(spark, name):
@@ -86,6 +86,33 @@ def st4_sessions(spark, sf):
     return rows.select(*KEY, F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "reports")
 
 
+@register("st2_redelivered_reports", f"{sp.event_chain()} SELECT entity_event_id, event_id FROM merged")
+def st2(spark, sf):
+    """Every turn brings the whole turn before once more."""
+    root, turn = _root(spark, "redelivered"), F.col("turn")
+    events = _thirds(spark, sf)
+    parts = [events.where((turn == k) | (turn == k - 1)).drop("turn") for k in range(3)]
+    _in_turns(spark, root, parts, lambda stream: corrections.start(dt.reports_of(stream), root, f"{root}/_checkpoint"))
+    return corrections.places(spark, root).select("entity_event_id", "event_id")
+
+
+@register("st7_all_settled", f"""WITH {sp.RAW}, {sp.ASSESSED} SELECT raw_id, CASE WHEN doc_id % 10 = 0 THEN 'DEAD' ELSE coalesce(reject_reason, 'ACCEPTED') END AS outcome,
+  CASE WHEN doc_id % 10 = 0 THEN 3 ELSE 1 END AS deliveries, CASE WHEN doc_id % 10 > 0 AND reject_reason IS NULL THEN 1 ELSE 0 END AS cleaned FROM assessed""")
+def st7(spark, sf):
+    """Documents in three turns, a third of each delivered again with the next; one in ten has a schema version that is not known."""
+    root, n = _root(spark, "ledger"), F.col("raw_id").cast("bigint")
+    docs = dt.table(spark, sf, "documents")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    again = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+    parts = [docs.where((turn == k) | ((turn == k - 1) & again)) for k in range(3)]
+    version = F.when(n % 10 == 0, 2).otherwise(1)
+    _in_turns(spark, root, parts, lambda stream: ledger.start(dt.raw_of(stream).withColumn("v", version), root, f"{root}/_checkpoint"))
+    ledger.settle_all(spark, root)
+    cleaned = tables.read_batches(spark, f"{root}/cleaned", schemas.CLEANED_NEWS).groupBy("raw_id").agg(F.count(F.lit(1)).alias("cleaned"))
+    rows = ledger.outcomes(spark, root).withColumnRenamed("id", "raw_id").join(cleaned, "raw_id", "left")
+    return rows.select("raw_id", "outcome", "deliveries", F.coalesce("cleaned", F.lit(0)).alias("cleaned"))
+
+
 @register("st5_idle_flush", f"""{sp.event_chain()}, clock AS (SELECT max(us) // 1000 - 14400000 AS ms FROM reports),
   ended AS (SELECT event_id, first, max(us) AS last, count(*) AS reports FROM merged GROUP BY event_id, first)
   SELECT event_id, first, last, reports, CASE WHEN (least(last + 14400000000, first + 86400000000) + 999) // 1000 > ms THEN 'open'
