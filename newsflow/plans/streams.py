@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from newsflow.operators.merging import KEY
 from newsflow.plans import sql_parts as sp
-from newsflow.plans.events import AS_OF, scored_events
+from newsflow.plans.events import AS_OF, merged_reports, scored_events
 from newsflow.plans.registry import r6, register, stamp
-from newsflow.session import shared_dir
+from newsflow.session import materialise, shared_dir
 from newsflow.sources import driver_tables as dt
 from newsflow.sources import tables
 from newsflow import schemas
@@ -153,6 +153,30 @@ def st9(spark, sf):
     return tables.published(spark, f"{root}/brief").select("event_id", r6("final_abs_final_score").alias("final_abs"))
 
 
+@register("st9_second_version", f"{sp.scored_chain()} SELECT event_id, round(final_abs + 1e-9, 6) AS final_abs FROM final WHERE final_abs >= 3.0")
+def st9_versions(spark, sf):
+    """Three versions of the brief: old scores of all events, new ones of most, then the others and old ones again; the clock moves by days."""
+    root, part = _root(spark, "index"), F.crc32("event_id") % 3
+    scored = materialise(scored_events(spark, sf), "scored")
+    old = scored.withColumn("aggregation_updated_at", F.col("aggregation_updated_at") - F.expr("INTERVAL 1 HOUR")).withColumn("base_rule_score", F.col("base_rule_score") + 5)
+    clock = lambda n: F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(days=F.lit(3 * max(0, 2 - n)))
+    parts = [old, scored.where(part != 0), scored.where(part == 0).unionByName(old.where(part == 1))]
+    _in_turns(spark, root, parts, lambda stream: refresh.start_index(stream, root, f"{root}/_checkpoint", clock))
+    return tables.published(spark, f"{root}/brief").select("event_id", r6("final_abs_final_score").alias("final_abs"))
+
+
+@register("st8_superseded_work", f"{sp.event_chain()} SELECT event_id, max(us) AS version FROM merged GROUP BY event_id HAVING max(us) // 1000000 % 4 > 0")
+def st8(spark, sf):
+    """Every event is worked on in two versions; for one in four a newer aggregation has come meanwhile."""
+    merged = materialise(merged_reports(spark, sf), "merged")
+    now = merged.groupBy("event_id").agg(F.max("at").alias("us"))
+    stamped = lambda shift: F.timestamp_micros(F.col("us") + shift)
+    work = now.select("event_id", F.explode(F.array(stamped(0), stamped(-60_000_000))).alias("aggregation_updated_at"))
+    newer = F.when(F.expr("us div 1000000") % 4 == 0, 1_000_000).otherwise(0)
+    current = now.select("event_id", stamped(newer).alias("aggregation_updated_at"))
+    return refresh.current_work(work, current).select("event_id", F.unix_micros("aggregation_updated_at").alias("version"))
+
+
 @register("st11_no_repeats", "SELECT event_id FROM events")
 def st11(spark, sf):
     root = _root(spark, "repeats")
