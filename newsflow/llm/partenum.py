@@ -9,7 +9,8 @@ order that both sets share, the first s / 3 + 1 of each set contain a common sig
 has more than s / 3 of them.  The order is rarest first, by counts over all documents in a sketch of
 fixed size; what many documents share (a passage, a licence) comes last and is seldom emitted.  Sets of
 under 128 elements, and bands in which some set has too few halves, are partitioned into single
-elements, where the condition always holds.  A set near a band's upper end also signs for the next.
+elements, where the condition always holds; similar sets share 3/4 of the elements of either, so the first s / 4 + 1
+contain a common one.  A set near a band's upper end also signs for the next.
 
 Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
@@ -124,6 +125,11 @@ def tolerance(size: int) -> int:
     return size * (DENOMINATOR - NUMERATOR) // NUMERATOR
 
 
+def quota(size: int, single: bool) -> int:
+    """Signatures of a set that are enough, in an order shared by all sets."""
+    return (size * (DENOMINATOR - NUMERATOR) // DENOMINATOR if single else tolerance(size)) + 1
+
+
 def signatures(elements: np.ndarray, band: int, single: bool) -> np.ndarray:
     """All signatures of a sorted set in a band; ``single`` partitions into single elements."""
     salt = mix(np.full(1, band + 1, dtype=_U))
@@ -148,7 +154,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
             [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("weak", pa.int32()),
              ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
         )
-        for batch in arrow.slices(batches, limit=2 * arrow.SLICE_BYTES):
+        for batch in arrow.slices(batches):
             sets = shingle_sets(arrow.texts(batch))
             weak, found = [], []
             for elements in sets:
@@ -209,7 +215,7 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        for batch in arrow.slices(batches, limit=2 * arrow.SLICE_BYTES):
+        for batch in arrow.slices(batches):
             nodes, sizes, sigs, cells, hot = [], [], [], [], []
             for elements in shingle_sets(arrow.texts(batch)):
                 size = len(elements)
@@ -220,9 +226,10 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
                     seen.clear()
                 seen.add(node)
                 for band in bands_of(size):
-                    own = signatures(elements, band, band in single_bands)
+                    single = band == 0 or band in single_bands
+                    own = signatures(elements, band, single)
                     often = counts[_cell(own)]
-                    chosen = np.lexsort((own, often))[: tolerance(size) + 1]
+                    chosen = np.lexsort((own, often))[: quota(size, single)]
                     spread = 1 + often[chosen] // HOT_SETS
                     sigs.append(own[chosen].view(np.int64))
                     cells.append((_U(node & (2**64 - 1)) % spread.astype(_U)).astype(np.int32))
@@ -231,6 +238,7 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
                     sizes.append(np.full(len(chosen), size, dtype=np.int32))
             if sigs:
                 columns = [np.concatenate(c) for c in (sigs, cells, hot, nodes, sizes)]
+                del nodes, sizes, sigs, cells, hot
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "cell", "hot", "node", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"))

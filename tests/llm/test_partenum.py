@@ -91,3 +91,16 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 202), (202, 201), (201, 200), (7, 7)]
     got = {r["node"]: r["component"] for r in spark_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200}
+
+
+def test_fewer_single_elements_are_enough():
+    """Sets at the limit of similarity, in any shared order, have a common one among the first quarter and one."""
+    rng = np.random.default_rng(8)
+    for size in range(1, 127):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        for kept in range(len(a) + 1):
+            b = a[len(a) - kept :]
+            if not kept or 4 * kept < 3 * len(a):
+                continue
+            x, y = (np.sort(s)[: partenum.quota(len(s), True)] for s in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
