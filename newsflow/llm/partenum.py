@@ -14,7 +14,7 @@ contain a common one.  A set near a band's upper end also signs for the next.
 
 Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
-components, with further pivots, and at last all pairs between components, in blocks.  Signatures with the
+components, with further pivots, and at last all pairs between components, in blocks, each of which gives a forest of links.  Signatures with the
 same sets count as one.  A comparison begins with the parities of hashed buckets: each differing element
 flips one, so where more differ than in similar sets, the pair is out; all others are compared exactly.
 
@@ -57,8 +57,8 @@ HOT_SETS = 4096
 PIVOT_ROUNDS = 3
 #: Fewest buckets of the parities by which dissimilar pairs are told apart; larger sets have four times their size or more.
 BUCKETS = 2048
-#: Sets of a signature that one task compares with as many others.
-BLOCK = 512
+#: Sets of a signature, and elements of such sets, that one task compares with as many others.
+BLOCK, BLOCK_ELEMENTS = 512, 1 << 20
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -246,11 +246,13 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
 
 
 def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
-    verdicts = []
-    for a, b in zip(shingle_sets(texts_a), shingle_sets(texts_b)):
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        verdicts.append(DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
-    return np.array(verdicts, dtype=bool)
+    return np.array([alike(a, b) for a, b in zip(shingle_sets(texts_a), shingle_sets(texts_b))], dtype=bool)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets are similar, exactly."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
 def parities(elements: np.ndarray) -> bytes:
@@ -275,15 +277,23 @@ def can_be_similar(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * sizes
 
 
-def close_pairs(group: pa.Table) -> pa.Table:
-    """Pairs between the components of a cell whose parities allow similarity.
+def close_links(group: pa.Table) -> pa.Table:
+    """Links between the components of a cell: a forest of pairs that were compared exactly.
 
-    ``side`` says whether a set is of the first block (1), the second (2) or both (3).
+    ``side`` says whether a set is of the first block (1), the second (2) or both (3).  A pair is compared if its parities allow
+    similarity and no link found before joins its components, so a group of near copies gives one link less than its sets.
     """
     node, comp, side = (np.asarray(group[c]) for c in ("node", "comp", "side"))
     size = np.asarray(group["n"]).astype(np.int64)
     rows = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in group["buckets"]]
     width = np.array([len(r) for r in rows])
+    comp, texts, sets = comp.copy(), group["text"], {}
+
+    def elements(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_sets(pa.array([texts[k].as_py()], pa.string()))[0]
+        return sets[k]
+
     low, high = [], []
     for buckets in np.unique(width):
         near = np.flatnonzero((width == buckets) | (width == 2 * buckets))
@@ -296,24 +306,25 @@ def close_pairs(group: pa.Table) -> pa.Table:
             others = others[DENOMINATOR * np.minimum(size[others], size[k]) >= NUMERATOR * np.maximum(size[others], size[k])]
             if len(others):
                 apart = _apart(bits[[at[o] for o in others.tolist()]], bits[at[k]][None, :])
-                good = node[others[can_be_similar(apart, size[others] + size[k])]]
-                low.append(np.minimum(good, node[k]))
-                high.append(np.maximum(good, node[k]))
-    none = np.zeros(0, dtype=np.int64)
-    return pa.table({"a": np.concatenate(low) if low else none, "b": np.concatenate(high) if high else none})
-
-
-def pairs_in_blocks(left: DataFrame, candidates: DataFrame) -> DataFrame:
-    """All pairs (a, b) of sets of one signature and unlike components that can be similar."""
-    blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = left.select("sig", "node", "comp").join(materialise(blocks, "blocks"), "sig")
-    rows = rows.join(candidates.select("node", "n", "buckets"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
+                for o in others[can_be_similar(apart, size[others] + size[k])].tolist():
+                    if comp[o] != comp[k] and alike(elements(k), elements(o)):
+                        low.append(min(node[k], node[o]))
+                        high.append(max(node[k], node[o]))
+                        comp[comp == comp[o]] = comp[k]
+    return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+
+def links_in_blocks(left: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links (a, b) of sets of one signature and unlike components, by all pairs of blocks of bounded size."""
+    sizes = left.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    rows = left.select("sig", "node", "comp").join(materialise(sizes, "blocks"), "sig")
+    rows = rows.join(candidates.select("node", "n", "buckets", "text"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = rows.withColumn("other", F.explode(other)).select(
-        "sig", "node", "comp", "n", "buckets", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "sig", "node", "comp", "n", "buckets", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    return cells.groupBy("sig", "i", "j").applyInArrow(close_pairs, "a bigint, b bigint")
+    return materialise(cells.groupBy("sig", "i", "j").applyInArrow(close_links, "a bigint, b bigint").distinct(), "links")
 
 
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -370,9 +381,9 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
                 "sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot")), "pivots")
             met = left.join(pivots, "sig").where("comp != comp_pivot").withColumnRenamed("n", "n_node")
             pairs = _pairs(met, "node", "pivot")
+            edges = verified(pairs, candidates)
         else:
-            pairs = pairs_in_blocks(left, candidates)
-        edges = verified(pairs, candidates)
+            edges = links_in_blocks(left, candidates)
         found = edges if found is None else found.unionByName(edges)
         labels = components(found)
         if turn == PIVOT_ROUNDS:

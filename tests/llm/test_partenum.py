@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from helpers import AWKWARD, components, documents, jaccard_linked, prose, shingles
 
 from newsflow.llm import partenum
@@ -104,3 +105,28 @@ def test_fewer_single_elements_are_enough():
                 continue
             x, y = (np.sort(s)[: partenum.quota(len(s), True)] for s in (a, b))
             assert set(x.tolist()) & set(y.tolist())
+
+
+def test_a_cell_gives_a_forest():
+    """Two groups of near copies and a stranger: as many links as join each group, whatever the pairs."""
+    texts = [near(1, 300, range(0, 2 * i, 2)) for i in range(12)] + [near(2, 300, range(0, 2 * i, 2)) for i in range(9)] + [prose(3, 300)]
+    sets = partenum.shingle_sets(pa.array(texts))
+    n = len(texts)
+    cell = pa.table({
+        "node": list(range(n)), "comp": list(range(n)), "n": [len(s) for s in sets], "side": [3] * n,
+        "buckets": [partenum.parities(s) for s in sets], "text": texts,
+    })
+    links = partenum.close_links(cell).to_pylist()
+    assert len(links) == 11 + 8
+    whole = components(range(n), lambda a, b: {"a": min(a, b), "b": max(a, b)} in links)
+    assert whole == components(range(n), lambda a, b: jaccard_linked(shingles(texts[a]), shingles(texts[b])))
+
+
+def test_last_blocks_find_what_pivots_leave(spark, monkeypatch):
+    rows = cases()
+    monkeypatch.setattr(partenum, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(partenum, "BLOCK", 8)
+    got = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(documents(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    want = components(sets, lambda a, b: jaccard_linked(sets[a], sets[b]))
+    assert {i: c for i, c in got.items() if i is not None} == want
