@@ -7,6 +7,8 @@ table of per-partition totals then gives every partition its starting value.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,6 +88,48 @@ def latency_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+# --- mergeable counts ----------------------------------------------------------------------
+
+#: Relative error of a value read from counts; the element itself has the exact rank.
+VALUE_ERROR = 0.01
+_STEP = math.log((1 + VALUE_ERROR) / (1 - VALUE_ERROR))
+
+
+def value_counts(samples: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, sign, cell, n, min, max): samples counted in cells whose ends differ by a fixed ratio.
+
+    Counts of any parts of the samples add up to those of all (``merged_counts``), in any order.  A group has about 115
+    cells for each power of ten, however many samples.  Nulls and NaN are no samples; infinities have a cell of their own.
+    """
+    v = F.col(value).cast("double")
+    known = samples.where(v.isNotNull() & ~F.isnan(v))
+    infinite = F.abs(v) == F.lit(float("inf"))
+    cell = F.when(v == 0, 0).when(infinite, 1 << 30).otherwise(F.floor(F.log(F.abs(v)) / _STEP)).cast("int")
+    return known.groupBy(group, F.signum(v).cast("int").alias("sign"), cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+
+
+def merged_counts(counts: DataFrame, group: str) -> DataFrame:
+    return counts.groupBy(group, "sign", "cell").agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def summary_of_counts(counts: DataFrame, group: str) -> DataFrame:
+    """n, min, median, p95 and max per group from merged counts: ranks as in ``latency_summary``, values within ``VALUE_ERROR``."""
+    whole = counts.groupBy(group).agg(F.sum("n").alias("_all"), F.min("min").alias("_min"), F.max("max").alias("_max"))
+    # one row per cell of a group
+    order = W.partitionBy(group).orderBy("sign", F.col("sign") * F.col("cell"))
+    placed = counts.withColumn("_upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).join(whole, group)
+    middle = F.exp((F.col("cell") + 1) * _STEP) * (1 - VALUE_ERROR)  # no further than the error from either end
+    read = F.when(F.col("sign") == 0, 0.0).when(F.col("min") == F.col("max"), F.col("min")).otherwise(F.least("max", F.greatest("min", F.col("sign") * middle)))
+    n = F.col("_all")
+    at = lambda index: F.max(F.when((F.col("_upto") - F.col("n") <= index) & (index < F.col("_upto")), read))
+    low, high, tail = F.floor((n - 1) / 2), F.floor(n / 2), F.least(n - 1, F.floor(F.lit(0.95) * n))
+    return placed.groupBy(group, F.col("_all").alias("n"), F.col("_min").alias("min"), F.col("_max").alias("max")).agg(
+        ((at(low) + at(high)) / 2).alias("median"), at(tail).alias("p95")
+    ).select(group, "n", "min", "median", "p95", "max")
+
+
 def pooled(samples: DataFrame, group: str, members: list[str], label: str) -> DataFrame:
     """Samples plus a second copy of the listed groups under a common label."""
     pool = samples.where(F.col(group).isin(members)).withColumn(group, F.lit(label))

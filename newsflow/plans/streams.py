@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from newsflow.operators import ranges
 from newsflow.operators.merging import KEY
 from newsflow.plans import sql_parts as sp
 from newsflow.plans.events import AS_OF, merged_reports, scored_events
@@ -177,6 +178,19 @@ def st8(spark, sf):
     return refresh.current_work(work, current).select("event_id", F.unix_micros("aggregation_updated_at").alias("version"))
 
 
+@register("a13_merged_batches", """SELECT event_type AS op, count(*) AS n, min(value) AS min, max(value) AS max, true AS median_within, true AS p95_within
+  FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def a13_merged(spark, sf):
+    """Latency counts of three batches, merged, and whether median and p95 are within the stated error of the exact ones."""
+    root, events = _root(spark, "latency"), _thirds(spark, sf).select(F.col("event_type").alias("op"), F.col("value").alias("v"), "turn")
+    parts = [events.where(F.col("turn") == k).drop("turn") for k in range(3)]
+    _in_turns(spark, root, parts, lambda stream: delivery.start(stream, delivery.counting_step(f"{root}/counts", "op", "v"), f"{root}/_checkpoint"))
+    merged = ranges.summary_of_counts(tables.published(spark, f"{root}/counts"), "op")
+    exact = ranges.latency_summary(events, "op", "v").select("op", F.col("median").alias("m"), F.col("p95").alias("p"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.abs(F.col(b)) * (ranges.VALUE_ERROR + 1e-9)
+    return merged.join(exact, "op").select("op", "n", "min", "max", near("median", "m").alias("median_within"), near("p95", "p").alias("p95_within"))
+
+
 @register("st11_no_repeats", "SELECT event_id FROM events")
 def st11(spark, sf):
     root = _root(spark, "repeats")

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from newsflow import params
+from newsflow.operators import ranges
 from newsflow.session import scratch
+from newsflow.sources import tables
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -61,3 +63,15 @@ def settle(rows: DataFrame, error: Column, most: int = params.MAX_DELIVERIES) ->
 def without_repeats(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """Drops repeats of a key that arrive within the delay; state is bounded by it."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def counting_step(root: str, group: str, value: str):
+    """Step keeping the merged value counts of a stream of samples as versions under ``root``; a version is as small as its cells."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        counts = ranges.value_counts(batch, group, value)
+        if tables.exists(batch.sparkSession, f"{root}/version={batch_id - 1}"):
+            counts = counts.unionByName(tables.published(batch.sparkSession, root, batch_id - 1))
+        tables.publish(ranges.merged_counts(counts, group), root, batch_id)
+
+    return step
