@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsflow import params
-from newsflow.functions import dates, markup, stocks, text, urls
+from newsflow.functions import dates, markup, selectors, stocks, text, urls
 from newsflow.operators import cleaning, dedup, extraction, reports
 from newsflow.plans import sql_parts as sp
 from newsflow.plans.registry import exact, register, stamp
@@ -158,6 +158,23 @@ def c7(spark, sf):
     return bodies.withColumn("body", markup.unescape(F.col("body")))
 
 
+_LIST = "regexp_extract(html, '(?is)<nav\\b[^>]*>(.*?)</nav\\s*>', 1)"
+_HEADLINE = sp.strip(_DECODE("regexp_extract(html, '(?is)<article\\b[^>]*>\\s*<h1\\b[^>]*>(.*?)</h1\\s*>', 1)"))
+
+
+@register("c7_descendant_scope", f"""SELECT page_id, array_to_string(regexp_extract_all({_LIST}, '<li><a href="([^"]*)"', 1), '|') AS links,
+  array_to_string(list_transform(regexp_extract_all({_LIST}, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: trim(x)), '|') AS labels,
+  nullif({_HEADLINE}, '') AS headline, len(regexp_extract_all(html, '<div class="ad">')) AS adverts FROM pages""")
+def c7_scopes(spark, sf):
+    """Menu links by children of children, the headline of the article, and blocks by class."""
+    pages, html = dt.worked(spark, sf, "pages"), F.col("html")
+    return pages.select(
+        "page_id", F.array_join(selectors.values(html, "nav ul > li > a[href]", "href"), "|").alias("links"),
+        F.array_join(selectors.texts(html, "nav ul > li > a"), "|").alias("labels"),
+        selectors.first_text(html, "article > h1").alias("headline"), F.size(selectors.texts(html, "body > div.ad")).cast("bigint").alias("adverts"),
+    )
+
+
 @register("c8_main_text", f"SELECT page_id, {_MAIN_TEXT} AS body FROM pages")
 def c8(spark, sf):
     bodies = dt.worked(spark, sf, "pages").select("page_id", markup.main_text(F.col("html")).alias("body"))
