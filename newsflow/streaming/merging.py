@@ -80,8 +80,8 @@ def merge_batch(reports: DataFrame, open_events: DataFrame, newest: int | None,
 
 
 def merging_step(root: str, span: Span | None = None, lateness_hours: float = 4.0):
-    """Step writing ``map`` (report to event), ``events`` (changed ones) and ``late`` per batch,
-    and the open events as a snapshot named by the batch."""
+    """Step writing ``map`` (report to event), ``events`` (changed ones), ``late`` and ``rejected`` (without key or time)
+    per batch, and the open events as a snapshot named by the batch."""
     span = span or Span.hours()
     lateness = int(lateness_hours * HOUR)
 
@@ -90,7 +90,8 @@ def merging_step(root: str, span: Span | None = None, lateness_hours: float = 4.
         at = merging.micros(F.coalesce("published_at", "created_at"))
         reports = batch.dropDuplicates(["entity_event_id"]).withColumn("at", at)
         opened, newest = _state_before(spark, root, batch_id)
-        merged = merge_batch(reports, opened, newest, span, lateness)
+        tables.write_batch(merging.unplaced(reports), f"{root}/rejected", batch_id)
+        merged = merge_batch(reports.dropna(subset=[*KEY, "at"]), opened, newest, span, lateness)
         tables.write_batch(merged.assigned, f"{root}/map", batch_id)
         tables.write_batch(merged.late, f"{root}/late", batch_id)
         tables.write_batch(changed_events(merged, F.timestamp_micros(F.lit(merged.newest))), f"{root}/events", batch_id)
