@@ -14,7 +14,8 @@ contain a common one.  A set near a band's upper end also signs for the next.
 
 Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
-components, with further pivots, and at last all pairs between components, in blocks, each of which gives a forest of links.  Signatures with the
+components, with further pivots, and at last all pairs between components, in blocks.  A block gives a forest of pairs that may be similar; what is found dissimilar
+is left out of the next forest, until there is no such pair.  Signatures with the
 same sets count as one.  A comparison begins with the parities of hashed buckets: each differing element
 flips one, so where more differ than in similar sets, the pair is out; all others are compared exactly.
 
@@ -57,8 +58,8 @@ HOT_SETS = 4096
 PIVOT_ROUNDS = 3
 #: Fewest buckets of the parities by which dissimilar pairs are told apart; larger sets have four times their size or more.
 BUCKETS = 2048
-#: Sets of a signature, and elements of such sets, that one task compares with as many others.
-BLOCK, BLOCK_ELEMENTS = 512, 1 << 20
+#: Sets of a signature that one task compares with as many others.
+BLOCK = 512
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -277,23 +278,18 @@ def can_be_similar(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * sizes
 
 
-def close_links(group: pa.Table) -> pa.Table:
-    """Links between the components of a cell: a forest of pairs that were compared exactly.
+def likely_forest(group: pa.Table) -> pa.Table:
+    """Pairs between the components of a cell whose parities allow similarity: a forest of them.
 
-    ``side`` says whether a set is of the first block (1), the second (2) or both (3).  A pair is compared if its parities allow
-    similarity and no link found before joins its components, so a group of near copies gives one link less than its sets.
+    ``side`` says whether a set is of the first block (1), the second (2) or both (3); ``apart`` has the sets that were found
+    dissimilar to a set before.  A pair is left out if pairs before it join its components, so a group of near
+    copies gives one pair less than its sets.
     """
-    node, comp, side = (np.asarray(group[c]) for c in ("node", "comp", "side"))
-    size = np.asarray(group["n"]).astype(np.int64)
+    node, side = (np.asarray(group[c]) for c in ("node", "side"))
+    comp, size = np.asarray(group["comp"]).copy(), np.asarray(group["n"]).astype(np.int64)
     rows = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in group["buckets"]]
+    known = [set(v.as_py() or ()) for v in group["apart"]]
     width = np.array([len(r) for r in rows])
-    comp, texts, sets = comp.copy(), group["text"], {}
-
-    def elements(k: int) -> np.ndarray:
-        if k not in sets:
-            sets[k] = shingle_sets(pa.array([texts[k].as_py()], pa.string()))[0]
-        return sets[k]
-
     low, high = [], []
     for buckets in np.unique(width):
         near = np.flatnonzero((width == buckets) | (width == 2 * buckets))
@@ -307,24 +303,28 @@ def close_links(group: pa.Table) -> pa.Table:
             if len(others):
                 apart = _apart(bits[[at[o] for o in others.tolist()]], bits[at[k]][None, :])
                 for o in others[can_be_similar(apart, size[others] + size[k])].tolist():
-                    if comp[o] != comp[k] and alike(elements(k), elements(o)):
+                    if comp[o] != comp[k] and int(node[o]) not in known[k] and int(node[k]) not in known[o]:
                         low.append(min(node[k], node[o]))
                         high.append(max(node[k], node[o]))
                         comp[comp == comp[o]] = comp[k]
     return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
 
-def links_in_blocks(left: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links (a, b) of sets of one signature and unlike components, by all pairs of blocks of bounded size."""
-    sizes = left.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    rows = left.select("sig", "node", "comp").join(materialise(sizes, "blocks"), "sig")
-    rows = rows.join(candidates.select("node", "n", "buckets", "text"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
+def pairs_in_blocks(left: DataFrame, candidates: DataFrame, apart: DataFrame | None) -> DataFrame:
+    """Likely pairs (a, b) of sets of one signature and unlike components, without the pairs ``apart``; by all pairs of blocks."""
+    blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = left.select("sig", "node", "comp").join(materialise(blocks, "blocks"), "sig")
+    rows = rows.join(candidates.select("node", "n", "buckets"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
+    if apart is None:
+        rows = rows.withColumn("apart", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = rows.join(materialise(apart.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("apart")), "apart"), "node", "left")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = rows.withColumn("other", F.explode(other)).select(
-        "sig", "node", "comp", "n", "buckets", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "sig", "node", "comp", "n", "buckets", "apart", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    return materialise(cells.groupBy("sig", "i", "j").applyInArrow(close_links, "a bigint, b bigint").distinct(), "links")
+    return materialise(cells.groupBy("sig", "i", "j").applyInArrow(likely_forest, "a bigint, b bigint").distinct(), "pairs")
 
 
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -341,19 +341,27 @@ def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
             good = pa.array(can_be_similar(np.array(apart, dtype=np.int64), sizes))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = "a bigint, b bigint"
+    pairs = materialise(pairs.distinct(), "pairs")
+    counts = ["n", "buckets"]
+    met = pairs.join(_side(candidates, "a", *counts), "a").join(_side(candidates, "b", *counts), "b")
+    return compared(materialise(met.mapInArrow(likely, both), "likely"), candidates)
+
+
+def _side(candidates: DataFrame, key: str, *columns: str) -> DataFrame:
+    return candidates.select(F.col("node").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
+
+
+def compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "text_a", "text_b"):
             good = pa.array(similar(batch.column("text_a"), batch.column("text_b")))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    def side(key: str, *columns: str) -> DataFrame:
-        return candidates.select(F.col("node").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
-
-    both = "a bigint, b bigint"
-    pairs = materialise(pairs.distinct(), "pairs")
-    counts = ["n", "buckets"]
-    pairs = materialise(pairs.join(side("a", *counts), "a").join(side("b", *counts), "b").mapInArrow(likely, both), "likely")
-    return materialise(pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(compared, both), "links")
+    met = pairs.join(_side(candidates, "a", "text"), "a").join(_side(candidates, "b", "text"), "b")
+    return materialise(met.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -373,33 +381,40 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
     candidates = materialise(_texts(docs, stored, shared.select("node").distinct()), "candidates")
 
     found, left = None, shared.withColumn("comp", F.col("node"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            # the pivot of a signature differs from turn to turn
-            key = F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "comp")
-            pivots = materialise(left.groupBy("sig").agg(F.min(key).alias("p")).select(
-                "sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot")), "pivots")
-            met = left.join(pivots, "sig").where("comp != comp_pivot").withColumnRenamed("n", "n_node")
-            pairs = _pairs(met, "node", "pivot")
-            edges = verified(pairs, candidates)
-        else:
-            edges = links_in_blocks(left, candidates)
+    for turn in range(PIVOT_ROUNDS):
+        # the pivot of a signature differs from turn to turn
+        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "comp")
+        pivots = materialise(left.groupBy("sig").agg(F.min(key).alias("p")).select(
+            "sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot")), "pivots")
+        met = left.join(pivots, "sig").where("comp != comp_pivot").withColumnRenamed("n", "n_node")
+        edges = verified(_pairs(met, "node", "pivot"), candidates)
+        found = edges if found is None else found.unionByName(edges)
+        labels = components(found)
+        # a signature of two sets is done after the first turn
+        left = _open(shared if turn == 0 else left, labels, 2)
+        if left.isEmpty():
+            return labels
+    apart = None
+    while True:
+        pairs = pairs_in_blocks(left, candidates, apart)
+        if pairs.isEmpty():
+            return components(pairs) if found is None else labels
+        edges = compared(pairs, candidates)
+        no = pairs.join(edges, ["a", "b"], "left_anti")
+        apart = materialise(no if apart is None else apart.unionByName(no), "no-pairs")
         found = edges if found is None else found.unionByName(edges)
         labels = components(found)
-        if turn == PIVOT_ROUNDS:
-            break
-        named = shared if turn == 0 else left.select("sig", "node", "n")
-        named = named.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
-        named = materialise(named, "named")
-        # a signature is open while its sets lie in more than one component, and, after the first turn, are more than two
-        several = named.groupBy("sig").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("sets")
-        ).where("c0 < c1 and sets > 2").select("sig")
-        several = materialise(several, "open")
-        if several.isEmpty():
-            break
-        left = materialise(named.join(several, "sig", "left_semi"), "left")
-    return labels
+        left = _open(left, labels, 1)
+
+
+def _open(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
+    """The rows, with their components, of signatures of more than ``done`` sets in more than one component."""
+    named = rows.select("sig", "node", "n").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
+    named = materialise(named, "named")
+    several = named.groupBy("sig").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("sets")
+    ).where("c0 < c1").where(F.col("sets") > done).select("sig")
+    return materialise(named.join(materialise(several, "open"), "sig", "left_semi"), "left")
 
 
 def _one_of_equal_groups(shared: DataFrame) -> DataFrame:

@@ -114,12 +114,15 @@ def test_a_cell_gives_a_forest():
     n = len(texts)
     cell = pa.table({
         "node": list(range(n)), "comp": list(range(n)), "n": [len(s) for s in sets], "side": [3] * n,
-        "buckets": [partenum.parities(s) for s in sets], "text": texts,
+        "buckets": [partenum.parities(s) for s in sets], "apart": [None] * n,
     })
-    links = partenum.close_links(cell).to_pylist()
-    assert len(links) == 11 + 8
-    whole = components(range(n), lambda a, b: {"a": min(a, b), "b": max(a, b)} in links)
+    pairs = partenum.likely_forest(cell).to_pylist()
+    assert len(pairs) == 11 + 8
+    whole = components(range(n), lambda a, b: {"a": min(a, b), "b": max(a, b)} in pairs)
     assert whole == components(range(n), lambda a, b: jaccard_linked(shingles(texts[a]), shingles(texts[b])))
+    told = cell.set_column(cell.column_names.index("apart"), "apart", pa.array([[p["b"] for p in pairs if p["a"] == i] for i in range(n)], pa.list_(pa.int64())))
+    again = partenum.likely_forest(told).to_pylist()
+    assert again and not [p for p in again if p in pairs]
 
 
 def test_last_blocks_find_what_pivots_leave(spark, monkeypatch):
