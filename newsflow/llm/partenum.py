@@ -15,7 +15,7 @@ contain a common one.  A set near a band's upper end also signs for the next.
 Sets with a common signature are compared: first each with one pivot per signature, which joins
 groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
 components, with further pivots, and at last all pairs between components, in blocks.  A block gives a forest of pairs that may be similar; what is found dissimilar
-is left out of the next forest, until there is no such pair.  Signatures with the
+is left out of the next forest of its signature, until there is no such pair.  Signatures with the
 same sets count as one.  A comparison begins with the parities of hashed buckets: each differing element
 flips one, so where more differ than in similar sets, the pair is out; all others are compared exactly.
 
@@ -311,7 +311,12 @@ def likely_forest(group: pa.Table) -> pa.Table:
 
 
 def pairs_in_blocks(left: DataFrame, candidates: DataFrame, apart: DataFrame | None) -> DataFrame:
-    """Likely pairs (a, b) of sets of one signature and unlike components, without the pairs ``apart``; by all pairs of blocks."""
+    """Likely pairs (sig, a, b) of sets of one signature and unlike components, without the pairs ``apart``; by all pairs of blocks."""
+
+    def forest(cell: pa.Table) -> pa.Table:
+        pairs = likely_forest(cell)
+        return pairs.add_column(0, "sig", pa.array([cell["sig"][0].as_py()] * len(pairs), pa.int64()))
+
     blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = left.select("sig", "node", "comp").join(materialise(blocks, "blocks"), "sig")
     rows = rows.join(candidates.select("node", "n", "buckets"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
@@ -324,7 +329,7 @@ def pairs_in_blocks(left: DataFrame, candidates: DataFrame, apart: DataFrame | N
         "sig", "node", "comp", "n", "buckets", "apart", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    return materialise(cells.groupBy("sig", "i", "j").applyInArrow(likely_forest, "a bigint, b bigint").distinct(), "pairs")
+    return materialise(cells.groupBy("sig", "i", "j").applyInArrow(forest, "sig bigint, a bigint, b bigint").distinct(), "pairs")
 
 
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -399,12 +404,20 @@ def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
         pairs = pairs_in_blocks(left, candidates, apart)
         if pairs.isEmpty():
             return components(pairs) if found is None else labels
-        edges = compared(pairs, candidates)
-        no = pairs.join(edges, ["a", "b"], "left_anti")
-        apart = materialise(no if apart is None else apart.unionByName(no), "no-pairs")
+        edges = compared(pairs.select("a", "b").distinct(), candidates)
         found = edges if found is None else found.unionByName(edges)
-        labels = components(found)
-        left = _open(left, labels, 1)
+        no = materialise(pairs.join(edges, ["a", "b"], "left_anti"), "no-pairs")
+        joined = not edges.isEmpty()
+        if joined:
+            labels = components(found)
+        if no.isEmpty():
+            return labels
+        told = no.select("a", "b").distinct()
+        apart = materialise(told if apart is None else apart.unionByName(told).distinct(), "apart")
+        # where all pairs of a signature's forests are similar, its likely pairs are joined
+        left = materialise(left.join(no.select("sig").distinct(), "sig", "left_semi"), "left")
+        if joined:
+            left = _open(left, labels, 1)
 
 
 def _open(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
