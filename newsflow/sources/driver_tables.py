@@ -106,7 +106,7 @@ def master_from_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 def master_from_suppliers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select(
-        stocks.standardise((F.col("s_suppkey") + 1).cast("string")).alias("stock_code"),
+        F.concat(F.lpad((F.col("s_suppkey") + 1).cast("string"), 5, "0"), F.lit(".HK")).alias("stock_code"),
         F.lit(None).cast("string").alias("company_name_zh"),
         F.col("s_name").alias("company_name_en"),
         F.element_at(F.array(*[F.lit(s) for s in params.SECTORS]), (F.col("s_nationkey") % 8 + 1).cast("int")).alias("sector"),
