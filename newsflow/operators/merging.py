@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from newsflow import params
 from newsflow.functions.text import derived_id
-from newsflow.session import materialise
+from newsflow.session import materialise, shuffled, small
 
 KEY = ["exchange", "stock_code", "event_type_primary"]
 HOUR = 3_600_000_000
@@ -140,7 +140,7 @@ def _successors(times: DataFrame, span: Span) -> DataFrame:
     cells = cells.withColumn("parent", F.when(top, 0).otherwise(F.call_function("div", F.col("cell") - F.pmod(F.col("cell"), ratio), ratio)))
     beyond = W.partitionBy(*SESSION, "level", "parent").orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
     following = cells.select(*SESSION, "level", "cell", F.min("lo").over(beyond).alias("then"))
-    return asks.join(following, [*SESSION, "level", "cell"]).groupBy(*SESSION, "at").agg(F.min("then").alias("then"))
+    return asks.join(shuffled(following), [*SESSION, "level", "cell"]).groupBy(*SESSION, "at").agg(F.min("then").alias("then"))
 
 
 def _doubling_chain(times: DataFrame, span: Span) -> DataFrame:
@@ -162,15 +162,15 @@ def _doubling_chain(times: DataFrame, span: Span) -> DataFrame:
             .unionByName(level.select(*SESSION, F.col("session_start").alias("at")))
             .distinct()
         )
-        half = level.join(domain, [*SESSION, "at"], "left_semi")
+        half = level.join(shuffled(domain), [*SESSION, "at"], "left_semi")
         onward = level.select(*SESSION, F.col("at").alias("then"), F.col("then").alias("_onward"))
         level = materialise(
-            half.join(onward, [*SESSION, "then"], "left").select(*SESSION, "at", F.col("_onward").alias("then")),
+            half.join(shuffled(onward), [*SESSION, "then"], "left").select(*SESSION, "at", F.col("_onward").alias("then")),
             "successor",
         )
     chain = times.select(*SESSION, F.col("session_start").alias("opening")).distinct()
     for level in reversed(levels):
-        further = chain.join(level.withColumnRenamed("at", "opening"), [*SESSION, "opening"]).select(
+        further = chain.join(shuffled(level.withColumnRenamed("at", "opening")), [*SESSION, "opening"]).select(
             *SESSION, F.col("then").alias("opening")
         )
         chain = materialise(chain.unionByName(further.where(F.col("opening").isNotNull())), "chain")
@@ -187,8 +187,8 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, cell: int = CELL)
     lines = times.groupBy(*KEY, span.slot_of(F.col("at")).alias("slot"), _cell(F.col("at"), cell).alias("cell")).agg(
         F.min("at").alias("lo"), F.max("at").alias("hi")
     )
-    capped_slots = slots.join(capped, SESSION, "left_semi").select(*KEY, "slot", "session_start")
-    bounds = materialise(_bounds(lines.join(capped_slots, [*KEY, "slot"]).select(*SESSION, "lo", "hi"), span), "bounds")
+    capped_slots = slots.join(shuffled(capped), SESSION, "left_semi").select(*KEY, "slot", "session_start")
+    bounds = materialise(_bounds(lines.join(shuffled(capped_slots), [*KEY, "slot"]).select(*SESSION, "lo", "hi"), span), "bounds")
     known = F.col("lows") == F.col("highs")
     result = plain.select(*SESSION, F.col("session_start").alias("opening")).unionByName(
         bounds.where(known).select(*SESSION, F.explode("lows").alias("opening"))
@@ -199,7 +199,7 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, cell: int = CELL)
     spans = bounds.where(~known).select(*SESSION, "end", F.explode(F.arrays_zip("lows", "highs")).alias("k"))
     reached = F.sequence(_cell(F.col("k.lows"), cell), _cell(F.coalesce("k.highs", "end"), cell))
     within = materialise(spans.select(*SESSION, F.explode(reached).alias("cell")).distinct(), "cells")
-    inside = times.withColumn("cell", _cell(F.col("at"), cell)).join(within, [*KEY, "cell"])
+    inside = times.withColumn("cell", _cell(F.col("at"), cell)).join(small(within), [*KEY, "cell"])
     return result.unionByName(_doubling_chain(materialise(inside.select(*SESSION, "at").distinct(), "times"), span))
 
 
@@ -209,7 +209,7 @@ def slot_events(slots: DataFrame, opened: DataFrame, span: Span) -> DataFrame:
     earlier = W.partitionBy(*KEY).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     return (
         slots.select(*KEY, "slot")
-        .join(marks, [*KEY, "slot"], "left")
+        .join(shuffled(marks), [*KEY, "slot"], "left")
         .withColumn("carried", F.max("opening").over(earlier))
     )
 
@@ -234,7 +234,7 @@ def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None
     )
     return (
         reports.withColumn("slot", span.slot_of(F.col("at")))
-        .join(table, [*KEY, "slot"])
+        .join(shuffled(table), [*KEY, "slot"])
         .withColumn("first", first)
         .drop("slot", "carried", "opening")
     )

@@ -139,3 +139,14 @@ def test_closed_events_leave_the_state(spark):
     span = Span.hours()
     _, _, opened = stream_batches(spark, [[(1, "a", 0)], [(2, "b", 100 * HOUR)]], span)
     assert [r["stock_code"] for r in opened.collect()] == ["b"]
+
+
+def test_stored_times_are_never_broadcast(spark, tmp_path):
+    """Few bytes of file may be many rows: neither the lookup of successors nor a join with a table beyond the limit goes through the driver."""
+    from newsflow.session import small
+
+    spark.range(1000).selectExpr("'HKEX' exchange", "'00001.HK' stock_code", "'E' event_type_primary", "0L session_start", "id at").write.parquet(f"{tmp_path}/times")
+    times = spark.read.parquet(f"{tmp_path}/times")
+    for joined in (merging._successors(times, merging.Span(5, 5)), times.join(small(times, 10), "at")):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert merging._successors(times, merging.Span(5, 5)).where("then = at + 5").count() == 995
