@@ -19,6 +19,7 @@ WHITE_SPACE_CHARS = (
 )
 _RARE_SPACE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WHITE_SPACE = rf"[\x{{09}}-\x{{0d}}\x{{1c}}-\x{{20}}{_RARE_SPACE}]"
+_COMMON_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _NOT_ASCII = r"[^\x{00}-\x{7f}]"
 
 # Characters beyond ASCII that NFKC never changes, alone or side by side: Latin-1 letters,
@@ -62,12 +63,18 @@ def nfkc(text: Column) -> Column:
 def collapse(text: Column) -> Column:
     """Runs of white space to one blank, ends stripped.
 
-    Rare spaces become blanks first, in texts that have any beyond ASCII.  The second pattern
-    passes over single blanks, which are most of the white space there is.
+    Rare spaces become blanks first, in texts that have any beyond ASCII, then the common ones.  That leaves two of
+    these characters free to frame every blank; frames that touch cancel, and one per run is left.  Plain
+    replacements are many times faster here than a regular expression.
     """
     rare = F.regexp_replace(text, f"{_NOT_ASCII}(?<=[{_RARE_SPACE}])", " ")
     plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(rare)
-    return F.trim(F.regexp_replace(plain, r"[\x{09}-\x{0d}\x{1c}-\x{1f}][\x{09}-\x{0d}\x{1c}-\x{20}]*+| [\x{09}-\x{0d}\x{1c}-\x{20}]++", " "))
+    for char in _COMMON_SPACE:
+        plain = F.replace(plain, F.lit(char), F.lit(" "))
+    opened, closed = _COMMON_SPACE[-2:]
+    for old, new in ((" ", opened + closed), (closed + opened, ""), (opened + closed, " ")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    return F.trim(plain)
 
 
 def strip(text: Column) -> Column:

@@ -169,3 +169,18 @@ def test_open_references_stay(spark):
     want = "x&lt; ©&ampz; &eacute A&#66 &amp"
     assert one(spark, lambda h: markup.unescape(markup.tag_text(h, "article")), page) == want
     assert one(spark, lambda h: markup.select_text(h, F.lit("article.")), page) == want
+
+
+def test_collapse_against_python(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85　é") for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += ["", " ", "\x1e\x1f", "\x1f\x1e a\x1f\x1e\x1e\x1fb ", "a" + " " * 33 + "b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.collapse(F.col("t")).alias("c")).collect()
+    assert all(r["c"] == " ".join(r["t"].split()) for r in rows)
+
+
+def test_collapse_runs_one_regular_expression(spark):
+    plan = spark.range(1).select(text.collapse(F.col("id").cast("string")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 1  # of rare spaces only
