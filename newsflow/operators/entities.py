@@ -119,7 +119,7 @@ def _occurs(lowered: Column, padded: Column, name: Column) -> Column:
 def mentioned_stocks(articles: DataFrame, master: DataFrame, article: str = "cleaned_id",
                      body: str = "body_cleaned") -> DataFrame:
     """Distinct (article, stock_code) whose code or name occurs in the text."""
-    tagged = _with_codes(articles.select(article, body), master, article, body)
+    tagged = _with_codes(articles.select(article, body), master, article, body, keep_body=False)
     return _one_row_per_code(tagged).select(article, "stock_code").distinct()
 
 
@@ -134,8 +134,8 @@ def _known(master: DataFrame) -> DataFrame:
 
 def _places(*parts: Column) -> list[Column]:
     """The two bits of a key."""
-    h = F.xxhash64(*parts)
-    return [F.pmod(h, F.lit(MARKS)), F.pmod(F.shiftright(h, 32), F.lit(MARKS))]
+    h, last = F.xxhash64(*parts), F.lit(MARKS - 1).cast("bigint")
+    return [h.bitwiseAND(last), F.shiftright(h, 32).bitwiseAND(last)]
 
 
 def key_marks(known: DataFrame) -> Column:
@@ -150,23 +150,26 @@ def key_marks(known: DataFrame) -> Column:
     return F.from_json(F.lit(str([words[i] for i in range(MARKS // 64)])), "array<bigint>")
 
 
-def _with_codes(articles: DataFrame, master: DataFrame, article: str, body: str) -> DataFrame:
+def _with_codes(articles: DataFrame, master: DataFrame, article: str, body: str, keep_body: bool = True) -> DataFrame:
     """The articles with a stock, with ``_codes``, the distinct stocks of each text.
 
     Each text is read once: its words, pairs of words, pairs of Chinese characters and written codes are tested in the
-    row against the bits of the known keys, and only texts with a hit are stored, with their hits.  The hits meet
+    row against the bits of the known keys, and only texts with a hit are stored, with their hits: the form that names
+    of words are compared with, and the text itself only if it has Chinese characters.  The hits meet
     names and codes in one join, and each text gets its own candidates back as one array to compare.  The plan is
     the same for a master of any size; a large one sets more bits, and more texts are compared.
     """
     known = _known(master)
     marks = key_marks(known)
-    bit = lambda at: F.getbit(F.get(marks, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+    bit = lambda at: F.getbit(F.get(marks, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
     may_be = lambda *parts: bit(_places(*parts)[0]) & bit(_places(*parts)[1])
     worded = articles.withColumn("_text", F.lower(F.col(body))).withColumn("_words", F.split("_text", BETWEEN_WORDS))
     hits = F.concat(_anchors(F.col("_text"), F.col("_words"), may_be), F.filter(stocks.codes_in_text(F.col(body)), lambda c: may_be(c)))
     # the outer form keeps the optimiser from repeating the text work in a filter pushed down
     texts = worded.withColumn("_hits", F.explode_outer(F.array(F.nullif(F.array_distinct(hits), F.array().cast("array<string>")))))
     texts = texts.where(F.col("_hits").isNotNull()).withColumn("_padded", _framed(F.array_join("_words", " "))).drop("_words")
+    texts = texts.withColumn("_text", F.when(F.col("_text").rlike(f"[{HAN}]"), F.col("_text")))
+    texts = texts if keep_body else texts.drop(body)
     texts = materialise(texts, "texts-with-hits")
     met = texts.select(article, F.explode("_hits").alias("key")).join(small(known), "key")
     candidates = met.groupBy(article).agg(F.collect_set(F.struct("name", "stock_code")).alias("_candidates"))
