@@ -29,22 +29,32 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 
 
-def ascii_words(values: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words split at ASCII white space (space, \\t to \\r), without empty ones.
+def split_words(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words split at ASCII white space (space, \\t to \\r), empty ones too at the ends of texts, and the texts' offsets."""
+    split = pc.ascii_split_whitespace(values)
+    offsets = np.asarray(split.offsets, dtype=np.int64)
+    return split.flatten(), offsets - offsets[0]
+
+
+def distinct_words(values: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words split at ASCII white space, without empty ones.
 
-    Returns the number of each word in the list of distinct words, that list, and the offsets
+    Returns the number of each word in the array of distinct words, that array, and the offsets
     of the texts in the first array.
     """
-    split = pc.ascii_split_whitespace(values)
-    offsets = np.asarray(split.offsets, dtype=np.int64)
-    words = split.flatten()
-    base = offsets[0]
+    words, offsets = split_words(values)
     codes = words.dictionary_encode()
-    number, distinct = np.asarray(codes.indices), codes.dictionary.to_pylist()
-    filled = np.array([w != "" for w in distinct], dtype=bool)
+    number, distinct = np.asarray(codes.indices), codes.dictionary
+    filled = np.asarray(pc.binary_length(distinct)) > 0
     if not filled.all():
         keep = filled[number]
         before = np.concatenate([[0], np.cumsum(keep)])
         renumber = np.cumsum(filled) - 1
-        return renumber[number[keep]], [w for w in distinct if w], before[offsets - base]
-    return number, distinct, offsets - base
+        return renumber[number[keep]], distinct.filter(pa.array(filled)), before[offsets]
+    return number, distinct, offsets
+
+
+def ascii_words(values: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """``distinct_words`` with the distinct words as a list."""
+    number, distinct, offsets = distinct_words(values)
+    return number, distinct.to_pylist(), offsets

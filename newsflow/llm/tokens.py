@@ -7,7 +7,6 @@ of its words one after another.  Each worker keeps the ids of the words it has s
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,9 @@ KNOWN_WORDS = 800_000
 #: Text bytes encoded at a time: the more, the fewer distinct words per word.
 TEXT_BYTES = 8 << 20
 #: Letters then punctuation: two units that the tokenizer always separates.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_PLAIN = "^[a-zß-öø-ÿ]+[!-&(-/:-@\\[-`{-~]*$"
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = "^[a-zß-öø-ÿ]+"
 _MARK = "\x01"
 _JOINED = 1000
 
@@ -36,6 +37,26 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _units(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The units of each word: number of the first and of the second one (-1 for none), and the distinct units."""
+    plain = pc.match_substring_regex(words, _PLAIN)
+    letters = pc.if_else(plain, pc.ascii_rtrim(words, characters=_PUNCTUATION), words)
+    closed = np.flatnonzero(np.asarray(pc.binary_length(letters)) < np.asarray(pc.binary_length(words)))
+    closing = pc.replace_substring_regex(words.take(pa.array(closed)), _LETTERS, "")
+    coded = pa.concat_arrays([letters, closing]).dictionary_encode()
+    number = np.asarray(coded.indices).astype(np.int64)
+    second = np.full(len(words), -1, dtype=np.int64)
+    second[closed] = number[len(words) :]
+    return number[: len(words)], second, coded.dictionary.to_pylist()
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """The pieces of an array one after another, by their numbers among all pieces."""
+    counts = lengths[pieces]
+    ends = np.cumsum(counts)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[pieces] - (ends - counts), counts)]
+
+
 class WordEncoder:
     """Ids of texts, the same as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -59,41 +80,45 @@ class WordEncoder:
         plain = [u for u in units if _MARK not in u] if self.mark is not None else []
         for low in range(0, len(plain), _JOINED):
             part = plain[low : low + _JOINED]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            for unit, start, end in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
-                self.known[unit] = ids[start:end].tobytes()
+            joined = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, dtype=np.uint32)
+            ends, raw = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
+            for unit, start, end in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(raw)]):
+                self.known[unit] = raw[start:end]
         for unit in units:
             if unit not in self.known:
                 self.known[unit] = self.whole(unit).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        units = []
-        for word in words:
-            match = _PLAIN.fullmatch(word)
-            units.append(match.groups() if match else (word, ""))
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of ids of each."""
+        first, second, units = _units(words)
         if len(self.known) > KNOWN_WORDS // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = {u for pair in units for u in pair if u not in known}
+        new = [u for u in units if u not in known]
         known.update((u, older[u]) for u in new if u in older)
         self._learn([u for u in new if u not in known])
-        return [known[a] + known[b] if b else known[a] for a, b in units]
+        coded = [known[u] for u in units]
+        flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        parts = np.stack([first, second], axis=1).ravel()
+        parts = parts[parts >= 0]
+        ids = _gathered(flat, np.cumsum(lengths) - lengths, lengths, parts)
+        counts = lengths[first]
+        counts[second >= 0] += lengths[second[second >= 0]]
+        return ids, counts
 
     def encode(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text closed by the end id, and the texts' offsets in it."""
         values = values.cast(pa.string())
         special = np.asarray(pc.match_substring(values, "<|"))  # may hold a special token: encoded whole
         plain = pc.if_else(pa.array(special), "", values) if special.any() else values
-        number, words, offsets = arrow.ascii_words(pc.ascii_lower(plain))
-        coded = [*self._words(words), np.uint32(END_ID).tobytes()]
-        flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
-        lengths = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
+        number, words, offsets = arrow.distinct_words(pc.ascii_lower(plain))
+        flat, lengths = self._words(words)
+        flat, lengths = np.append(flat, np.uint32(END_ID)), np.append(lengths, 1)
         number = np.insert(number.astype(np.int64), offsets[1:], len(words))
-        counts = lengths[number]
-        ends = np.cumsum(counts)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[number] - (ends - counts), counts)]
+        ends = np.cumsum(lengths[number])
+        ids = _gathered(flat, np.cumsum(lengths) - lengths, lengths, number)
         cuts = np.concatenate([[0], ends[offsets[1:] + np.arange(len(values))]]) if len(values) else np.zeros(1, np.int64)
         if special.any():
             parts = [

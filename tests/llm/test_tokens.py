@@ -105,3 +105,10 @@ def test_sequences_hold_the_ids(spark):
     made = {r["sequence_id"]: r["ids"] for r in packing.sequences(frame, PATH, 64).collect()}
     assert sorted(v for ids in made.values() for v in ids) == sorted(v for _, t in rows for v in plain(t))
     assert max(map(len, made.values())) <= 64
+
+
+def test_words_sharing_units_are_looked_up_once():
+    words = ["word,", "word", "word.", "don't", "straße,", "'word'", "...", "É,", "x1,"]
+    first, second, units = tokens._units(pa.array(words))
+    assert [units[a] + (units[b] if b >= 0 else "") for a, b in zip(first, second)] == words
+    assert sorted(units) == sorted({"word", ",", ".", "don't", "straße", "'word'", "...", "É,", "x1,"})
