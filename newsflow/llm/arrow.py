@@ -24,6 +24,45 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = SLICE_
                 yield batch.slice(low, high - low)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of 64-bit integers."""
+    x = x.astype(np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def hashed(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of a string array without nulls, from its bytes; eight at a time are scrambled into those before."""
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    out = mix(sizes)
+    if not len(values) or not sizes.any():
+        return out
+    low, high = int(offsets[0]), int(offsets[-1])
+    padded = np.zeros(high - low + 8, dtype=np.uint8)
+    padded[: high - low] = np.frombuffer(data, dtype=np.uint8)[low:high]
+    eights = np.ndarray(high - low + 1, dtype="<u8", buffer=padded, strides=(1,))
+    at, left, rows = starts - low, sizes, None
+    while True:
+        last = np.minimum(left, 8)
+        # bytes beyond the end are shifted out
+        chunk = np.where(last > 0, eights[at] << (np.uint64(8) * (8 - last).astype(np.uint64) % np.uint64(64)), np.uint64(0))
+        if rows is None:
+            out = mix(out ^ chunk)
+        else:
+            out[rows] = mix(out[rows] ^ chunk)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        rows = more if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column with empty texts for nulls."""
     return pc.fill_null(batch.column(column), "")

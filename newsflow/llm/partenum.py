@@ -41,6 +41,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsflow.llm import arrow
+from newsflow.llm.arrow import mix
 from newsflow.llm.components import components
 from newsflow.llm.names import unused
 from newsflow.session import is_small, materialise
@@ -56,29 +57,26 @@ CELLS, BLOCKS = 1 << 21, 64
 #: A signature counted more often is dealt over several cells of this many sets.
 HOT_SETS = 4096
 PIVOT_ROUNDS = 3
+#: Text bytes signed at a time.
+SLICE_BYTES = 2 << 20
 #: Fewest buckets of the parities by which dissimilar pairs are told apart; larger sets have four times their size or more.
 BUCKETS = 2048
 #: Sets of a signature that one task compares with as many others.
 BLOCK = 512
+#: Rows of cells that a call compares, about; pairs and bytes of parities at a time.
+CELL_ROWS, PAIRS, COMPARED_BYTES = 2048, 1 << 16, 4 << 20
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Bijective scrambling of 64-bit integers."""
-    x = x.astype(_U)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def shingle_sets(values: pa.Array, width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    number, words, offsets = arrow.ascii_words(pa.compute.ascii_lower(values))
-    hashed = mix(pd.util.hash_array(np.array(words, dtype=object), categorize=False)) if words else np.zeros(0, _U)
-    flat = hashed[number]
+    words, offsets = arrow.split_words(pa.compute.ascii_lower(values))
+    flat, filled = arrow.hashed(words), np.asarray(pa.compute.binary_length(words)) > 0
+    if not filled.all():
+        flat, offsets = flat[filled], np.concatenate([[0], np.cumsum(filled)])[offsets]
     factor = _U(0x9E3779B97F4A7C15)
     rolled = np.zeros(max(0, len(flat) - width + 1), dtype=_U)
     for k in range(width):
@@ -87,7 +85,8 @@ def shingle_sets(values: pa.Array, width: int = WORDS) -> list[np.ndarray]:
     sets = []
     for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         if high - low >= width:
-            sets.append(np.unique(rolled[low : high - width + 1]))
+            found = np.sort(rolled[low : high - width + 1])
+            sets.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
         elif high > low:
             short = np.full(1, high - low, dtype=_U)
             for value in flat[low:high]:
@@ -133,13 +132,49 @@ def quota(size: int, single: bool) -> int:
 
 def signatures(elements: np.ndarray, band: int, single: bool) -> np.ndarray:
     """All signatures of a sorted set in a band; ``single`` partitions into single elements."""
-    salt = mix(np.full(1, band + 1, dtype=_U))
-    if single or band == 0:
-        return mix(elements + salt)
-    halves = 2 * int((1 << band) / ELEMENTS_PER_HALF)
-    part = ((elements >> _U(32)) * _U(halves)) >> _U(32)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-    return mix(np.add.reduceat(mix(elements), starts) + mix(part[starts] + salt))
+    return signatures_of([elements], [band], frozenset([band]) if single else frozenset())[0]
+
+
+def signatures_of(sets: list[np.ndarray], bands: list[int], single_bands: frozenset[int]) -> list[np.ndarray]:
+    """The signatures of each sorted set in the band beside it."""
+    if not sets:
+        return []
+    flat, lengths = np.concatenate(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    salt = np.repeat(mix(np.array(bands, dtype=np.int64) + 1), lengths)
+    whole = [band == 0 or band in single_bands for band in bands]
+    halves = np.array([0 if one else 2 * int((1 << band) / ELEMENTS_PER_HALF) for one, band in zip(whole, bands)], dtype=_U)
+    if all(whole):
+        sigs, starts = mix(flat + salt), None
+    else:
+        part = ((flat >> _U(32)) * np.repeat(halves, lengths)) >> _U(32)
+        begins = np.ones(len(flat), dtype=bool)
+        begins[1:] = part[1:] != part[:-1]
+        begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        begins |= np.repeat(np.array(whole), lengths)
+        starts = np.flatnonzero(begins)
+        lone = np.repeat(np.array(whole), lengths)[starts]
+        # a single element is its own signature
+        sums, place = np.add.reduceat(mix(flat), starts), mix(part[starts] + salt[starts])
+        sigs = mix(np.where(lone, flat[starts] + salt[starts], sums + place))
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = (cuts if starts is None else np.searchsorted(starts, cuts)).tolist()
+    return [sigs[low:high] for low, high in zip(cuts, cuts[1:])]
+
+
+def chosen(sigs: np.ndarray, often: np.ndarray, least: int) -> np.ndarray:
+    """Places of the ``least`` rarest signatures, and of any that cannot be told from the last of them.
+
+    The order is by count, then by the signature; it depends on these alone, so all sets share it.
+    """
+    if len(sigs) <= least:
+        return np.arange(len(sigs))
+    key = (np.minimum(often, (1 << 24) - 1).astype(_U) << _U(40)) | (sigs >> _U(24))
+    return np.flatnonzero(key <= np.partition(key, least - 1)[least - 1])
+
+
+def _jobs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(place, band) for each band that a set signs for."""
+    return [(k, band) for k, elements in enumerate(sets) if len(elements) for band in bands_of(len(elements))]
 
 
 def _cell(sigs: np.ndarray) -> np.ndarray:
@@ -155,17 +190,13 @@ def read_sets(docs: DataFrame) -> DataFrame:
             [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("weak", pa.int32()),
              ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
         )
-        for batch in arrow.slices(batches):
+        for batch in arrow.slices(batches, limit=SLICE_BYTES):
             sets = shingle_sets(arrow.texts(batch))
-            weak, found = [], []
-            for elements in sets:
-                flagged = None
-                for band in bands_of(len(elements)) if len(elements) else []:
-                    sigs = signatures(elements, band, False)
-                    found.append(sigs)
-                    if len(sigs) <= tolerance(len(elements)):
-                        flagged = band
-                weak.append(flagged)
+            weak, jobs = [None] * len(sets), _jobs(sets)
+            found = signatures_of([sets[k] for k, _ in jobs], [band for _, band in jobs], frozenset())
+            for (k, band), sigs in zip(jobs, found):
+                if len(sigs) <= tolerance(len(sets[k])):
+                    weak[k] = band
             if found:
                 counts += np.bincount(_cell(np.concatenate(found)), minlength=CELLS)
             rows = len(sets)
@@ -216,30 +247,31 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        for batch in arrow.slices(batches):
-            nodes, sizes, sigs, cells, hot = [], [], [], [], []
+        for batch in arrow.slices(batches, limit=SLICE_BYTES):
+            sets, nodes = [], []
             for elements in shingle_sets(arrow.texts(batch)):
-                size = len(elements)
                 node = node_of(elements)
-                if not size or node in seen:
+                if not len(elements) or node in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                for band in bands_of(size):
-                    single = band == 0 or band in single_bands
-                    own = signatures(elements, band, single)
-                    often = counts[_cell(own)]
-                    chosen = np.lexsort((own, often))[: quota(size, single)]
-                    spread = 1 + often[chosen] // HOT_SETS
-                    sigs.append(own[chosen].view(np.int64))
-                    cells.append((_U(node & (2**64 - 1)) % spread.astype(_U)).astype(np.int32))
-                    hot.append(spread > 1)
-                    nodes.append(np.full(len(chosen), node, dtype=np.int64))
-                    sizes.append(np.full(len(chosen), size, dtype=np.int32))
+                sets.append(elements)
+                nodes.append(node)
+            jobs, sigs, often, taken = _jobs(sets), [], [], []
+            for (k, band), own in zip(jobs, signatures_of([sets[k] for k, _ in jobs], [band for _, band in jobs], single_bands)):
+                count = counts[_cell(own)]
+                rare = chosen(own, count, quota(len(sets[k]), band == 0 or band in single_bands))
+                sigs.append(own[rare])
+                often.append(count[rare])
+                taken.append(len(rare))
             if sigs:
-                columns = [np.concatenate(c) for c in (sigs, cells, hot, nodes, sizes)]
-                del nodes, sizes, sigs, cells, hot
+                node = np.repeat(np.array([nodes[k] for k, _ in jobs], dtype=np.int64), taken)
+                size = np.repeat(np.array([len(sets[k]) for k, _ in jobs], dtype=np.int32), taken)
+                spread = 1 + np.concatenate(often) // HOT_SETS
+                cell = (node.view(_U) % spread.astype(_U)).astype(np.int32)
+                columns = [np.concatenate(sigs).view(np.int64), cell, spread > 1, node, size]
+                del sets, sigs, often
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "cell", "hot", "node", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
@@ -279,46 +311,103 @@ def can_be_similar(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def likely_forest(group: pa.Table) -> pa.Table:
-    """Pairs between the components of a cell whose parities allow similarity: a forest of them.
+    """Pairs (``a``, ``b``) between the components of a cell whose parities allow similarity: a forest of them.
 
     ``side`` says whether a set is of the first block (1), the second (2) or both (3); ``apart`` has the sets that were found
     dissimilar to a set before.  A pair is left out if pairs before it join its components, so a group of near
     copies gives one pair less than its sets.
     """
+    _, a, b = likely_forests(group, np.zeros(len(group), dtype=np.int64))
+    return pa.table({"a": a, "b": b})
+
+
+def likely_forests(group: pa.Table, cell: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The forests of several cells, whose rows stand together: number of the cell and the two sets of each pair."""
     node, side = (np.asarray(group[c]) for c in ("node", "side"))
-    comp, size = np.asarray(group["comp"]).copy(), np.asarray(group["n"]).astype(np.int64)
-    rows = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in group["buckets"]]
-    known = [set(v.as_py() or ()) for v in group["apart"]]
-    width = np.array([len(r) for r in rows])
-    low, high = [], []
-    for buckets in np.unique(width):
-        near = np.flatnonzero((width == buckets) | (width == 2 * buckets))
-        first = near[width[near] == buckets]
-        bits = np.concatenate([_folded(rows[k][None, :], buckets) for k in near])
-        at = {k: i for i, k in enumerate(near.tolist())}
-        for k in first.tolist():
-            others = near[(comp[near] != comp[k]) & (((side[k] & 1) & (side[near] >> 1)) | ((side[k] >> 1) & (side[near] & 1))).astype(bool)]
-            others = others[(width[others] > buckets) | (node[others] > node[k])]
-            others = others[DENOMINATOR * np.minimum(size[others], size[k]) >= NUMERATOR * np.maximum(size[others], size[k])]
-            if len(others):
-                apart = _apart(bits[[at[o] for o in others.tolist()]], bits[at[k]][None, :])
-                for o in others[can_be_similar(apart, size[others] + size[k])].tolist():
-                    if comp[o] != comp[k] and int(node[o]) not in known[k] and int(node[k]) not in known[o]:
-                        low.append(min(node[k], node[o]))
-                        high.append(max(node[k], node[o]))
-                        comp[comp == comp[o]] = comp[k]
-    return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+    comp, size = np.asarray(group["comp"]), np.asarray(group["n"]).astype(np.int64)
+    bits, apart = _Parities(group["buckets"]), group["apart"].combine_chunks()
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+    known: dict[int, set[int]] = {}
+
+    def root(key: tuple[int, int]) -> tuple[int, int]:
+        while (above := parent.get(key)) is not None:
+            key = above
+        return key
+
+    def told(row: int) -> set[int]:
+        if row not in known:
+            known[row] = set(apart[row].as_py() or ())
+        return known[row]
+
+    # every row with those after it in its cell
+    many = np.searchsorted(cell, cell, side="right") - np.arange(len(cell)) - 1
+    upto = np.cumsum(many)
+    cells, low, high = [], [], []
+    for start in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+        place = np.arange(start, min(start + PAIRS, int(upto[-1])))
+        x = np.searchsorted(upto, place, side="right")
+        y = x + 1 + place - (upto[x] - many[x])
+        fits = (comp[x] != comp[y]) & (node[x] != node[y]) & (((side[x] & 1) & (side[y] >> 1)) | ((side[x] >> 1) & (side[y] & 1))).astype(bool)
+        fits &= DENOMINATOR * np.minimum(size[x], size[y]) >= NUMERATOR * np.maximum(size[x], size[y])
+        x, y = x[fits], y[fits]
+        likely = can_be_similar(bits.apart(x, y), size[x] + size[y])
+        for k, o in zip(x[likely].tolist(), y[likely].tolist()):
+            one, other = root((int(cell[k]), int(comp[k]))), root((int(cell[k]), int(comp[o])))
+            if one != other and int(node[o]) not in told(k) and int(node[k]) not in told(o):
+                cells.append(int(cell[k]))
+                low.append(min(node[k], node[o]))
+                high.append(max(node[k], node[o]))
+                parent[other] = one
+    return np.array(cells, dtype=np.int64), pa.array(low, pa.int64()), pa.array(high, pa.int64())
+
+
+class _Parities:
+    """Parities of sets over different numbers of buckets; pairs of rows are compared over the fewer."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        rows = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in column]
+        self.width = np.array([len(r) for r in rows], dtype=np.int64)
+        self.at, self.bits = np.zeros(len(rows), dtype=np.int64), {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.at[own] = np.arange(len(own))
+            self.bits[width] = np.stack([rows[k] for k in own.tolist()])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Parities in which the rows differ."""
+        found, least = np.zeros(len(x), dtype=np.int64), np.minimum(self.width[x], self.width[y])
+        for width in np.unique(least).tolist():
+            pairs = np.flatnonzero(least == width)
+            for part in np.array_split(pairs, 1 + len(pairs) * width // COMPARED_BYTES):
+                found[part] = _apart(self._over(x[part], width), self._over(y[part], width))
+        return found
+
+    def _over(self, rows: np.ndarray, width: int) -> np.ndarray:
+        bits = np.zeros((len(rows), width), dtype=np.uint8)
+        for own in np.unique(self.width[rows]).tolist():
+            here = np.flatnonzero(self.width[rows] == own)
+            bits[here] = _folded(self.bits[own][self.at[rows[here]]], width)
+        return bits
 
 
 def pairs_in_blocks(left: DataFrame, candidates: DataFrame, apart: DataFrame | None) -> DataFrame:
-    """Likely pairs (sig, a, b) of sets of one signature and unlike components, without the pairs ``apart``; by all pairs of blocks."""
+    """Likely pairs (sig, a, b) of sets of one signature and unlike components, without the pairs ``apart``; by all pairs of blocks.
 
-    def forest(cell: pa.Table) -> pa.Table:
-        pairs = likely_forest(cell)
-        return pairs.add_column(0, "sig", pa.array([cell["sig"][0].as_py()] * len(pairs), pa.int64()))
+    A cell is a pair of blocks of one signature.  Most are small, so a task is handed many cells at once.
+    """
 
-    blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = left.select("sig", "node", "comp").join(materialise(blocks, "blocks"), "sig")
+    def forests(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        keys = np.stack([np.asarray(part[c]).astype(np.int64) for c in ("sig", "i", "j")])
+        cell = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
+        number, a, b = likely_forests(part, cell)
+        first = np.searchsorted(cell, number)
+        return pa.table({"sig": pa.array(keys[0][first], pa.int64()), "a": a, "b": b})
+
+    blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets"))
+    blocks = materialise(blocks, "blocks")
+    count = blocks.agg(F.sum(F.col("sets") * F.col("blocks"))).first()[0] or 0
+    rows = left.select("sig", "node", "comp").join(blocks.select("sig", "blocks"), "sig")
     rows = rows.join(candidates.select("node", "n", "buckets"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
     if apart is None:
         rows = rows.withColumn("apart", F.lit(None).cast("array<bigint>"))
@@ -329,7 +418,8 @@ def pairs_in_blocks(left: DataFrame, candidates: DataFrame, apart: DataFrame | N
         "sig", "node", "comp", "n", "buckets", "apart", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    return materialise(cells.groupBy("sig", "i", "j").applyInArrow(forest, "sig bigint, a bigint, b bigint").distinct(), "pairs")
+    part = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(1 + count // CELL_ROWS))
+    return materialise(cells.groupBy(part.alias("part")).applyInArrow(forests, "sig bigint, a bigint, b bigint").distinct(), "pairs")
 
 
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -354,6 +444,7 @@ def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def _side(candidates: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Candidates as one side of pairs."""
     return candidates.select(F.col("node").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
 
 

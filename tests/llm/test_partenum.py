@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import AWKWARD, components, documents, jaccard_linked, prose, shingles
 
-from newsflow.llm import partenum
+from newsflow.llm import arrow, partenum
 from newsflow.llm.components import components as spark_components
 
 
@@ -133,3 +133,38 @@ def test_last_blocks_find_what_pivots_leave(spark, monkeypatch):
     sets = {i: shingles(t) for i, t in rows if i is not None}
     want = components(sets, lambda a, b: jaccard_linked(sets[a], sets[b]))
     assert {i: c for i, c in got.items() if i is not None} == want
+
+
+def test_word_hashes_come_from_the_bytes():
+    words = ["", "a", "ab", "a\0", "a\0\0", "abcdefgh", "abcdefghi", "abcdefgh\0", "x" * 16, "x" * 17, "x" * 24, "é"]
+    whole = arrow.hashed(pa.array(words))
+    assert len(set(whole.tolist())) == len(words)
+    assert (arrow.hashed(pa.array(words).slice(3, 5)) == whole[3:8]).all()
+    assert len(arrow.hashed(pa.array([], pa.string()))) == 0
+
+
+def test_rarest_are_chosen_in_an_order_that_sets_share():
+    sigs = np.arange(1, 40, dtype=np.uint64) << np.uint64(40)
+    often = (np.arange(39) * 7) % 5
+    want = sorted(zip(often.tolist(), sigs.tolist()))[:9]
+    assert sorted((often[k], sigs[k]) for k in partenum.chosen(sigs, often, 9)) == want
+    alike = np.array([5, 6, 7], dtype=np.uint64)  # the order cannot tell these: all are taken
+    assert len(partenum.chosen(alike, np.zeros(3, np.int64), 1)) == 3
+
+
+def test_many_small_cells_in_one_call():
+    """The forests are those of each cell alone, though cells share sets and components."""
+    texts = [near(1, 300, range(0, 2 * i, 2)) for i in range(6)] + [near(2, 900, range(0, 2 * i, 2)) for i in range(5)]
+    sets = partenum.shingle_sets(pa.array(texts))
+    members, cell = [0, 1, 2, 0, 1, 6, 7, 3, 8, 9, 10], np.array([0, 0, 0, 1, 1, 1, 1, 2, 3, 3, 3])
+    table = pa.table({
+        "node": members, "comp": members, "n": [len(sets[k]) for k in members], "side": [3] * len(members),
+        "buckets": [partenum.parities(sets[k]) for k in members], "apart": pa.array([None] * len(members), pa.list_(pa.int64())),
+    })
+    number, a, b = partenum.likely_forests(table, cell)
+    got = sorted(zip(number.tolist(), a.to_pylist(), b.to_pylist()))
+    alone = []
+    for k in range(4):
+        part = partenum.likely_forest(table.filter(pa.array(cell == k))).to_pylist()
+        alone += [(k, p["a"], p["b"]) for p in part]
+    assert got == sorted(alone) and [len([g for g in got if g[0] == k]) for k in range(4)] == [2, 2, 0, 2]
