@@ -64,7 +64,7 @@ BUCKETS = 2048
 #: Sets of a signature that one task compares with as many others.
 BLOCK = 512
 #: Rows of cells that a call compares, about; pairs and bytes of parities at a time.
-CELL_ROWS, PAIRS, COMPARED_BYTES = 2048, 1 << 16, 4 << 20
+CELL_ROWS, PAIRS, COMPARED_BYTES = 2048, 1 << 14, 4 << 20
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -324,23 +324,18 @@ def likely_forest(group: pa.Table) -> pa.Table:
 def likely_forests(group: pa.Table, cell: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """The forests of several cells, whose rows stand together: number of the cell and the two sets of each pair."""
     node, side = (np.asarray(group[c]) for c in ("node", "side"))
-    comp, size = np.asarray(group["comp"]), np.asarray(group["n"]).astype(np.int64)
+    comp, size = np.asarray(group["comp"]).copy(), np.asarray(group["n"]).astype(np.int64)
     bits, apart = _Parities(group["buckets"]), group["apart"].combine_chunks()
-    parent: dict[tuple[int, int], tuple[int, int]] = {}
     known: dict[int, set[int]] = {}
 
-    def root(key: tuple[int, int]) -> tuple[int, int]:
-        while (above := parent.get(key)) is not None:
-            key = above
-        return key
-
     def told(row: int) -> set[int]:
         if row not in known:
             known[row] = set(apart[row].as_py() or ())
         return known[row]
 
     # every row with those after it in its cell
-    many = np.searchsorted(cell, cell, side="right") - np.arange(len(cell)) - 1
+    begin, end = np.searchsorted(cell, cell), np.searchsorted(cell, cell, side="right")
+    many = end - np.arange(len(cell)) - 1
     upto = np.cumsum(many)
     cells, low, high = [], [], []
     for start in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
@@ -352,12 +347,12 @@ def likely_forests(group: pa.Table, cell: np.ndarray) -> tuple[np.ndarray, pa.Ar
         x, y = x[fits], y[fits]
         likely = can_be_similar(bits.apart(x, y), size[x] + size[y])
         for k, o in zip(x[likely].tolist(), y[likely].tolist()):
-            one, other = root((int(cell[k]), int(comp[k]))), root((int(cell[k]), int(comp[o])))
-            if one != other and int(node[o]) not in told(k) and int(node[k]) not in told(o):
+            if comp[k] != comp[o] and int(node[o]) not in told(k) and int(node[k]) not in told(o):
                 cells.append(int(cell[k]))
                 low.append(min(node[k], node[o]))
                 high.append(max(node[k], node[o]))
-                parent[other] = one
+                own = comp[begin[k] : end[k]]
+                own[own == comp[o]] = comp[k]
     return np.array(cells, dtype=np.int64), pa.array(low, pa.int64()), pa.array(high, pa.int64())
 
 

@@ -168,3 +168,17 @@ def test_many_small_cells_in_one_call():
         part = partenum.likely_forest(table.filter(pa.array(cell == k))).to_pylist()
         alone += [(k, p["a"], p["b"]) for p in part]
     assert got == sorted(alone) and [len([g for g in got if g[0] == k]) for k in range(4)] == [2, 2, 0, 2]
+
+
+def test_a_cell_of_near_copies_is_joined_at_once(monkeypatch):
+    """Once a pair joins components, later pairs between them are not compared: a few per set, not all pairs."""
+    sets = [np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(600)]
+    n, compared = len(sets), []
+    whole = partenum._Parities.apart
+    monkeypatch.setattr(partenum._Parities, "apart", lambda self, x, y: compared.append(len(x)) or whole(self, x, y))
+    table = pa.table({
+        "node": list(range(n)), "comp": list(range(n)), "n": [1000] * n, "side": [3] * n,
+        "buckets": [partenum.parities(s) for s in sets], "apart": pa.array([None] * n, pa.list_(pa.int64())),
+    })
+    assert len(partenum.likely_forest(table)) == n - 1
+    assert sum(compared) < 40 * n
