@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ BLOCKS = 64
 ITEMS_AT_ONCE = 20_000
 _SLICE = 768 << 10
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN_ENDS = "^[0-9A-Za-zß-öø-ÿ](?s:.*[0-9A-Za-zß-öø-ÿ])?$"
 
 
 class Vocabulary:
@@ -115,15 +118,26 @@ class Items:
 
 def word_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the lower-case words without outer punctuation, and the texts' offsets."""
-    number, words, offsets = arrow.ascii_words(pa.compute.utf8_lower(values))
-    bare = [_EDGE.sub("", w) for w in words]
-    code = (pd.util.hash_array(np.array(bare, dtype=object), categorize=False) >> np.uint64(32)).astype(np.uint32) if bare else np.zeros(0, np.uint32)
-    filled = np.array([b != "" for b in bare], dtype=bool)
+    number, words, offsets = arrow.distinct_words(pc.utf8_lower(values))
+    bare = _without_edges(words)
+    code = (arrow.hashed(bare) >> np.uint64(32)).astype(np.uint32)
+    filled = np.asarray(pc.binary_length(bare)) > 0
     keep = filled[number] if len(number) else np.zeros(0, dtype=bool)
     before = np.concatenate([[0], np.cumsum(keep)])
     return code[number[keep]], before[offsets]
 
 
+def _without_edges(words: pa.Array) -> pa.Array:
+    """Words without outer punctuation.  Where plain letters or digits are left at both ends once ASCII marks are gone, nothing else is to go."""
+    bare = pc.ascii_trim(words, characters=_MARKS)
+    odd = np.flatnonzero(~np.asarray(pc.match_substring_regex(bare, _PLAIN_ENDS)))
+    if not len(odd):
+        return bare
+    mask = np.zeros(len(bare), dtype=bool)
+    mask[odd] = True
+    return pc.replace_with_mask(bare, pa.array(mask), pa.array([_EDGE.sub("", w) for w in bare.take(pa.array(odd)).to_pylist()], pa.string()))
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """Stored: ``doc_id``, ``text_key`` and the word hashes of each document."""
 

@@ -1,5 +1,6 @@
 from functools import lru_cache
 
+import pyarrow as pa
 from helpers import AWKWARD, documents, prose
 
 from newsflow.llm import decontamination
@@ -100,3 +101,10 @@ def test_given_leaks(spark, sf):
     items = [(r["item_id"], norm(r["text"])) for r in benchmark.collect()]
     want = {(r["doc_id"], i) for r in docs.collect() for i, t in items if t in norm(r["text"])}
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark).collect()} == want
+
+
+def test_edges_go_as_by_the_pattern():
+    words = ["«quoted»", "_a_", "...", "'é'", "-ǅ-", "日本。", "²", "½x", "Ⅷ", "×x×", "÷", "x²", "a'", "(plain)", "(it's)", "​q", "áb́"]
+    assert decontamination._without_edges(pa.array(words)).to_pylist() == [decontamination._EDGE.sub("", w) for w in words]
+    codes, cuts = decontamination.word_codes(pa.array(["(A) a, ... b", "", "b."]))
+    assert cuts.tolist() == [0, 3, 3, 4] and codes[0] == codes[1] != codes[2] == codes[3]
