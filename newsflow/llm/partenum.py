@@ -12,12 +12,13 @@ under 128 elements, and bands in which some set has too few halves, are partitio
 elements, where the condition always holds; similar sets share 3/4 of the elements of either, so the first s / 4 + 1
 contain a common one.  A set near a band's upper end also signs for the next.
 
-Sets with a common signature are compared: first each with one pivot per signature, which joins
-groups of near copies without listing their pairs, then, for signatures whose sets still lie in several
-components, with further pivots, and at last all pairs between components, in blocks.  A block gives a forest of pairs that may be similar; what is found dissimilar
-is left out of the next forest of its signature, until there is no such pair.  Signatures with the
-same sets count as one.  A comparison begins with the parities of hashed buckets: each differing element
-flips one, so where more differ than in similar sets, the pair is out; all others are compared exactly.
+The sets of a signature belong to the group of its pivot, the one that a hash puts first; signatures with the same pivot
+are one group, which holds a set once.  A task compares the sets of a cell, which has bounded size, and returns
+a forest of the similar pairs.  A group that fits is one cell.  A larger one is first dealt out over several cells, each
+with the pivot, which joins most near copies in time linear in the group; then every set outside the largest component of the
+group meets every set of the group, in cells of a block of either.  A cell is first compared by the parities of hashed
+buckets: each differing element flips one, so where more differ than in similar sets, the pair is out.  Only sets left with a
+pair are compared exactly, by their texts.
 
 Equal sets are one node.  Nodes and shingles are told apart by 64-bit hashes; two different ones agree
 with a chance of 2**-64 per pair.
@@ -30,13 +31,13 @@ while an id is there, else it is null; an empty table gives no rows; further col
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from newsflow.llm import arrow
 from newsflow.llm.arrow import mix
 from newsflow.llm.components import components
 from newsflow.llm.names import unused
-from newsflow.session import is_small, materialise
+from newsflow.session import is_small, materialise, shuffled
 
 WORDS = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -56,20 +57,23 @@ ELEMENTS_PER_HALF = 1.0
 CELLS, BLOCKS = 1 << 21, 64
 #: A signature counted more often is dealt over several cells of this many sets.
 HOT_SETS = 4096
-PIVOT_ROUNDS = 3
+#: Times that a group beyond a cell is dealt out with a pivot before its components are compared in blocks.
+PIVOT_ROUNDS = 1
 #: Text bytes signed at a time.
 SLICE_BYTES = 2 << 20
 #: Fewest buckets of the parities by which dissimilar pairs are told apart; larger sets have four times their size or more.
 BUCKETS = 2048
-#: Sets of a signature that one task compares with as many others.
-BLOCK = 512
-#: Rows of cells that a call compares, about; pairs and bytes of parities at a time.
-CELL_ROWS, PAIRS, COMPARED_BYTES = 2048, 1 << 14, 4 << 20
+#: Sets of a block, and their elements, about; a cell has two blocks at most.
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 18
+#: Rows and elements of the cells that a call compares, about; pairs and bytes of parities at a time.
+CELL_ROWS, CELL_ELEMENTS, PAIRS, COMPARED_BYTES = 512, 1 << 18, 1 << 14, 4 << 20
 #: Documents whose keys may be broadcast.
 BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 
+CELL_COLUMNS = ["pivot", "i", "j", "side", "node", "comp", "n"]
+
 
 def shingle_sets(values: pa.Array, width: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -239,7 +243,7 @@ def sketch(stored: DataFrame) -> np.ndarray:
 
 
 def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) -> DataFrame:
-    """The signatures of each set: ``sig``, ``cell`` (more than one for a hot signature), ``hot``, ``node``, ``n``.
+    """The signatures of each set: ``sig``, ``cell`` (more than one for a hot signature), ``hot``, ``node``.
 
     Copies of a set in one task sign once.
     """
@@ -267,19 +271,14 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
                 taken.append(len(rare))
             if sigs:
                 node = np.repeat(np.array([nodes[k] for k, _ in jobs], dtype=np.int64), taken)
-                size = np.repeat(np.array([len(sets[k]) for k, _ in jobs], dtype=np.int32), taken)
                 spread = 1 + np.concatenate(often) // HOT_SETS
                 cell = (node.view(_U) % spread.astype(_U)).astype(np.int32)
-                columns = [np.concatenate(sigs).view(np.int64), cell, spread > 1, node, size]
+                columns = [np.concatenate(sigs).view(np.int64), cell, spread > 1, node]
                 del sets, sigs, often
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "cell", "hot", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "cell", "hot", "node"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "sig bigint, cell int, hot boolean, node bigint, n int")
-
-
-def similar(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
-    return np.array([alike(a, b) for a, b in zip(shingle_sets(texts_a), shingle_sets(texts_b))], dtype=bool)
+    return rows.mapInArrow(run, "sig bigint, cell int, hot boolean, node bigint")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -295,6 +294,11 @@ def parities(elements: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
+def halved(bits: bytes) -> bytes:
+    """Parities over half as many buckets."""
+    return np.bitwise_xor(*np.frombuffer(bits, dtype=np.uint8).reshape(2, -1)).tobytes()
+
+
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     """Rows of parities over fewer buckets, ``size`` bytes each."""
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
@@ -323,21 +327,44 @@ def likely_forest(group: pa.Table) -> pa.Table:
 
 def likely_forests(group: pa.Table, cell: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """The forests of several cells, whose rows stand together: number of the cell and the two sets of each pair."""
-    node, side = (np.asarray(group[c]) for c in ("node", "side"))
-    comp, size = np.asarray(group["comp"]).copy(), np.asarray(group["n"]).astype(np.int64)
-    bits, apart = _Parities(group["buckets"]), group["apart"].combine_chunks()
-    known: dict[int, set[int]] = {}
+    node, apart = np.asarray(group["node"]), [set(told or ()) for told in group["apart"].to_pylist()]
+    bits = _Parities([v.as_py() for v in group["buckets"]])
+    x, y = forests(
+        cell, *(np.asarray(group[c]) for c in ("node", "side", "comp", "n")), bits.apart,
+        lambda k, o: int(node[o]) not in apart[k] and int(node[k]) not in apart[o],
+    )
+    return cell[x], pa.array(np.minimum(node[x], node[y]), pa.int64()), pa.array(np.maximum(node[x], node[y]), pa.int64())
 
-    def told(row: int) -> set[int]:
-        if row not in known:
-            known[row] = set(apart[row].as_py() or ())
-        return known[row]
 
-    # every row with those after it in its cell
+def forests(
+    cell: np.ndarray, node: np.ndarray, side: np.ndarray, comp: np.ndarray, size: np.ndarray,
+    apart: Callable[[np.ndarray, np.ndarray], np.ndarray], similar: Callable[[int, int], bool],
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows in the forests of several cells, whose rows stand together.
+
+    ``apart`` bounds from below by how many elements the sets of rows differ; ``similar`` decides on a pair that it allows.
+    """
+    comp, low, high = comp.copy(), [], []
     begin, end = np.searchsorted(cell, cell), np.searchsorted(cell, cell, side="right")
-    many = end - np.arange(len(cell)) - 1
+    for x, y in likely_pairs(cell, node, side, comp, size, apart):
+        for k, o in zip(x.tolist(), y.tolist()):
+            if comp[k] != comp[o] and similar(k, o):
+                low.append(k)
+                high.append(o)
+                own = comp[begin[k] : end[k]]
+                own[own == comp[o]] = comp[k]
+    return np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
+
+
+def likely_pairs(
+    cell: np.ndarray, node: np.ndarray, side: np.ndarray, comp: np.ndarray, size: np.ndarray,
+    apart: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows between components of the same cell that ``apart`` and the sizes allow; ``comp`` may change meanwhile."""
+    size = size.astype(np.int64)
+    # every row with those after it in its cell
+    many = np.searchsorted(cell, cell, side="right") - np.arange(len(cell)) - 1
     upto = np.cumsum(many)
-    cells, low, high = [], [], []
     for start in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
         place = np.arange(start, min(start + PAIRS, int(upto[-1])))
         x = np.searchsorted(upto, place, side="right")
@@ -345,22 +372,15 @@ def likely_forests(group: pa.Table, cell: np.ndarray) -> tuple[np.ndarray, pa.Ar
         fits = (comp[x] != comp[y]) & (node[x] != node[y]) & (((side[x] & 1) & (side[y] >> 1)) | ((side[x] >> 1) & (side[y] & 1))).astype(bool)
         fits &= DENOMINATOR * np.minimum(size[x], size[y]) >= NUMERATOR * np.maximum(size[x], size[y])
         x, y = x[fits], y[fits]
-        likely = can_be_similar(bits.apart(x, y), size[x] + size[y])
-        for k, o in zip(x[likely].tolist(), y[likely].tolist()):
-            if comp[k] != comp[o] and int(node[o]) not in told(k) and int(node[k]) not in told(o):
-                cells.append(int(cell[k]))
-                low.append(min(node[k], node[o]))
-                high.append(max(node[k], node[o]))
-                own = comp[begin[k] : end[k]]
-                own[own == comp[o]] = comp[k]
-    return np.array(cells, dtype=np.int64), pa.array(low, pa.int64()), pa.array(high, pa.int64())
+        likely = can_be_similar(apart(x, y), size[x] + size[y])
+        yield x[likely], y[likely]
 
 
 class _Parities:
     """Parities of sets over different numbers of buckets; pairs of rows are compared over the fewer."""
 
-    def __init__(self, column: pa.ChunkedArray):
-        rows = [np.frombuffer(v.as_py(), dtype=np.uint8) for v in column]
+    def __init__(self, column: list[bytes]):
+        rows = [np.frombuffer(v, dtype=np.uint8) for v in column]
         self.width = np.array([len(r) for r in rows], dtype=np.int64)
         self.at, self.bits = np.zeros(len(rows), dtype=np.int64), {}
         for width in np.unique(self.width).tolist():
@@ -385,162 +405,144 @@ class _Parities:
         return bits
 
 
-def pairs_in_blocks(left: DataFrame, candidates: DataFrame, apart: DataFrame | None) -> DataFrame:
-    """Likely pairs (sig, a, b) of sets of one signature and unlike components, without the pairs ``apart``; by all pairs of blocks.
+def _in_cells(part: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows in the order of their cells (``pivot``, ``i``, ``j``), and the number of the cell of each."""
+    part = part.sort_by([("pivot", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")]).combine_chunks()
+    keys = np.stack([np.asarray(part[c]).astype(np.int64) for c in ("pivot", "i", "j")])
+    return part, np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
 
-    A cell is a pair of blocks of one signature.  Most are small, so a task is handed many cells at once.
-    """
 
-    def forests(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        keys = np.stack([np.asarray(part[c]).astype(np.int64) for c in ("sig", "i", "j")])
-        cell = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
-        number, a, b = likely_forests(part, cell)
-        first = np.searchsorted(cell, number)
-        return pa.table({"sig": pa.array(keys[0][first], pa.int64()), "a": a, "b": b})
-
-    blocks = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets"))
-    blocks = materialise(blocks, "blocks")
-    count = blocks.agg(F.sum(F.col("sets") * F.col("blocks"))).first()[0] or 0
-    rows = left.select("sig", "node", "comp").join(blocks.select("sig", "blocks"), "sig")
-    rows = rows.join(candidates.select("node", "n", "buckets"), "node").withColumn("block", F.pmod("node", "blocks").cast("int"))
-    if apart is None:
-        rows = rows.withColumn("apart", F.lit(None).cast("array<bigint>"))
-    else:
-        rows = rows.join(materialise(apart.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("apart")), "apart"), "node", "left")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = rows.withColumn("other", F.explode(other)).select(
-        "sig", "node", "comp", "n", "buckets", "apart", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    part = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(1 + count // CELL_ROWS))
-    return materialise(cells.groupBy(part.alias("part")).applyInArrow(forests, "sig bigint, a bigint, b bigint").distinct(), "pairs")
+def likely_rows(part: pa.Table) -> pa.Table:
+    """The rows of cells whose ``buckets`` allow that the set is similar to another of its cell."""
+    part, cell = _in_cells(part)
+    bits, marked = _Parities([v.as_py() for v in part["buckets"]]), np.zeros(len(part), dtype=bool)
+    for x, y in likely_pairs(cell, *(np.asarray(part[c]) for c in ("node", "side", "comp", "n")), bits.apart):
+        marked[x] = marked[y] = True
+    return part.filter(pa.array(marked)).select(CELL_COLUMNS)
 
 
-def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar."""
+def cell_links(part: pa.Table) -> pa.Table:
+    """Pairs (``a``, ``b``) of nodes with similar texts: a forest between the components of each cell."""
+    part, cell = _in_cells(part)
+    node = np.asarray(part["node"])
+    _, first, own = np.unique(node, return_index=True, return_inverse=True)
+    sets = []
+    for batch in arrow.slices(part.select(["text"]).take(pa.array(first)).to_batches(), limit=SLICE_BYTES):
+        sets += shingle_sets(arrow.texts(batch))
+    bits, known = _Parities([parities(s) for s in sets]), {}
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = []
-            for x, y in zip(batch.column("buckets_a"), batch.column("buckets_b")):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint8)[None, :] for v in (x, y))
-                least = min(x.shape[1], y.shape[1])
-                apart.append(int(_apart(_folded(x, least), _folded(y, least))[0]))
-            sizes = np.asarray(batch.column("n_a")).astype(np.int64) + np.asarray(batch.column("n_b"))
-            good = pa.array(can_be_similar(np.array(apart, dtype=np.int64), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+    def similar(k: int, o: int) -> bool:
+        pair = (min(own[k], own[o]), max(own[k], own[o]))
+        if pair not in known:
+            known[pair] = alike(sets[pair[0]], sets[pair[1]])
+        return known[pair]
 
-    both = "a bigint, b bigint"
-    pairs = materialise(pairs.distinct(), "pairs")
-    counts = ["n", "buckets"]
-    met = pairs.join(_side(candidates, "a", *counts), "a").join(_side(candidates, "b", *counts), "b")
-    return compared(materialise(met.mapInArrow(likely, both), "likely"), candidates)
+    x, y = forests(cell, *(np.asarray(part[c]) for c in ("node", "side", "comp", "n")), lambda x, y: bits.apart(own[x], own[y]), similar)
+    return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
 
 
-def _side(candidates: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Candidates as one side of pairs."""
-    return candidates.select(F.col("node").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
+def groups_of(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The groups (``pivot``, ``node``, ``n``, ``blocks``) of signatures with two sets or more; a group holds a set once."""
+    first = F.min(F.struct(F.xxhash64("node").alias("k"), "node"))
+    pivots = shared.groupBy("sig").agg(first.alias("p"), F.max("node").alias("high"), F.min("node").alias("low"))
+    pivots = pivots.where("low < high").select("sig", F.col("p.node").alias("pivot"))
+    rows = shared.join(shuffled(materialise(pivots, "pivots")), "sig").select("pivot", "node").distinct()
+    rows = materialise(rows.join(nodes.select("node", "n"), "node"), "groups")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    return rows.join(materialise(rows.groupBy("pivot").agg(blocks.alias("blocks")), "blocks"), "pivot")
 
 
-def compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, exactly."""
+def _block(blocks: Column, *salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", *map(F.lit, salt)), blocks).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "text_a", "text_b"):
-            good = pa.array(similar(batch.column("text_a"), batch.column("text_b")))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-    met = pairs.join(_side(candidates, "a", "text"), "a").join(_side(candidates, "b", "text"), "b")
-    return materialise(met.mapInArrow(run, "a bigint, b bigint"), "links")
+def dealt(groups: DataFrame, turn: int) -> DataFrame:
+    """Cells of blocks, each set in one and the pivot in all: rows linear in the group."""
+    own = F.array(_block(F.col("blocks"), turn))
+    cells = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    return groups.select("pivot", "node", "n", "comp", F.explode(cells).alias("i"), F.lit(0).alias("j"), F.lit(3).alias("side"))
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Ordered pairs of two node columns whose sizes allow similarity."""
-    fits = (DENOMINATOR * F.least(f"n_{a}", f"n_{b}") >= NUMERATOR * F.greatest(f"n_{a}", f"n_{b}")) & (F.col(a) != F.col(b))
-    return rows.where(fits).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def crossed(groups: DataFrame) -> DataFrame:
+    """Cells of a block of the group and one of its sets outside the group's largest component, in which every pair of components meets."""
+    sizes = groups.groupBy("pivot", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    outside = F.greatest(
+        (F.sum("sets") - F.max("sets")) / BLOCK, (F.sum("n") - F.max_by("n", F.struct("sets", "comp"))) / BLOCK_ELEMENTS
+    )
+    largest = sizes.groupBy("pivot").agg(F.max_by("comp", F.struct("sets", "comp")).alias("largest"), F.ceil(outside).cast("int").alias("others"))
+    rows = groups.join(materialise(largest.where("others > 0"), "largest"), "pivot")
+    other = F.col("comp") != F.col("largest")
+    first = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(_block(F.col("blocks")).alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    second = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), _block(F.col("others"), 1).alias("j"), F.lit(2).alias("side")))
+    cells = F.explode(F.when(other, F.concat(first, second)).otherwise(first)).alias("c")
+    return rows.select("pivot", "node", "n", "comp", cells).select("pivot", "node", "n", "comp", "c.i", "c.j", "c.side")
+
+
+def links(cells: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The stored links (a, b) between sets of the cells.  Texts go only to cells where parities leave a pair."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.slices(batches, limit=SLICE_BYTES):
+            buckets = [halved(parities(s)) for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(buckets, pa.binary())], ["node", "buckets"])
+
+    cells = materialise(cells, "cells")
+    bits = _texts(docs, cells, nodes).mapInArrow(marked, "node bigint, buckets binary")
+    kinds = "pivot bigint, i int, j int, side int, node bigint, comp bigint, n int"
+    likely = materialise(_parts(cells, bits).applyInArrow(likely_rows, kinds), "likely")
+    return materialise(_parts(likely, _texts(docs, likely, nodes)).applyInArrow(cell_links, "a bigint, b bigint").distinct(), "links")
+
+
+def _parts(cells: DataFrame, what: DataFrame) -> GroupedData:
+    """Whole cells with ``what`` each node has, so many at a time as a call compares."""
+    much = cells.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    part = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(1 + max(much["rows"] // CELL_ROWS, (much["n"] or 0) // CELL_ELEMENTS)))
+    # never broadcast: texts are not small when the table is large
+    return shuffled(cells).join(what, "node").withColumn("part", part).groupBy("part")
 
 
 def linked(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Components of nodes (``node``, ``component``) over verified edges between similar sets."""
+    """Components of nodes (``node``, ``component``) over links between similar sets."""
     single = frozenset(r["weak"] for r in stored.where("weak is not null").select("weak").distinct().collect())  # bands
     rows = signed(docs, sketch(stored), single)
     cell = Window.partitionBy("sig", "cell")
     shared = rows.withColumn("_low", F.min("node").over(cell)).withColumn("_high", F.max("node").over(cell))
-    shared = materialise(shared.where("_low < _high or hot").select("sig", "node", "n").distinct(), "shared")
-    shared = materialise(_one_of_equal_groups(shared), "shared")
-    candidates = materialise(_texts(docs, stored, shared.select("node").distinct()), "candidates")
-
-    found, left = None, shared.withColumn("comp", F.col("node"))
+    shared = materialise(shared.where("_low < _high or hot").select("sig", "node"), "shared")
+    nodes = materialise(_first_rows(stored).join(shared.select("node").distinct(), "node", "left_semi"), "nodes")
+    groups = materialise(groups_of(shared, nodes).withColumn("comp", F.col("node")), "groups")
+    found, labels = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), None
     for turn in range(PIVOT_ROUNDS):
-        # the pivot of a signature differs from turn to turn
-        key = F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), "node", "n", "comp")
-        pivots = materialise(left.groupBy("sig").agg(F.min(key).alias("p")).select(
-            "sig", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.comp").alias("comp_pivot")), "pivots")
-        met = left.join(pivots, "sig").where("comp != comp_pivot").withColumnRenamed("n", "n_node")
-        edges = verified(_pairs(met, "node", "pivot"), candidates)
-        found = edges if found is None else found.unionByName(edges)
+        found = found.unionByName(links(dealt(groups, turn), docs, nodes))
         labels = components(found)
-        # a signature of two sets is done after the first turn
-        left = _open(shared if turn == 0 else left, labels, 2)
-        if left.isEmpty():
+        # a group of one block is done
+        groups = materialise(_labelled(groups.where("blocks > 1").drop("comp"), labels), "groups")
+        if groups.isEmpty():
             return labels
-    apart = None
-    while True:
-        pairs = pairs_in_blocks(left, candidates, apart)
-        if pairs.isEmpty():
-            return components(pairs) if found is None else labels
-        edges = compared(pairs.select("a", "b").distinct(), candidates)
-        found = edges if found is None else found.unionByName(edges)
-        no = materialise(pairs.join(edges, ["a", "b"], "left_anti"), "no-pairs")
-        joined = not edges.isEmpty()
-        if joined:
-            labels = components(found)
-        if no.isEmpty():
-            return labels
-        told = no.select("a", "b").distinct()
-        apart = materialise(told if apart is None else apart.unionByName(told).distinct(), "apart")
-        # where all pairs of a signature's forests are similar, its likely pairs are joined
-        left = materialise(left.join(no.select("sig").distinct(), "sig", "left_semi"), "left")
-        if joined:
-            left = _open(left, labels, 1)
-
+    more = links(crossed(groups), docs, nodes)
+    return components(found.unionByName(more)) if labels is None or not more.isEmpty() else labels
 
-def _open(rows: DataFrame, labels: DataFrame, done: int) -> DataFrame:
-    """The rows, with their components, of signatures of more than ``done`` sets in more than one component."""
-    named = rows.select("sig", "node", "n").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
-    named = materialise(named, "named")
-    several = named.groupBy("sig").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("sets")
-    ).where("c0 < c1").where(F.col("sets") > done).select("sig")
-    return materialise(named.join(materialise(several, "open"), "sig", "left_semi"), "left")
 
+def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    return groups.join(labels, "node", "left").select(*groups.columns, F.coalesce("component", "node").alias("comp"))
 
-def _one_of_equal_groups(shared: DataFrame) -> DataFrame:
-    """Signatures with at least two sets, and of those with the same sets only one.  Groups are told apart by 128 bits."""
-    mark = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("sets")]
-    groups = shared.groupBy("sig").agg(*mark).where("sets > 1")
-    chosen = materialise(groups.groupBy("x", "y", "sets").agg(F.min("sig").alias("sig")).select("sig"), "groups")
-    return shared.join(chosen, "sig", "left_semi")
 
+def _first_rows(stored: DataFrame) -> DataFrame:
+    """The size of each node's set and the key of its first row; ``copies`` counts its rows."""
+    first = F.min(F.struct("doc_id", "text_key")).alias("r")
+    nodes = stored.where("n > 0").groupBy("node").agg(first, F.first("n").alias("n"), F.count("*").alias("copies"))
+    return nodes.select("node", "n", "copies", F.col("r.doc_id").alias("r_doc"), F.col("r.text_key").alias("text_key"))
 
-def _texts(docs: DataFrame, stored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each of ``nodes`` one text, the size of its set and its parities."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches):
-            sets = shingle_sets(batch.column("text"))
-            sizes, buckets = pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, buckets], ["node", "text", "n", "buckets"])
-
-    first = stored.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    wanted = materialise(
-        first.join(nodes, "node", "left_semi").select("node", F.col("r.doc_id").alias("r_doc"), F.col("r.text_key").alias("text_key")), "wanted"
-    )
+def _texts(docs: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text for each node in the cells."""
+    wanted = nodes.drop("n").join(cells.select("node").distinct(), "node", "left_semi")
+    wanted = materialise(wanted, "wanted")
     if is_small(wanted, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
-    rows = _keyed(docs).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("r_doc")))
-    return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node bigint, text string, n int, buckets binary")
+    rows = _keyed(docs).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("r_doc"))).select("node", "text", "copies")
+    # only a node of several rows can have its first row more than once
+    once = rows.where("copies = 1").select("node", "text")
+    return once.unionByName(rows.where("copies > 1").select("node", "text").dropDuplicates(["node"]))
 
 
 def _named_rows(docs: DataFrame) -> DataFrame:

@@ -182,3 +182,25 @@ def test_a_cell_of_near_copies_is_joined_at_once(monkeypatch):
     })
     assert len(partenum.likely_forest(table)) == n - 1
     assert sum(compared) < 40 * n
+
+
+def test_groups_beyond_a_block_cost_rows_in_proportion(spark, monkeypatch):
+    """A group of near copies with a few strangers: rows of cells grow with its size, not with its square, and the links are all pairs'."""
+    monkeypatch.setattr(partenum, "BLOCK", 8)
+    made = []
+    whole = partenum.links
+    monkeypatch.setattr(partenum, "links", lambda cells, *more: made.append(cells.count()) or whole(cells, *more))
+    rows = [(i, near(1, 120, [60 + i % 20])) for i in range(20)] + [(100 + i, near(1, 120, range(3 + i, 120, 9))) for i in range(3)]
+    rows += [(i + 200, near(1, 120, [30 + i % 20, 70 + i % 40])) for i in range(80)]
+    got = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(documents(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert got == components(sets, lambda a, b: jaccard_linked(sets[a], sets[b]))
+    assert sum(made) < 12 * len(rows) * 2, made
+
+
+def test_parities_of_half_the_buckets_bound_the_difference_too():
+    rng = np.random.default_rng(9)
+    a, b = (np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(2))
+    b = np.unique(np.concatenate([a[:280], b[280:]]))
+    x, y = (np.frombuffer(partenum.halved(partenum.parities(s)), np.uint8)[None, :] for s in (a, b))
+    assert 0 < partenum._apart(x, y)[0] <= len(np.setxor1d(a, b))
