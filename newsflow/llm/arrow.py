@@ -13,11 +13,13 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about ``limit`` bytes of ``columns`` (``text``); a longer row stands alone."""
+    """Cut batches evenly into runs of rows of about ``limit`` bytes of ``columns`` (``text``); a longer row begins a run."""
     for batch in batches:
         lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0) for c in columns or ("text",)]
         sizes = sum(np.asarray(n, dtype=np.int64) for n in lengths)
-        part = np.cumsum(sizes) // limit
+        upto = np.cumsum(sizes)
+        runs = max(1, round(int(upto[-1]) / limit)) if len(upto) else 1
+        part = upto * runs // (int(upto[-1]) + 1) if runs > 1 else np.zeros(len(upto), dtype=np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:]):
             if high > low:

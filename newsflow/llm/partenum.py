@@ -189,7 +189,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
     """One stored row per document (``node``, ``n``) and, per task, compressed blocks of signature counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
+        counts = np.zeros(CELLS, dtype=np.uint32)
         schema = pa.schema(
             [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("weak", pa.int32()),
              ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
@@ -202,7 +202,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
                 if len(sigs) <= tolerance(len(sets[k])):
                     weak[k] = band
             if found:
-                counts += np.bincount(_cell(np.concatenate(found)), minlength=CELLS)
+                np.add.at(counts, _cell(np.concatenate(found)), np.uint32(1))
             rows = len(sets)
             none = pa.nulls(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -247,7 +247,7 @@ def signed(docs: DataFrame, counts: np.ndarray, single_bands: frozenset[int]) ->
 
     Copies of a set in one task sign once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()

@@ -86,3 +86,6 @@ HEAT_MAX = 10.0
 # Largest dimension table, in rows, for which a broadcast is asked for.  Beyond it the
 # same equi-join is left to the optimiser, which shuffles both sides.
 BROADCAST_MAX_ROWS = 100_000
+
+# Bytes of an Arrow batch between the JVM and Python, about.
+ARROW_BATCH_BYTES = 4 << 20

@@ -123,11 +123,23 @@ def is_small(df: DataFrame, limit: int = params.BROADCAST_MAX_ROWS) -> bool:
     return df.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit
 
 
+def bound_batches(spark: SparkSession, limit: int = params.ARROW_BATCH_BYTES) -> None:
+    """Arrow batches of at most about ``limit`` bytes in this session, unless it asks for smaller ones.
+
+    Left alone, a batch holds 10,000 rows up to 64 MB.  Each running task has it several times, in buffers of the JVM outside
+    the heap and in the Python worker, so that whole texts take hundreds of megabytes of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > limit:
+        spark.conf.set(name, str(limit))
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application.
+    """Send this package to the executors, once per application, and bound the session's Arrow batches.
 
     Python workers import it to run the few Arrow helpers, wherever the driver was started.
     """
+    bound_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_newsflow_shipped", False):
         return
