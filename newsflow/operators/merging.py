@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from newsflow import params
 from newsflow.functions.text import derived_id
-from newsflow.session import materialise, shuffled, small
+from newsflow.session import is_small, materialise, shuffled, small
 
 KEY = ["exchange", "stock_code", "event_type_primary"]
 HOUR = 3_600_000_000
@@ -188,7 +188,7 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, cell: int = CELL)
         F.min("at").alias("lo"), F.max("at").alias("hi")
     )
     capped_slots = slots.join(shuffled(capped), SESSION, "left_semi").select(*KEY, "slot", "session_start")
-    bounds = materialise(_bounds(lines.join(shuffled(capped_slots), [*KEY, "slot"]).select(*SESSION, "lo", "hi"), span), "bounds")
+    bounds = materialise(_bounds(lines.join(_sided(capped_slots, slots), [*KEY, "slot"]).select(*SESSION, "lo", "hi"), span), "bounds")
     known = F.col("lows") == F.col("highs")
     result = plain.select(*SESSION, F.col("session_start").alias("opening")).unionByName(
         bounds.where(known).select(*SESSION, F.explode("lows").alias("opening"))
@@ -203,6 +203,11 @@ def openings(reports: DataFrame, slots: DataFrame, span: Span, cell: int = CELL)
     return result.unionByName(_doubling_chain(materialise(inside.select(*SESSION, "at").distinct(), "times"), span))
 
 
+def _sided(lines: DataFrame, slots: DataFrame) -> DataFrame:
+    """Side of a join with at most a line per slot, which meets the reports where they are if the stored ``slots`` are few."""
+    return F.broadcast(lines) if is_small(slots) else shuffled(lines)
+
+
 def slot_events(slots: DataFrame, opened: DataFrame, span: Span) -> DataFrame:
     """(key, slot, carried, opening): the event open when the slot begins, and the one opened in it."""
     marks = opened.select(*KEY, span.slot_of(F.col("opening")).alias("slot"), "opening")
@@ -219,11 +224,13 @@ def event_key(first: Column) -> Column:
     return derived_id(*[F.col(k) for k in KEY], first.cast("string"))
 
 
-def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None = None, cell: int = CELL) -> DataFrame:
+def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None = None, cell: int = CELL,
+           near: bool = False) -> DataFrame:
     """Adds ``first`` (opening time of the event, microseconds) to every report.
 
     ``reports`` has the key columns and ``at`` in microseconds.  ``cell`` decides how much is left to the tree, never the
-    rows.  Reports with a null key column or time have no event; ``unplaced`` tells them.
+    rows.  Reports with a null key column or time have no event; ``unplaced`` tells them.  With ``near`` reports are not
+    shuffled to meet a table of few slots.
     """
     span = span or Span.hours()
     narrow = reports.select(*KEY, "at")
@@ -234,7 +241,7 @@ def assign(reports: DataFrame, span: Span | None = None, seeds: DataFrame | None
     )
     return (
         reports.withColumn("slot", span.slot_of(F.col("at")))
-        .join(shuffled(table), [*KEY, "slot"])
+        .join(_sided(table, slots) if near else shuffled(table), [*KEY, "slot"])
         .withColumn("first", first)
         .drop("slot", "carried", "opening")
     )

@@ -66,7 +66,8 @@ def st3(spark, sf):
 @register("st4_stream_merging", f"{sp.event_chain()} SELECT entity_event_id, event_id FROM merged")
 def st4(spark, sf):
     root = _root(spark, "merging")
-    reports = dt.reports_of(_stream(spark, sf, "events"))
+    # the places need no more of a report
+    reports = dt.reports_of(_stream(spark, sf, "events")).select("entity_event_id", *KEY, "published_at", "created_at")
     merging.start_merging(reports, root, f"{root}/_checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/map").select("entity_event_id", "event_id")
 

@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsflow.operators import merging
 from newsflow.operators.merging import HOUR, KEY, SESSION, Span
-from newsflow.session import materialise
+from newsflow.session import materialise, small
 from newsflow.sources import tables
 from newsflow.streaming import delivery
 
@@ -93,7 +93,7 @@ def merge_again(fresh: DataFrame, touched: DataFrame, stored: DataFrame, span: S
     Columns: entity_event_id, key, at, ``old`` (event id before, null for new reports), first, event_id.
     """
     slots = touched.select(*SESSION, "since", _covered(F.greatest("session_start", F.col("since") - span.cap), F.col("end"), span.slot).alias("slot"))
-    inside = stored.withColumn("slot", _number(F.col("at"), span.slot)).join(materialise(slots, "touched-slots"), [*KEY, "slot"])
+    inside = stored.withColumn("slot", _number(F.col("at"), span.slot)).join(small(materialise(slots, "touched-slots")), [*KEY, "slot"])
     inside = materialise(inside.select("entity_event_id", *SESSION, "since", "at", F.col("first").alias("was"), F.col("event_id").alias("old")), "inside")
     last = inside.where(F.col("at") < F.col("since")).groupBy(*SESSION, "since").agg(F.max_by("was", "at").alias("was"))
     # where the cap ends the open event before the first new time, merging begins with that time
@@ -101,7 +101,7 @@ def merge_again(fresh: DataFrame, touched: DataFrame, stored: DataFrame, span: S
     rows = inside.join(restart, SESSION, "left").where(F.col("at") >= F.coalesce("restart", "since"))
     again = rows.select("entity_event_id", *KEY, "at", "old").unionByName(fresh.select("entity_event_id", *KEY, "at", F.lit(None).cast("string").alias("old")))
     again = materialise(again, "again")
-    return materialise(merging.assign(again, span).withColumn("event_id", merging.event_key(F.col("first"))), "merged-again")
+    return materialise(merging.assign(again, span, near=True).withColumn("event_id", merging.event_key(F.col("first"))), "merged-again")
 
 
 def correcting_step(root: str, span: Span | None = None, horizon_hours: float = HORIZON_HOURS):
@@ -112,7 +112,7 @@ def correcting_step(root: str, span: Span | None = None, horizon_hours: float =
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         at = merging.micros(F.coalesce("published_at", "created_at"))
-        arrived = materialise(batch.select("entity_event_id", *KEY, at.alias("at")).dropDuplicates(["entity_event_id"]), "arrived")
+        arrived = materialise(delivery.once(batch.select("entity_event_id", *KEY, at.alias("at")), "entity_event_id"), "arrived")
         before, newest = _state_before(spark, root, batch_id)
         tables.write_batch(merging.unplaced(arrived), f"{root}/rejected", batch_id)
         placed = arrived.dropna(subset=[*KEY, "at"])

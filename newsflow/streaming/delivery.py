@@ -45,6 +45,11 @@ def version_error(version: Column, expected: int = 1) -> Column:
     )
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key.  Rows are dealt out first, so that only the receiving side sorts them."""
+    return rows.repartition(key).dropDuplicates([key])
+
+
 def settle(rows: DataFrame, error: Column, most: int = params.MAX_DELIVERIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(good, retry, dead) of rows that carry ``delivery_count``.
 

@@ -60,7 +60,7 @@ def merge_batch(reports: DataFrame, open_events: DataFrame, newest: int | None,
     )
     known = seeds.select(*KEY, "first", F.col("event_id").alias("_known"))
     assigned = materialise(
-        merging.assign(on_time.drop("_late", "_first", "_last"), span, seeds)
+        merging.assign(on_time.drop("_late", "_first", "_last"), span, seeds, near=True)
         .join(known, [*KEY, "first"], "left")
         .withColumn("event_id", F.coalesce("_known", merging.event_key(F.col("first"))))
         .drop("_known"),
@@ -88,7 +88,7 @@ def merging_step(root: str, span: Span | None = None, lateness_hours: float = 4.
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         at = merging.micros(F.coalesce("published_at", "created_at"))
-        reports = batch.dropDuplicates(["entity_event_id"]).withColumn("at", at)
+        reports = materialise(delivery.once(batch, "entity_event_id").withColumn("at", at), "arrived")
         opened, newest = _state_before(spark, root, batch_id)
         tables.write_batch(merging.unplaced(reports), f"{root}/rejected", batch_id)
         merged = merge_batch(reports.dropna(subset=[*KEY, "at"]), opened, newest, span, lateness)
