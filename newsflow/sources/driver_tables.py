@@ -180,14 +180,17 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filing_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of filings: a document is that of the order with its number, under either address form."""
-    did = F.col("doc_id")
+    """Texts of filings: a document is that of the order with its number, under either address form.
+
+    Neither parser fails on a document without text.
+    """
+    did, textless = F.col("doc_id"), text.is_blank(F.col("text"))
     address = F.when(did % 5 == 1, F.format_string("https://pdf.example/%d.pdf", did)).otherwise(
         F.format_string(f"{params.HKEX_BASE}/listed/%d.pdf", did))
-    primary = F.when(did % 4 == 0, " ").otherwise(F.concat(F.lit("parsed "), "text"))
+    primary = F.when((did % 4 == 0) | textless, " ").otherwise(F.concat(F.lit("parsed "), "text"))
+    fallback = F.when((did % 6 == 5) & ~textless, "").otherwise(F.col("text"))
     return table(spark, folder, "documents").select(
-        address.alias("pdf_url"), primary.alias("primary"), F.when(did % 6 == 5, "").otherwise(F.col("text")).alias("fallback"),
-        (did % 9 == 0).alias("encrypted"),
+        address.alias("pdf_url"), primary.alias("primary"), fallback.alias("fallback"), (did % 9 == 0).alias("encrypted"), textless.alias("textless")
     )
 
 
