@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsflow import params, schemas
 from newsflow.operators import cleaning
-from newsflow.session import materialise
+from newsflow.session import materialise, shuffled
 from newsflow.sources import tables
 from newsflow.streaming import delivery
 
@@ -39,24 +39,31 @@ class Ledger:
         return rows if days is None else rows.where(F.col("day").isin(days))
 
     def fresh(self, rows: DataFrame, row_id: str, at: Column, batch_id: int) -> DataFrame:
-        """Rows delivered for the first time, one per id, with ``day``; reads the ledger of their days only."""
-        once = materialise(rows.withColumn("day", F.coalesce(F.to_date(at), F.lit("1970-01-01").cast("date"))).dropDuplicates([row_id]), "delivered")
-        days = [r["day"] for r in once.select("day").distinct().collect()]  # days of one batch
+        """Rows delivered for the first time, one per id, with ``day``; reads the ledger of their days only.
+
+        Repeats within the batch and those told by the ledger go behind one exchange of the rows.
+        """
+        delivered = materialise(rows.withColumn("day", F.coalesce(F.to_date(at), F.lit("1970-01-01").cast("date"))), "delivered")
+        days = [r["day"] for r in delivered.select("day").distinct().collect()]  # days of one batch
         known = self.lines(rows.sparkSession, batch_id, days).select(F.col("id").alias(row_id)).distinct()
-        return materialise(once.join(known, row_id, "left_anti"), "fresh")
+        return delivered.dropDuplicates([row_id]).join(shuffled(known), row_id, "left_anti")
 
     def record(self, lines: DataFrame, batch_id: int) -> None:
-        """Lines (id, outcome, deliveries, day) of a batch; a replay replaces them."""
-        lines.select("id", "outcome", F.col("deliveries").cast("bigint").alias("deliveries"), "day").write.mode("overwrite").partitionBy("day").parquet(
-            f"{self.root}/batch_id={batch_id}"
-        )
+        """Lines (id, outcome, deliveries, day) of a batch; a replay replaces them.
+
+        Each core gets a range of days and ids, so that a batch makes no more files than it has days and cores together, not one per day and task.
+        """
+        lines = lines.select("id", "outcome", F.col("deliveries").cast("bigint").alias("deliveries"), "day")
+        cores = lines.sparkSession.sparkContext.defaultParallelism
+        lines.repartitionByRange(cores, "day", "id").write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/batch_id={batch_id}")
 
 
 def _clean(root: str, rows: DataFrame, expected_version: int, most: int, folder: int, body_min_length: int) -> DataFrame:
     """Clean good rows, put dead ones aside, keep the rest waiting; returns the ledger's lines of all that arrived first or ended."""
     arrived = materialise(rows, "arrived")
     good, retry, dead = delivery.settle(arrived, delivery.version_error(F.col("v"), expected_version), most)
-    assessed = materialise(cleaning.assess(good, body_min_length), "assessed")
+    # the raw texts of good rows are not needed any more
+    assessed = materialise(cleaning.assess(good, body_min_length).drop("title", "body"), "assessed")
     tables.write_batch(cleaning.accepted(assessed, F.col("created_at")), f"{root}/cleaned", folder)
     tables.write_batch(cleaning.rejections(assessed), f"{root}/rejected", folder)
     tables.write_batch(retry, f"{root}/waiting", folder)
@@ -86,15 +93,12 @@ def cleaning_step(root: str, expected_version: int = 1, most: int = params.MAX_D
 def settle_all(spark: SparkSession, root: str, expected_version: int = 1, most: int = params.MAX_DELIVERIES, body_min_length: int = params.BODY_MIN_LENGTH) -> int:
     """Hand out what waits until it ends; for the end of input, no stream running.  Returns the extra deliveries."""
     ledger, turns = Ledger(f"{root}/ledger"), 0
-    while True:
-        # a batch that takes up waiting rows writes a line for each, so what the last one left is what waits
-        last = ledger.lines(spark).agg(F.max("batch_id")).first()[0]
-        rows = None if last is None else spark.read.parquet(f"{root}/waiting/batch_id={last}")
-        if rows is None or rows.isEmpty():
-            return turns
-        lines = _clean(root, rows, expected_version, most, last + 1, body_min_length)
-        ledger.record(lines, last + 1)
+    # a batch that takes up waiting rows writes a line for each, so what the last one left is what waits
+    last = ledger.lines(spark).agg(F.max("batch_id")).first()[0]
+    while last is not None and not (rows := spark.read.parquet(f"{root}/waiting/batch_id={last + turns}")).isEmpty():
         turns += 1
+        ledger.record(_clean(root, rows, expected_version, most, last + turns, body_min_length), last + turns)
+    return turns
 
 
 def outcomes(spark: SparkSession, root: str) -> DataFrame:

@@ -51,3 +51,16 @@ def test_nothing_delivered(spark, tmp_path):
     assert ledger.settle_all(spark, str(tmp_path)) == 0
     ledger.cleaning_step(str(tmp_path))(_raw(spark, []), 0)
     assert ledger.settle_all(spark, str(tmp_path)) == 0 and _outcomes(spark, str(tmp_path)) == {}
+
+
+def test_few_files_a_batch(spark, tmp_path):
+    """A batch of many days in many tasks: no more files than days and cores together."""
+    days = spark.range(0, 4000, 1, 16).select(
+        F.col("id").cast("string").alias("id"), F.lit("ACCEPTED").alias("outcome"), F.lit(1).alias("deliveries"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("day"))
+    kept = ledger.Ledger(f"{tmp_path}/ledger")
+    kept.record(days, 0)
+    files = [f.parent.name for f in tmp_path.rglob("*.parquet")]
+    assert len(set(files)) == 40 and len(files) <= 40 + spark.sparkContext.defaultParallelism
+    assert kept.lines(spark).select("id", "outcome", "deliveries", "day").exceptAll(days.withColumn("deliveries", F.lit(1).cast("bigint"))).isEmpty()
+    assert kept.lines(spark).count() == 4000
